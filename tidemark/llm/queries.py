@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules, secrets, simhash
+from tidemark.llm import quality_rules, recompression, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,15 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", *[n(k) for k in secrets.PLAIN], F.sha2(secrets.listed(F.col("plain")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = recompression.substring_dedup(_table(spark, sf_dir, "documents"), window=20)
+    return r.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash": op4_simhash,
     "op6_secret_scans": op6_secret_scans,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
