@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality_rules, recompression, secrets, simhash
+from tidemark.llm import bpe_replay, packing, quality_rules, recompression, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_replay.encode(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op6_secret_scans": op6_secret_scans,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
