@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, embedding_dedup, packing, quality_rules, recompression, secrets, simhash
+from tidemark.llm import bpe_replay, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), folds=5, held_fold=1)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = secrets.scan(_table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("plain", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
+    "op5_lattice_lm": op5_lattice_lm,
     "op6_secret_scans": op6_secret_scans,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
