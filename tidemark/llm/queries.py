@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash
+from tidemark.llm import bpe_replay, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, length=4096)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", folds=3, held_fold=1)
+    return r.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return r.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,6 +66,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_secret_scans": op6_secret_scans,
