@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash, toxicity
+from tidemark.llm import bpe_replay, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Documents carry no address: their source stands for the host, the language below it for the path.
+    path = F.concat_ws("/", "source", "lang")
+    return site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), path, "quality", folds=3, held_fold=1)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_site_quality": op9_site_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES: dict[str, str] = {}
