@@ -7,8 +7,10 @@ the sequence length; a text that crosses a boundary gives a record for each part
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,102 @@ from pyspark.sql import Window as W
 from tidemark.llm.common import blobs, stash
 
 LENGTH = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
+
+
+class LetterMerges:
+    """Byte-pair merges of many letter-only words at once; ``of`` gives None where the vocabulary is of another kind.
+
+    Words of one length are rows of symbols; in each turn every row makes its leftmost merge of lowest rank.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
+        # The printable stand-ins of bytes in byte-level vocabularies.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.inner = np.array([vocab[stand[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[stand[b] + "</w>"] for b in range(256)], np.int64)
+        keys = np.array([vocab[x] << 20 | vocab[y] for x, y in merges], np.int64)
+        self.made = np.array([vocab[x + y] for x, y in merges], np.int64)
+        bits = 19
+        self.shift, slots = np.uint64(64 - bits), np.full((1 << bits) + 64, -1, np.int64)
+        for rank, h in enumerate(self._slot(keys).tolist()):
+            while slots[h] >= 0:
+                h += 1
+            slots[h] = rank
+        self.slots, self.keys = slots, np.concatenate((keys, [-1]))
+        taken = slots >= 0
+        ends = np.flatnonzero(~taken)
+        self.probes = int(np.diff(ends).max())
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    @staticmethod
+    def of(model: str) -> LetterMerges | None:
+        import json
+
+        m = json.loads(model)["model"]
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+        return LetterMerges(m["vocab"], merges) if m["type"] == "BPE" and m.get("end_of_word_suffix") == "</w>" else None
+
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair; a rank beyond all where there is none."""
+        key = x << 20 | y
+        at = self._slot(key)
+        out = np.full(key.shape, len(self.made), np.int64)
+        left = np.arange(len(key))
+        for i in range(self.probes + 1):
+            r = self.slots[at[left] + i]
+            hit = (r >= 0) & (self.keys[r] == key[left])
+            out[left[hit]] = r[hit]
+            left = left[(r >= 0) & ~hit]
+            if not len(left):
+                break
+        return out
+
+    def ids(self, words: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        none = len(self.made)
+        for n in np.unique(size).tolist():
+            row = np.flatnonzero(size == n)
+            raw = np.frombuffer(b"".join([words[i] for i in row.tolist()]), np.uint8).reshape(len(row), n)
+            sym = self.inner[raw]
+            sym[:, -1] = self.last[raw[:, -1]]
+            rank = self.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(row), n - 1)
+            while len(row):
+                width = rank.shape[1]
+                best = rank.argmin(axis=1) if width else None
+                done = rank[np.arange(len(row)), best] == none if width else np.ones(len(row), bool)
+                if done.any():
+                    for i, x in zip(row[done].tolist(), sym[done].tolist()):
+                        out[i] = x
+                    row, sym, rank = row[~done], sym[~done], rank[~done]
+                    if not len(row):
+                        break
+                    best = best[~done]
+                k = np.arange(len(row))
+                made = self.made[rank[k, best]]
+                j = np.arange(width)
+                sym = np.take_along_axis(sym, j + (j > best[:, None]), axis=1)
+                sym[k, best] = made
+                j = j[:-1]
+                rank = np.take_along_axis(rank, j + (j >= best[:, None]), axis=1)
+                if width > 1:
+                    has = best > 0
+                    rank[k[has], best[has] - 1] = self.ranks(sym[k[has], best[has] - 1], made[has])
+                    has = best < width - 1
+                    rank[k[has], best[has]] = self.ranks(made[has], sym[k[has], best[has] + 1])
+        return out
 
 
 class WordEncoder:
     """Ids of whole texts from the ids of their words: the tokenizer's units never cross ASCII white space.
 
-    Words are encoded once and kept, up to a number of words; ids are unsigned 16-bit where the vocabulary allows.
+    Words are encoded once and kept, up to a number of words; ids are unsigned 16-bit where the vocabulary allows. A
+    word of letters, with stops or commas behind it or not, is merged here, many words at a time; any other goes
+    through the tokenizer.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -34,44 +125,87 @@ class WordEncoder:
         self.model = Tokenizer.from_file(tokenizer)
         self.model.encode_special_tokens = True
         self.kind = np.uint16 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.letters = LetterMerges.of(self.model.to_str())
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def by_model(self, words: list[bytes]) -> list[bytes]:
+        found = self.model.encode_batch_fast([x.decode("utf-8", "replace") for x in words], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not known yet; a word with final stops or commas by its two parts."""
-        new: dict[bytes, tuple[bytes, bytes]] = {}
+        """Encode words that are not known yet."""
+        known, old = self.known, self.old
+        plain: list[bytes] = []
+        cut: list[tuple[bytes, bytes, bytes]] = []
         ask: set[bytes] = set()
-        known = self.known
+        other: list[bytes] = []
         for w in words:
-            low = w.lower()
-            stem = low.rstrip(b".,")
-            if len(stem) == len(low) or not stem or not (stem[-1:].isalnum() or (stem[-1] > 127 and unicodedata.category(stem.decode("utf-8", "replace")[-1])[0] in "LN")):
-                stem = low
-            new[w] = (stem, low[len(stem) :])
-            ask.update(x for x in new[w] if x and x not in known)
-        ask_list = list(ask)
-        if ask_list:
-            for x, e in zip(ask_list, self.model.encode_batch_fast([x.decode("utf-8", "replace") for x in ask_list], add_special_tokens=False)):
-                known[x] = np.array(e.ids, self.kind).tobytes()
-        for w, (stem, tail) in new.items():
-            if w not in known:
-                known[w] = known[stem] + (known[tail] if tail else b"")
+            if (x := old.get(w)) is not None:
+                known[w] = x
+            elif w.isalpha() and w.islower():
+                plain.append(w)
+            else:
+                stem = w.lower().rstrip(b".,")
+                tail = w[len(stem) :]
+                if not stem.isalpha():
+                    if stem.isascii():
+                        other.append(w)
+                        continue
+                    s = stem.decode("utf-8", "replace")
+                    if not s.isalpha() or "\u0130" in s or "\u03a3" in s or not unicodedata.is_normalized("NFC", low := s.lower()):
+                        other.append(w)
+                        continue
+                    stem = low.encode()
+                    if stem == w:
+                        plain.append(w)
+                        continue
+                ask.add(stem)
+                if tail:
+                    ask.add(tail)
+                cut.append((w, stem, tail))
+        if other:
+            known.update(zip(other, self.by_model(other)))
+        for x in ask:
+            if x not in known and x not in words:
+                if (y := old.get(x)) is not None:
+                    known[x] = y
+                elif x[0] == 46 or x[0] == 44:
+                    known[x] = self.by_model([x])[0]
+                else:
+                    plain.append(x)
+        if plain:
+            kind, pack = self.kind, struct.pack
+            code = "H" if kind is np.uint16 else "I"
+            if self.letters is None:
+                known.update(zip(plain, self.by_model(plain)))
+            else:
+                known.update([(x, pack(f"<{len(i)}{code}", *i)) for x, i in zip(plain, self.letters.ids(plain))])
+        for w, stem, tail in cut:
+            known[w] = known[stem] + known[tail] if tail else known[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as bytes."""
+        """The ids of each text as bytes. Known words are kept in two generations: when the young one is full it
+        becomes the old one, and what is met again returns, so frequent words stay."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
         split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            self.learn(missing)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        flat = list(chain.from_iterable(split))
+        got = list(map(self.known.get, flat))
+        gaps = [i for i, x in enumerate(got) if x is None]
+        if gaps:
+            self.learn({flat[i] for i in gaps})
+            known = self.known
+            for i in gaps:
+                got[i] = known[flat[i]]
+        ends = list(accumulate(map(len, split), initial=0))
+        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _encode(tokenizer: str, end_id: int, chunk: int = 256):
+def _encode(tokenizer: str, end_id: int, chunk: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
