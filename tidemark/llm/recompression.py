@@ -18,6 +18,7 @@ Of equal texts only the one with the smallest id goes through 2 to 4; every wind
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import blobs, drop_stash, stash
 
 ROUNDS = 3
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
 LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -129,13 +130,25 @@ def anchors(h: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray
     d = doc[start]
     cut = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (level[1:] != level[:-1]) | (d[1:] != d[:-1]))))
     count = np.diff(np.concatenate((cut, [len(start)])))
-    name = np.zeros(len(cut), _U)
+    # An anchor goes by all the words that decide its making, not by its symbol alone: fewer chance meetings.
+    lo, hi = np.zeros(len(cut), np.int64), np.zeros(len(cut), np.int64)
     for k, s in enumerate(levels):
         own = level[cut] == k
-        name[own] = s.name[chosen[cut[own]].astype(np.int64)]
+        i = chosen[cut[own]].astype(np.int64)
+        lo[own], hi[own] = s.lo[i], s.hi[i]
+    name = _stretch_hashes(h, lo, hi)
     return d[cut], name, start[cut] - first[d[cut]], count
 
 
+def _stretch_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of the words [lo, hi) for each pair, by differences of one prefix sum."""
+    odd = 0x9E3779B97F4A7C15
+    up = np.concatenate((np.ones(1, _U), np.cumprod(np.full(len(h), odd, _U))))
+    down = np.concatenate((np.ones(1, _U), np.cumprod(np.full(len(h), pow(odd, -1, 1 << 64), _U))))
+    prefix = np.concatenate((np.zeros(1, _U), np.cumsum(_mix(h) * up[:-1])))
+    return _mix((prefix[hi] - prefix[lo]) * down[lo] + (hi - lo).astype(_U))
+
+
 def window_hashes(h: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
     x = np.zeros(len(start), _U)
     for j in range(window):
@@ -258,6 +271,7 @@ def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of what has been stashed."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # Spark's cleaner works in a thread of its own
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -273,7 +287,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = stash(rows.mapInArrow(_scan(window), _FOUND), "anchors")
-    base = found.select("rid", "doc_id", "text_key", "n_words", "sha")
+    base = stash(found.select("rid", "doc_id", "text_key", "n_words", "sha"), "base")
 
     # Equal texts: all but those with the smallest id are covered whole.
     one = stash(base.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
@@ -283,16 +297,23 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     twice = stash(every.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
     _release(spark)
     spans = stash(every.join(twice, "name").select("rid", "starts", "counts"), "spans")
+    drop_stash(twice)
+    drop_stash(found)
     _release(spark)
     per_text = spans.join(copy, "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("starts", "counts")).alias("s"))
     wanted = stash(per_text.join(base, "rid").select("rid", "doc_id", "text_key", F.col("s.starts").alias("starts"), F.col("s.counts").alias("counts")), "wanted")
+    drop_stash(spans)
+    _release(spark)
     # Rows that repeat an id and its text meet each other here; their results are equal and one of each is kept below.
     met = wanted.join(rows, ["doc_id", "text_key"])
     hashed = stash(met.select("rid", "doc_id", "text", "starts", "counts").mapInArrow(_windows(window), "rid long, doc_id long, text string, hashes array<long>, starts array<int>"), "windows")
+    drop_stash(wanted)
     _release(spark)
     w = hashed.select("rid", "doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("rid", "doc_id", F.col("x.hashes").alias("hash"), F.col("x.starts").alias("start"))
     owner = stash(w.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", F.col("o.doc_id").alias("own_doc"), F.col("o.start").alias("own_start")), "owners")
-    marked = stash(w.join(owner, "hash").where((F.col("doc_id") != F.col("own_doc")) | (F.col("start") != F.col("own_start"))).select("rid", "start").distinct(), "marked")
+    _release(spark)
+    marked = stash(w.join(owner, "hash").where((F.col("doc_id") != F.col("own_doc")) | (F.col("start") != F.col("own_start"))).select("rid", "start"), "marked")
+    drop_stash(owner)
     _release(spark)
     starts = marked.groupBy("rid").agg(F.collect_list("start").alias("starts"))
     cut = hashed.select("rid", "text").join(starts, "rid").mapInArrow(_cut(window, texts), "rid long, n_removed long, sha string, left string")
@@ -301,6 +322,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     out = base.alias("b").join(gone.alias("g"), "rid", "left").select(
         F.when(F.col("b.doc_id") < LAST_ID, F.col("b.doc_id")).alias("doc_id"), "b.text_key", "b.n_words", F.coalesce("g.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("g.sha", "b.sha").alias("kept_sha256"), F.col("g.left").alias("left")
     )
-    for x in (spans, wanted, owner):
-        drop_stash(x)
+    drop_stash(hashed)
+    drop_stash(marked)
+    _release(spark)
     return out if texts else out.drop("left")
+
+
+def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the repeated words taken out of their texts; rows of which no word is left go.
+
+    All columns stay; ``chars_col`` is counted anew where the text changed.
+    """
+    r = substring_dedup(docs, window, id_col, text_col, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("left").alias("__left"), (F.col("n_words") == F.col("n_removed")).alias("__none")).dropDuplicates(["__id", "__key"])
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    j = docs.join(r, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left").where(F.coalesce(~F.col("__none"), F.lit(True)))
+    text = F.coalesce("__left", F.col(f"`{text_col}`"))
+    new = {text_col: text} | ({chars_col: F.when(F.col("__left").isNotNull(), F.length("__left").cast(dict(docs.dtypes)[chars_col])).otherwise(F.col(f"`{chars_col}`"))} if chars_col in docs.columns else {})
+    return j.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
