@@ -6,6 +6,7 @@ are rows (name, measure, least, most) that become one boolean each and one verdi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,40 +69,44 @@ def _repeat_words(w: Column) -> Column:
 
 
 def measures(text: Column, w: Column) -> dict[str, Column]:
-    """Expressions for each measure; ``w`` is the column of the text's words."""
+    """The counts of a text, each as an expression; ``w`` is an array of its words that costs nothing to read again."""
     t = F.coalesce(text, F.lit(""))
-    n = F.size(w)
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    per_word = F.greatest(F.col("n_words"), F.lit(1))
     return {
-        "n_words": n.cast("long"),
+        "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.regexp_replace(t, BREAK_RUN, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_repeat_words": _repeat_words(w).cast("long"),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
-    } | {
-        "repeat_percent": 100 * F.col("n_repeat_words") / per_word,
-        "mean_word_chars": F.col("word_chars") / per_word,
-        "symbol_ratio": F.col("n_symbols") / per_word,
-        "stop_ratio": F.col("n_stop_words") / per_word,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
-    """(kept, names of the rules that fail) over the measures' columns."""
+def ratios(m: Callable[[str], Column]) -> dict[str, Column]:
+    """What the rules compare; ``m`` gives a count by its name."""
+    per_word = F.greatest(m("n_words"), F.lit(1))
+    return {
+        "repeat_percent": 100 * m("n_repeat_words") / per_word,
+        "mean_word_chars": m("word_chars") / per_word,
+        "symbol_ratio": m("n_symbols") / per_word,
+        "stop_ratio": m("n_stop_words") / per_word,
+        "dup_line_ratio": m("n_dup_lines") / F.greatest(m("n_lines"), F.lit(1)),
+    }
+
+
+def verdict(m: Callable[[str], Column], rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
+    """(kept, names of the rules that fail); ``m`` gives a count or ratio by its name."""
     fails = []
     for r in rules:
         bad = F.lit(False)
         if r.least is not None:
-            bad = bad | (F.col(r.measure) < r.least)
+            bad = bad | (m(r.measure) < r.least)
         if r.most is not None:
-            bad = bad | (F.col(r.measure) > r.most)
+            bad = bad | (m(r.measure) > r.most)
         fails.append((bad, r.name))
-    kept = ~fails[0][0]
-    for bad, _ in fails[1:]:
+    kept = F.lit(True)
+    for bad, _ in fails:
         kept = kept & ~bad
     return kept, F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in fails]))
 
@@ -112,18 +117,28 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     Null, empty and blank texts have no words: all counts are 0 and they fail the length rule. No shuffle, no cap:
     the cost of a text is its length times the logarithm of its length.
     """
-    base = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    base = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     base = base.select(*keep, "__text", words(F.col("__text")).alias("__words"))
-    m = measures(F.col("__text"), F.col("__words"))
-    plain = [k for k in m if k.startswith(("n_", "word_"))]
-    base = base.select(*keep, *[m[k].alias(k) for k in plain])
-    base = base.select(*keep, *plain, *[m[k].alias(k) for k in m if k not in plain])
-    kept, failed = verdict(rules)
-    return base.select(*keep, *m, failed.alias("failed_rules"), kept.alias("kept"))
+    counts = measures(F.col("__text"), F.col("__words"))
+    base = base.select(*keep, *[v.alias(k) for k, v in counts.items()])
+    more = ratios(F.col)
+    base = base.select(*keep, *counts, *[v.alias(k) for k, v in more.items()])
+    kept, failed = verdict(F.col, rules)
+    return base.select(*keep, *counts, *more, failed.alias("failed_rules"), kept.alias("kept"))
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose texts pass every rule, with their own columns."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    row = docs.select(F.struct(*cols).alias("__row"), F.col(text_col).alias("__doc"))
-    return quality(row, rules, "__doc", ("__row",)).where("kept").select("__row.*")
+    """The rows of ``docs`` whose texts pass every rule, with their own columns.
+
+    The rules are applied to an array of one row and its counts, so that the optimizer can't move a copy of the
+    counts' expressions into a filter below.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    counted = let(words(text), lambda w: F.struct(*[v.alias(k) for k, v in measures(text, w).items()]))
+
+    def passes(x: Column) -> Column:
+        more = ratios(lambda k: x["m"][k])
+        return verdict(lambda k: more[k] if k in more else x["m"][k], rules)[0]
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.explode(F.filter(F.array(F.struct(row.alias("row"), counted.alias("m"))), passes)).alias("__x")).select("__x.row.*")

@@ -21,22 +21,30 @@ from tidemark.llm.graph import connected_components
 BITS = 64
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """The 64-bit SimHash of one text, as a signed integer: XXH64 (seed 42) of each word shingle, repeats included."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle of a lower-cased text in order; of all words where they are fewer."""
     import xxhash
 
     w = (text or b"").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     whole = b" ".join(w)
     if len(w) <= shingle:
-        h = np.array([digest(whole, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = len(w) - shingle + 1
-        h = np.fromiter([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
+        return np.array([digest(whole, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(w) - shingle + 1
+    return np.fromiter([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle: int, once: bool = False) -> int:
+    """The 64-bit SimHash of one text, as a signed integer; repeated shingles count each time, or ``once``."""
+    h = shingle_hashes(text, shingle)
+    if once:
+        h = np.unique(h)
+    if not len(h):
+        return 0
     count = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 14):
         count += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -194,3 +202,68 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 4, id_
     head = member.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = stash(member.join(stash(head, "heads"), "label").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _two_prints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = blobs(b.column(2))
+            kinds = [np.fromiter((fingerprint(t, n, True) for t in texts), np.int64, b.num_rows) for n in (1, shingle)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, kinds)], ["doc_id", "text_key", "fp", "wide"])
+
+    return run
+
+
+def _jaccard(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s, t in zip(blobs(b.column(2)), blobs(b.column(3))):
+                x, y = np.unique(shingle_hashes(s, shingle)), np.unique(shingle_hashes(t, shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["u", "v", "similarity"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per distinct (id, text) of ``docs``: (doc_id, text_key, component_id).
+
+    Texts link if their sets of word shingles reach the Jaccard ``similarity``. Candidates come from the SimHash of the
+    words, each counted once: a text with one word in forty changed keeps nine tenths of its words' print but half of
+    its shingles' print. Of candidates, the shingles' prints must come near before texts are compared, exactly. Equal
+    texts are one from the start; among texts with one print, and among many prints under one key, candidates form a
+    tree. Blank texts link with blank texts only. Null ids are never chosen unless no other is there.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    prints = stash(rows.mapInArrow(_two_prints(shingle), "doc_id long, text_key long, fp long, wide long"), "prints")
+    texts = stash(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "texts")
+    groups = stash(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "groups")
+    near = stash(links(groups.select("fp"), distance), "near")
+    head = lambda c: groups.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_text"))
+    across = near.join(head("u"), "u").join(head("v"), "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
+    within = texts.join(groups, "fp").where(F.col("text_key") != F.col("head")).select(F.col("head").alias("u"), F.col("text_key").alias("v"))
+    # Shingle prints of texts at the similarity differ by an angle; 22 of 64 bits lie far above it.
+    wide = lambda c: texts.select(F.col("text_key").alias(c), F.col("wide").alias(f"{c}_wide"))
+    pairs = across.unionByName(within).join(wide("u"), "u").join(wide("v"), "v").where(F.bit_count(F.col("u_wide").bitwiseXOR(F.col("v_wide"))) <= 22).select("u", "v")
+    pairs = stash(pairs, "candidates")
+    # One copy of each text that takes part.
+    part = stash(pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct().join(texts.select("text_key", "rep"), "text_key"), "part")
+    body = stash(rows.join(part, (rows["text_key"] == part["text_key"]) & rows["doc_id"].eqNullSafe(part["rep"])).select(part["text_key"], "text"), "bodies")
+    side = lambda c: body.select(F.col("text_key").alias(c), F.col("text").alias(f"{c}_text"))
+    scored = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(_jaccard(shingle), "u long, v long, similarity double")
+    labels = stash(connected_components(scored.where(F.col("similarity") >= similarity).select("u", "v")), "labels")
+    member = stash(texts.select("text_key", "rep").join(labels.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("text_key", "rep", F.coalesce("label", "text_key").alias("label")), "members")
+    first = stash(member.groupBy("label").agg(F.min("rep").alias("component_id")), "firsts")
+    named = stash(member.join(first, "label").select("text_key", "component_id"), "named")
+    return prints.select("doc_id", "text_key").join(named, "text_key")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the near copies: of each group the row with the smallest id stays, with its own columns."""
+    kept = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    kept = stash(kept, "kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"))
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) == F.col("__text_key"))
+    return docs.join(kept, on, "left_semi")
