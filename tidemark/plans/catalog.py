@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from tidemark.plans import relational_queries  # noqa: F401
+from tidemark.plans import function_queries, relational_queries, state_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
