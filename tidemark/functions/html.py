@@ -143,8 +143,8 @@ class Directory:
                     yield tuple(person)
                 person = [text, None, None, hrefs.get(text)]
             elif person:
-                if not person[1] and (m := _TITLE.search(text)):
-                    person[1] = m[0].strip()
+                if not person[1] and _TITLE.search(text):
+                    person[1] = text[:160]
                 if not person[2] and (m := _MAIL.search(text)):
                     person[2] = m[0]
         if person and person[1]:
