@@ -7,6 +7,7 @@ the sequence length; a text that crosses a boundary gives a record for each part
 
 from __future__ import annotations
 
+import gc
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -21,7 +22,9 @@ from pyspark.sql import Window as W
 from tidemark.llm.common import blobs, stash
 
 LENGTH = 4096
-CACHED_WORDS = 250_000
+# ASCII signs that, behind a word, make a unit of their own.
+TAIL = b".,!?%$&*#|;:\"()<>/-"
+CACHED_WORDS = 400_000
 
 
 class LetterMerges:
@@ -115,7 +118,7 @@ class WordEncoder:
     """Ids of whole texts from the ids of their words: the tokenizer's units never cross ASCII white space.
 
     Words are encoded once and kept, up to a number of words; ids are unsigned 16-bit where the vocabulary allows. A
-    word of letters, with stops or commas behind it or not, is merged here, many words at a time; any other goes
+    word of letters, with signs behind it or not, is merged here, many words at a time; any other goes
     through the tokenizer.
     """
 
@@ -146,7 +149,7 @@ class WordEncoder:
             elif w.isalpha() and w.islower():
                 plain.append(w)
             else:
-                stem = w.lower().rstrip(b".,")
+                stem = w.lower().rstrip(TAIL)
                 tail = w[len(stem) :]
                 if not stem.isalpha():
                     if stem.isascii():
@@ -170,7 +173,7 @@ class WordEncoder:
             if x not in known and x not in words:
                 if (y := old.get(x)) is not None:
                     known[x] = y
-                elif x[0] == 46 or x[0] == 44:
+                elif x[0] in TAIL:
                     known[x] = self.by_model([x])[0]
                 else:
                     plain.append(x)
@@ -214,14 +217,18 @@ def _encode(tokenizer: str, end_id: int, chunk: int = 512):
         coder = _encoders[tokenizer]
         end = np.array([end_id], coder.kind).tobytes()
         size, part, before = len(end), TaskContext.get().partitionId(), 0
-        for b in batches:
-            texts = blobs(b.column(1))
-            for at in range(0, len(texts), chunk):
-                ids = [x + end for x in coder.encode([t or b"" for t in texts[at : at + chunk]])]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
-                place = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(place), b.column(0).slice(at, len(ids)), pa.array(n), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "n", "ids"])
+        gc.disable()  # millions of small tuples and no cycles
+        try:
+            for b in batches:
+                texts = blobs(b.column(1))
+                for at in range(0, len(texts), chunk):
+                    ids = [x + end for x in coder.encode([t or b"" for t in texts[at : at + chunk]])]
+                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+                    place = before + np.cumsum(n) - n
+                    before += int(n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(place), b.column(0).slice(at, len(ids)), pa.array(n), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "n", "ids"])
+        finally:
+            gc.enable()
 
     return run
 
