@@ -118,8 +118,9 @@ def _forest(f: np.ndarray, distance: int) -> list[tuple[int, int]]:
     root = np.fromiter((trees.root(i) for i in range(n)), np.int64, n)
     most = np.bincount(root).argmax()
     outside = np.flatnonzero(root != most)
-    for i in outside.tolist():  # each row outside of the largest tree against all rows
-        for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= distance).tolist():
+    for i in outside.tolist():  # each row outside of the largest tree against all rows, once for each tree it meets
+        near = np.flatnonzero(np.bitwise_count(f ^ f[i]) <= distance)
+        for j in near[np.unique(root[near], return_index=True)[1]].tolist():
             if j != i and trees.join(i, j):
                 out.append((i, j))
     return out
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     prints = stash(rows.mapInArrow(_two_prints(shingle), "doc_id long, text_key long, fp long, wide long"), "prints")
     texts = stash(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "texts")
     groups = stash(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "groups")
-    near = stash(links(groups.select("fp"), distance), "near")
+    near = stash(links(groups.select("fp"), distance).distinct(), "near")  # a pair may meet under many keys
     head = lambda c: groups.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_text"))
     across = near.join(head("u"), "u").join(head("v"), "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
     within = texts.join(groups, "fp").where(F.col("text_key") != F.col("head")).select(F.col("head").alias("u"), F.col("text_key").alias("v"))
