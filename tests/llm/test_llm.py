@@ -313,3 +313,25 @@ def test_empty_tables(spark, docs):
     assert site_quality.classify(none, labels, F.col("source"), F.col("lang")).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_components(vectors).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages over planted cases: near copy, passage of 60 words, secret, short text; clean documents stay whole."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    stop = ["the", "of", "and", "to"]
+    prose = lambda n: " ".join(rng.choice(stop) if k % 4 == 0 else f"word{rng.randint(0, 4000)}" for k in range(n))
+    passage = prose(60)
+    clean = [prose(200) for _ in range(4)]
+    near = clean[0].split()
+    near[100] = "changed"
+    rows = [(0, clean[0]), (1, clean[1]), (2, " ".join(near)), (3, clean[2] + " " + passage), (4, passage + " " + clean[3]), (5, prose(80) + " password=hunter2hunter2 " + prose(20)), (6, "too short"), (7, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    coder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    want = {0: rows[0][1], 1: rows[1][1], 3: rows[3][1], 4: clean[3], 5: rows[5][1].replace("password=hunter2hunter2", "[secret]")}
+    assert got == {i: coder.model.encode(t, add_special_tokens=False).ids + [2] for i, t in want.items()}
