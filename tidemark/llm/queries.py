@@ -81,4 +81,37 @@ QUERIES = {
     "op9_site_quality": op9_site_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+
+#: The operators that SQL can express; the others are tested against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": f"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') t, {_WORDS} ws FROM documents),
+        win AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 2), ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) s FROM w)),
+        twice AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) n FROM win) WHERE n > 1),
+        cover AS (SELECT doc_id, count(DISTINCT s + j) n FROM twice, (SELECT unnest([0, 1, 2]) j) GROUP BY 1),
+        l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls FROM w),
+        m AS (SELECT l.doc_id, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT word_chars,
+            (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, len(ls) n_lines,
+            coalesce(cover.n, 0)::BIGINT n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) stops FROM l LEFT JOIN cover USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed,
+            n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND word_chars / n_words BETWEEN 1.5 AND 15 AND n_symbols / n_words <= 0.1 AND stops / n_words >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.3 kept FROM m
+    """,
+    "op7_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} ws FROM documents),
+        win AS (SELECT doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) s FROM w)),
+        late AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) r FROM win) WHERE r > 1),
+        gone AS (SELECT DISTINCT doc_id, s + j p FROM late, (SELECT unnest(range(0, 20)) j)),
+        tok AS (SELECT doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) p FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t, count(*) n FROM tok ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+        SELECT w.doc_id, len(ws)::BIGINT n_words, (len(ws) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id a, b.vec_id b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT vec_id id, vec_id r FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)
+        SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) n_links, c.component_id, c.component_id = v.vec_id kept FROM v JOIN (SELECT id, min(r) component_id FROM reach GROUP BY 1) c ON c.id = v.vec_id
+    """,
+}
