@@ -52,12 +52,12 @@ def copy_weights(sets: list[set[bytes]], rare: int = 30, marks: int = 3) -> np.n
     return np.array([1 / size[r] for r in roots])
 
 
-def choose_terms(docs: list[tuple[list[bytes], int]], most: int, least_z: float = 5.0, least_n: float = 4.0) -> list[bytes]:
+def choose_terms(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 5.0, least_n: float = 4.0) -> list[bytes]:
     """Terms that the label's texts hold more often than the others by ``least_z`` standard errors, strongest first.
 
     A group of near copies counts as one text, so no passage that was copied often passes for a sign of the label.
     """
-    sets = [set(words) for words, _ in docs]
+    sets = [words for words, _ in docs]
     y = np.array([y for _, y in docs], bool)
     weight = np.ones(len(docs))
     for side in (True, False):
@@ -191,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_terms:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows only."""
     rows = [(r["doc_id"], r["y"], (r["text"] or "").encode()) for r in _sampled(docs, labels, label, sample)]
     rows.sort(key=lambda r: (r[0], r[2]))
-    model = Model(choose_terms([(terms(t), y) for _, y, t in rows], most_terms), k)
+    pool: dict[bytes, bytes] = {}  # one object for each term, however many texts hold it
+    model = Model(choose_terms([({pool.setdefault(w, w) for w in terms(t)}, y) for _, y, t in rows], most_terms), k)
+    pool.clear()
     df = docs.select("text").mapInArrow(_document_counts(model), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     n = {r["term"]: r["n"] for r in df}
     for i in range(len(model.idf)):
@@ -209,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_terms:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, most_terms: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 800, most_terms: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, held_out, score, votes, neighbours array<long>, cosines array<double>).
 
     Labels are read only where the crc32 of the id modulo ``folds`` is not ``held_fold``; rows with null labels or ids
