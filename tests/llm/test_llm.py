@@ -126,6 +126,38 @@ def test_near_duplicates_keep_one(spark):
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {0, 1, 2, 3, 4, 5, 12}
 
 
+def brute_components(rows, shingle=5, similarity=0.8):
+    sets = {i: set(simhash.shingle_hashes(t.encode(), shingle).tolist()) for i, t in rows}
+    label = {i: i for i in sets}
+    order = sorted(sets)
+    for a in order:
+        for b in order:
+            if a < b and label[a] != label[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+def near_components(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+
+
+def test_near_duplicates_large_group_of_variants(spark):
+    rng = random.Random(11)
+    base = [f"v{rng.randint(0, 900)}" for _ in range(300)]
+    rows = []
+    for i in range(60):  # each reaches 0.8 with the original, none with another variant; the original has the last id
+        t = list(base)
+        for k in rng.sample(range(10, 290, 11), 5):
+            t[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    rows.append((60, " ".join(base)))
+    want = brute_components(rows)
+    assert len(set(want.values())) == 1
+    assert near_components(spark, rows) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]

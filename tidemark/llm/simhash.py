@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.common import blobs, stash
 from tidemark.llm.graph import connected_components
@@ -205,12 +206,110 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 4, id_
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _two_prints(shingle: int):
+BANDS = 64
+
+#: Odd multipliers, from a fixed seed: each orders the shingles' hashes anew, and the least product is one MinHash.
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * 12, np.uint64) * np.uint64(2) + np.uint64(1)
+_MISSED = 1e-9
+
+
+def band_rows(similarity: float) -> int:
+    """The most MinHashes a band can have so that two sets at the similarity miss each other in all bands once in 10^9."""
+    if not 0.3 <= similarity <= 1:
+        raise ValueError("similarity must lie between 0.3 and 1")
+    return 12 if similarity > 0.9 else min(12, int(np.log(1 - _MISSED ** (1 / BANDS)) / np.log(similarity)))
+
+
+def least_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """``n`` MinHashes of a set of hashes; all ones where it is empty."""
+    out = np.full(n, ~np.uint64(0))
+    for i in range(0, len(h), 64):
+        np.minimum(out, (h[i : i + 64, None] * _FACTORS[:n]).min(axis=0), out=out)
+    return out
+
+
+def _sketch(shingle: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = np.zeros((b.num_rows, BANDS * rows), np.uint64)
+            size = np.zeros(b.num_rows, np.int32)
+            for i, t in enumerate(blobs(b.column(2))):
+                h = np.unique(shingle_hashes(t, shingle))
+                least[i], size[i] = least_hashes(h, BANDS * rows), len(h)
+            short = (least >> np.uint64(20)).astype(np.uint16)
+            # Keys go by the shortened values, so that texts with an equal band there always meet under its key.
+            keys = (short.reshape(-1, BANDS, rows).astype(np.uint64) + np.uint64(1)) * _FACTORS[:rows]
+            keys = (keys.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) * _FACTORS[rows]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(size), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "size", "least", "keys"],
+            )
+
+    return run
+
+
+INLINE = 1024
+
+
+def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles' hashes of each text in order; null where there are more than INLINE."""
         for b in batches:
-            texts = blobs(b.column(2))
-            kinds = [np.fromiter((fingerprint(t, n, True) for t in texts), np.int64, b.num_rows) for n in (1, shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, kinds)], ["doc_id", "text_key", "fp", "wide"])
+            sets = (np.unique(shingle_hashes(t, shingle)) for t in blobs(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() if len(h) <= INLINE else None for h in sets], pa.binary())], ["text_key", "shingles"])
+
+    return run
+
+
+def _across(similarity: float, rows: int):
+    """Rows come sorted by key. All pairs of one key with different labels whose sizes and MinHashes allow the similarity,
+    each under the first band that both have; where both bring their shingles, only pairs that reach it."""
+    n = BANDS * rows
+    least_equal = n * similarity - 6 * np.sqrt(n * similarity * (1 - similarity))
+
+    def pairs(band: int, text: np.ndarray, label: np.ndarray, size: np.ndarray, least: np.ndarray, sets: list) -> Iterator[pa.RecordBatch]:
+        def reaches(i: int, j: int) -> bool:
+            if sets[i] is None or sets[j] is None:
+                return True
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return both >= similarity * (len(sets[i]) + len(sets[j]) - both)
+
+        for i in range(len(text) - 1):
+            j = np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]))) + i + 1
+            for at in range(0, len(j), 1 << 12):
+                k = j[at : at + (1 << 12)]
+                same = least[k] == least[i]
+                own = same.reshape(-1, BANDS, rows).all(axis=2).argmax(axis=1) == band
+                k = [x for x in k[own & (same.sum(axis=1) >= least_equal)].tolist() if reaches(i, x)]
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(text[k], text[i])), pa.array(np.maximum(text[k], text[i]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold: list[pa.RecordBatch] = []
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            key, band, text, label, size = (t.column(c).to_numpy() for c in range(5))
+            least = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(-1, n)
+            sets = [None if x is None else np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            for a, z in zip(first[:-1], first[1:]):
+                yield from pairs(int(band[a]), text[a:z], label[a:z], size[a:z], least[a:z], sets[a:z])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            if hold and hold[0].column(0)[0].as_py() != key[0]:
+                yield from flush(hold)
+                hold = []
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from flush([*hold, b.slice(0, cut)])
+                hold = []
+            hold.append(b.slice(cut))
+        if hold:
+            yield from flush(hold)
 
     return run
 
@@ -228,38 +327,54 @@ def _jaccard(shingle: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct (id, text) of ``docs``: (doc_id, text_key, component_id).
 
-    Texts link if their sets of word shingles reach the Jaccard ``similarity``. Candidates come from the SimHash of the
-    words, each counted once: a text with one word in forty changed keeps nine tenths of its words' print but half of
-    its shingles' print. Of candidates, the shingles' prints must come near before texts are compared, exactly. Equal
-    texts are one from the start; among texts with one print, and among many prints under one key, candidates form a
-    tree. Blank texts link with blank texts only. Null ids are never chosen unless no other is there.
+    Texts link if their sets of word shingles reach the Jaccard ``similarity``. Texts meet under 64 keys, each made of
+    a band of MinHashes of the shingles; two texts at the similarity miss each other in all bands at most once in 10^9.
+    First all texts of a key are compared, exactly, with the one that meets most others; then all pairs of a key that
+    these links leave apart, if their MinHashes allow the similarity (again but once in 10^9 wrongly refused). No pair
+    of a key is left out for another reason, so components are those of all pairs. Equal texts are one from the start.
+    Blank texts link with blank texts only. Null ids are never chosen unless no other is there.
+    Memory: a task holds the MinHashes, and up to 1024 shingles each, of the texts of one key.
     """
+    rows_in_band = band_rows(similarity)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    prints = stash(rows.mapInArrow(_two_prints(shingle), "doc_id long, text_key long, fp long, wide long"), "prints")
-    texts = stash(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "texts")
-    groups = stash(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "groups")
-    near = stash(links(groups.select("fp"), distance).distinct(), "near")  # a pair may meet under many keys
-    head = lambda c: groups.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_text"))
-    across = near.join(head("u"), "u").join(head("v"), "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
-    within = texts.join(groups, "fp").where(F.col("text_key") != F.col("head")).select(F.col("head").alias("u"), F.col("text_key").alias("v"))
-    # Shingle prints of texts at the similarity differ by an angle; 22 of 64 bits lie far above it.
-    wide = lambda c: texts.select(F.col("text_key").alias(c), F.col("wide").alias(f"{c}_wide"))
-    pairs = across.unionByName(within).join(wide("u"), "u").join(wide("v"), "v").where(F.bit_count(F.col("u_wide").bitwiseXOR(F.col("v_wide"))) <= 22).select("u", "v")
-    pairs = stash(pairs, "candidates")
-    # One copy of each text that takes part.
-    part = stash(pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct().join(texts.select("text_key", "rep"), "text_key"), "part")
-    body = stash(rows.join(part, (rows["text_key"] == part["text_key"]) & rows["doc_id"].eqNullSafe(part["rep"])).select(part["text_key"], "text"), "bodies")
-    side = lambda c: body.select(F.col("text_key").alias(c), F.col("text").alias(f"{c}_text"))
-    scored = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(_jaccard(shingle), "u long, v long, similarity double")
-    labels = stash(connected_components(scored.where(F.col("similarity") >= similarity).select("u", "v")), "labels")
-    member = stash(texts.select("text_key", "rep").join(labels.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("text_key", "rep", F.coalesce("label", "text_key").alias("label")), "members")
+    ids = stash(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "texts")
+    own = rows.join(ids, (rows["text_key"] == ids["text_key"]) & rows["doc_id"].eqNullSafe(ids["rep"])).select("doc_id", rows["text_key"], "text")
+    sketch = stash(own.mapInArrow(_sketch(shingle, rows_in_band), "doc_id long, text_key long, size int, least binary, keys array<long>"), "sketches")
+    met = sketch.select("text_key", F.posexplode("keys").alias("band", "key")).distinct()
+    met = stash(met.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1"), "met")
+    # Of many variants the original meets most others; a variant taken instead would be far from the rest.
+    score = met.groupBy("text_key").agg(F.sum("n").alias("score"))
+    head = met.join(score, "text_key").groupBy("key").agg(F.max(F.struct("score", "text_key")).alias("head")).select("key", F.col("head.text_key").alias("head"))
+    stars = met.join(head, "key").where(F.col("head") != F.col("text_key")).select(F.least("head", "text_key").alias("u"), F.greatest("head", "text_key").alias("v"))
+
+    def bodies(wanted: DataFrame, name: str) -> DataFrame:
+        part = stash(wanted.distinct().join(ids, "text_key"), f"{name}_part")  # one copy of each text that takes part
+        return rows.join(part, (rows["text_key"] == part["text_key"]) & rows["doc_id"].eqNullSafe(part["rep"])).select(part["text_key"], "text")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stash(pairs.distinct(), f"{name}_candidates")
+        body = stash(bodies(pairs.select(F.explode(F.array("u", "v")).alias("text_key")), name), f"{name}_bodies")
+        side = lambda c: body.select(F.col("text_key").alias(c), F.col("text").alias(f"{c}_text"))
+        scored = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(_jaccard(shingle), "u long, v long, similarity double")
+        return stash(scored.where(F.col("similarity") >= similarity).select("u", "v"), f"{name}_links")
+
+    near = verified(stars, "star")
+    tree = stash(connected_components(near), "trees")
+    apart = met.join(tree.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("key", "band", "text_key", F.coalesce("label", "text_key").alias("label"))
+    mixed = apart.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    open_ = stash(apart.join(mixed, "key"), "open")
+    sets = stash(bodies(open_.select("text_key"), "open").mapInArrow(_sets(shingle), "text_key long, shingles binary").dropDuplicates(["text_key"]), "sets")
+    full = open_.join(sketch.select("text_key", "size", "least"), "text_key").join(sets, "text_key").select("key", "band", "text_key", "label", "size", "least", "shingles")
+    rest = verified(full.repartition("key").sortWithinPartitions("key").mapInArrow(_across(similarity, rows_in_band), "u long, v long"), "rest")
+    labels = stash(connected_components(near.unionByName(rest)), "labels")
+    member = stash(ids.join(labels.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("text_key", "rep", F.coalesce("label", "text_key").alias("label")), "members")
     first = stash(member.groupBy("label").agg(F.min("rep").alias("component_id")), "firsts")
     named = stash(member.join(first, "label").select("text_key", "component_id"), "named")
-    return prints.select("doc_id", "text_key").join(named, "text_key")
+    return rows.select("doc_id", "text_key").join(named, "text_key")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
