@@ -223,6 +223,28 @@ def test_secret_spans(spark):
     assert s[4] == "" and s[5] == ""
 
 
+def test_secret_parts_link_past_overlapping_parts(spark):
+    # The two cases in which the first secret of a bin overlaps the asking part and its last lies beyond the scope.
+    rng = random.Random(3)
+    rows = [("a", "login", "identifier", 100, 108), ("a", "endpoint", "endpoint", 150, 280), ("a", "assign", "secret", 230, 244), ("a", "assign", "secret", 300, 317), ("a", "assign", "secret", 395, 410)]
+    kinds = [(k, v[0]) for k, v in secrets.KINDS.items()]
+    for d in range(40):
+        for _ in range(rng.randint(2, 14)):
+            k, r = rng.choice(kinds)
+            a = rng.randint(0, 900)
+            rows.append((f"d{d}", k, r, a, a + rng.randint(3, 150)))
+    rows = sorted(set(rows))
+    found = spark.createDataFrame([(d, 1, k, r, a, z) for d, k, r, a, z in rows], "doc_id string, text_key long, kind string, role string, start long, end long")
+    got = {(x["doc_id"], x["kind"], x["start"], x["end"]) for x in secrets.linked(found).collect()}
+    want = set()
+    for d, k, r, a, z in rows:
+        near = {q for e, _, q, b, y in rows if e == d and abs(b - a) <= 200 and (b >= z or y <= a)}
+        if k not in secrets.PLAIN and {"identifier": {"secret"}, "secret": {"identifier"}}.get(r, {"identifier", "secret"}) <= near:
+            want.add((d, k, a, z))
+    assert ("a", "endpoint", 150, 280) in want
+    assert got == want
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")).collect()}
     assert got[0] == "[secret] token: xyz [secret]\" end" and got[6] is None and got[7] == ""

@@ -1,8 +1,8 @@
 """Secret scans: plain patterns, and multipart credentials linked by an interval join within scopes.
 
 Three plain kinds are always reported. Weak parts (identifiers, secret-looking values, endpoints) are reported only
-where complementary parts lie together: the parts of a text are laid into bins of the scope's width, each part asks
-its own bin and both neighbours, and pairs within the scope link. Native expressions only.
+where complementary parts lie together: each part looks for the nearest parts of the other roles before and behind it,
+and links if they lie within the scope. Native expressions only.
 """
 
 from __future__ import annotations
@@ -66,21 +66,23 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts of ``found`` that have their complements within ``scope`` code points, as (…, kind, start, end).
 
     An identifier needs a secret and a secret an identifier; an endpoint needs both. Overlapping parts don't link.
-    Each part asks three bins, so a scope that repeats a part many times is met by counts and never by pairs: every
-    side is first reduced to the nearest part of each role by its bin.
+    Along a text's starts and ends, each part sees of every role the latest start among parts that ended before it and
+    the earliest start among parts that begin after it: no part in between can lie nearer, so a scope that repeats a
+    part many times never becomes pairs.
     """
     key = ["doc_id", "text_key"]
-    # By bin and role: the first and last part are enough to tell whether any lies within the scope of another bin's part.
-    bins = found.withColumn("bin", F.floor(F.col("start") / scope))
-    # Within one bin all starts are within the scope; for a neighbour bin, only its last (or first) start matters.
-    edge = bins.groupBy(*key, "bin", "role").agg(F.min(F.struct("start", "end")).alias("lo"), F.max(F.struct("start", "end")).alias("hi"))
-    weak = bins.where(~F.col("kind").isin(*PLAIN))
-    ask = weak.select(*key, "kind", F.col("role").alias("own"), "start", "end", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    met = ask.join(edge, [*key, "bin"]).where(F.col("own") != F.col("role"))
-    near = lambda p: (F.abs(F.col(f"{p}.start") - F.col("start")) <= scope) & ((F.col(f"{p}.start") >= F.col("end")) | (F.col(f"{p}.end") <= F.col("start")))
-    met = met.where(near("lo") | near("hi"))
-    has = lambda r: F.max((F.col("role") == r).cast("int")) == 1
-    seen = met.groupBy(*key, "kind", "own", "start", "end").agg(has("identifier").alias("i"), has("secret").alias("s"))
+    role, start = F.col("role"), F.col("start")
+    # Of an end and a start at one place the end comes first: such parts touch and don't overlap.
+    place = F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("opens")), F.struct(start.alias("at"), F.lit(1).alias("opens")))
+    marks = found.select(*key, "kind", "role", "start", "end", F.explode(place).alias("m")).select(*key, "kind", "role", "start", "end", "m.*")
+    so_far = lambda *by: W.partitionBy(*key).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    past, ahead = so_far("at", "opens"), so_far(F.desc("at"), F.desc("opens"))
+    last = lambda r: F.max(F.when((role == r) & (F.col("opens") == 0), start)).over(past)
+    following = lambda r: F.min(F.when((role == r) & (F.col("opens") == 1), start)).over(ahead)
+    sides = marks.select("*", *[f(r).alias(f"{n}_{r}") for r in ("identifier", "secret") for n, f in (("last", last), ("next", following))])
+    sides = sides.where(~F.col("kind").isin(*PLAIN))
+    has = lambda r: F.max(F.coalesce(F.when(F.col("opens") == 1, start - F.col(f"last_{r}")).otherwise(F.col(f"next_{r}") - start) <= scope, F.lit(False)))
+    seen = sides.groupBy(*key, "kind", role.alias("own"), "start", "end").agg(has("identifier").alias("i"), has("secret").alias("s"))
     whole = F.when(F.col("own") == "identifier", F.col("s")).when(F.col("own") == "secret", F.col("i")).otherwise(F.col("i") & F.col("s"))
     return seen.where(whole).select(*key, "kind", "start", "end")
 
