@@ -72,3 +72,24 @@ def test_registry_csv(spark, tmp_path):
     (tmp_path / "r.csv").write_bytes("﻿UNITID,INSTNM,INSTURL,CURROPER\n1,A,a.edu,1\nx,B,b.edu,0\n2,,c.edu,0\n3,C,https://c.edu,\n".encode())
     got = {r["unit_id"]: (r["name"], r["homepage"], r["operating"]) for r in readers.registry(spark, str(tmp_path / "r.csv")).collect()}
     assert got == {1: ("A", "https://a.edu", True), 3: ("C", "https://c.edu", None)}
+
+
+def test_document_queries_return_scores(spark, tmp_path):
+    import re
+
+    from tidemark.plans import catalog
+
+    texts = ["Physics of a machine", "learning by machine", "privacy of the database", "a data security note", "training data for a model", "model training data language", "data", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r["doc_id"]: r["score"] for r in catalog.QUERIES["document_score_shares"](spark, str(tmp_path)).collect()}
+    asked = {"model", "training", "data", "language"}
+    for i, t in enumerate(texts):
+        r = len(asked & set(re.findall("[a-z0-9]+", (t or "").lower()))) / 4
+        assert scores[i] == (85.0 if "model training data language" in (t or "") else 45 + 25 * r if r >= 0.75 else 0.0)
+    got = {(r["doc_id"], r["field"]): (r["combined"], r["decision"]) for r in catalog.QUERIES["classify_documents_decided"](spark, str(tmp_path)).collect()}
+    assert len(got) == 3 * len(texts)
+    assert got[(0, "physics")] == (54.0, "REVIEW_REQUIRED")
+    assert got[(1, "machine learning")] == (66.75, "AUTO_ACCEPTED")  # two of the three tokens of name and alias
+    assert got[(2, "data security")] == (35.0, "AUTO_REJECTED")
+    assert got[(3, "data security")] == (92.2, "AUTO_ACCEPTED")
+    assert got[(7, "physics")] == got[(8, "physics")] == (0.0, "AUTO_REJECTED")

@@ -268,6 +268,20 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, d).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.has_phrase(F.col("body"), F.col("field"))).alias("hits"))
 
 
+@query("classify_documents_decided")
+def classify_documents_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classifier says of every document and field. Documents have no title, so their whole text is the body."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    return _classified(spark, d).select("doc_id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
+
+
+@query("document_score_shares")
+def document_score_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole score, with the branches by shares of tokens. Documents have no title."""
+    asked = F.lit("model training data language")
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.score_document(F.lit(""), F.col("text"), asked).alias("score"))
+
+
 @query("backoff_delay", "SELECT event_id, least(21600, greatest(least(3600, 15 * power(2.0, event_id % 12)), coalesce(CASE WHEN value > 90 THEN floor(value * 300) END, 0)))::BIGINT wait, ('0x' || left(sha256(event_id::VARCHAR), 8))::BIGINT % 7 AS place FROM events")
 def backoff_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.when(F.col("value") > 90, F.floor(F.col("value") * 300))
