@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,18 @@ BREAKS = " \t\n\x0b\x0c\r"
 BREAK_RUN = r"[\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
+#: Spark's setting for deleting a query's shuffle files when the query ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder from spark.checkpoint.dir. Where that is unset, a temporary one on a local master
+    (tests) and an error on a cluster, whose executors would not see the driver's folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -28,18 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and any executor can
-    reread it after another is lost."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete a stashed table that nothing reads any more."""
+    reread it after another is lost. The shuffle files behind it go when the table is whole."""
     spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stash(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more; files outside of stashes stay."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if not re.search(r"/tidemark/[0-9a-f]{32}/[^/]+$", f):
+                continue
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
 def let(value: Column, body) -> Column:

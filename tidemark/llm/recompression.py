@@ -10,22 +10,22 @@ anchors, and only windows with an anchor that occurs twice are compared as windo
 1. texts -> anchors (name, first window, number of windows), one row per text;
 2. anchor names that occur twice or more -> the windows behind them, hashed;
 3. windows that occur twice or more: all but the first are marked;
-4. marked texts are cut.
+4. marked texts are cut, and runs of marked windows are held against the first ones' own words.
 
 Of equal texts only the one with the smallest id goes through 2 to 4; every window of the others starts earlier.
+Windows meet by a hash. A run whose words differ from those at its supposed first place shows that two windows share
+a hash; all windows of such hashes are then grouped by their words.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import blobs, drop_stash, stash
@@ -149,12 +149,12 @@ def _stretch_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return _mix((prefix[hi] - prefix[lo]) * down[lo] + (hi - lo).astype(_U))
 
 
-def window_hashes(h: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+def window_hashes(h: np.ndarray, start: np.ndarray, window: int, bits: int = 64) -> np.ndarray:
     x = np.zeros(len(start), _U)
     for j in range(window):
         x = (x ^ h[start + j]) * _U(0x9E3779B97F4A7C15)
         x ^= x >> _U(29)
-    return _mix(x)
+    return _mix(x) >> _U(64 - bits)
 
 
 def _batched(texts: list, most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -205,7 +205,7 @@ def _scan(window: int) -> Callable:
     return run
 
 
-def _windows(window: int) -> Callable:
+def _windows(window: int, bits: int) -> Callable:
     """(rid, doc_id, text, spans) -> the same texts with the hash of each window of the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _windows(window: int) -> Callable:
                 own = np.repeat(np.arange(m), per_span)
                 start = np.repeat(f, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
                 whose = np.repeat(own, c)
-                hashed = window_hashes(h, start + base[whose], window)
+                hashed = window_hashes(h, start + base[whose], window, bits)
                 per = np.bincount(whose, minlength=m)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, m), b.column(1).slice(at, m), b.column(2).slice(at, m), _lists(hashed.view(np.int64), per), _lists(start.astype(np.int32), per)],
@@ -238,20 +238,67 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+_MARK = "array<struct<start:int,own_doc:bigint,own_start:int>>"
+
+
 def _cut(window: int, texts_out: bool) -> Callable:
-    """(rid, text, starts) -> words removed, digest of the kept words and, if asked for, the kept text."""
+    """(rid, text, marks) -> words removed, digest of the kept words, if asked for the kept text, and the runs of
+    marked windows that have their first places side by side: first place, number of windows, digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, sha, left = [], [], []
-            for t, s in zip(blobs(b.column(1)), b.column(2)):
+            removed, sha, left, runs = [], [], [], []
+            marks = b.column(2)
+            ends = np.asarray(marks.offsets).tolist()
+            at, doc, place = (np.asarray(x) for x in marks.values.flatten())
+            for t, x, y in zip(blobs(b.column(1)), ends, ends[1:]):
                 w = (t or b"").split()
-                gone = _covered(len(w), np.asarray(s.values), window)
+                order = np.argsort(at[x:y], kind="stable")
+                s, d, o = at[x:y][order], doc[x:y][order], place[x:y][order]
+                gone = _covered(len(w), s.astype(np.int64), window)
                 kept = [w[i] for i in np.flatnonzero(~gone).tolist()]
                 removed.append(int(gone.sum()))
                 sha.append(sha256(b" ".join(kept)).hexdigest())
                 left.append(_keep_layout(t or b"", gone) if texts_out else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha), pa.array(left, pa.string())], ["rid", "n_removed", "sha", "left"])
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), (np.diff(s) != 1) | (np.diff(d) != 0) | (np.diff(o) != 1))))
+                size = np.diff(np.concatenate((first, [len(s)])))
+                runs.append([{"start": i, "own_doc": j, "own_start": k, "n": n, "words": sha256(b" ".join(w[i : i + n + window - 1])).digest()[:16]} for i, j, k, n in zip(s[first].tolist(), d[first].tolist(), o[first].tolist(), size.tolist())])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("own_doc", pa.int64()), ("own_start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha), pa.array(left, pa.string()), pa.array(runs, kind)], ["rid", "n_removed", "sha", "left", "runs"])
+
+    return run
+
+
+def _digests(window: int) -> Callable:
+    """(doc_id, text, asked) -> the digest of the words of each run of windows asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, start, size, words = [], [], [], []
+            for i, t, asked in zip(b.column(0).to_pylist(), blobs(b.column(1)), b.column(2).to_pylist()):
+                w = (t or b"").split()
+                for x in asked:
+                    a, n = x["own_start"], x["n"]
+                    if a + n + window - 1 <= len(w):
+                        doc.append(i)
+                        start.append(a)
+                        size.append(n)
+                        words.append(sha256(b" ".join(w[a : a + n + window - 1])).digest()[:16])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.binary())], ["own_doc", "own_start", "n", "words"])
+
+    return run
+
+
+def _spelled(window: int) -> Callable:
+    """(rid, doc_id, text, starts) -> the words of each window, joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, doc, t, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), blobs(b.column(2)), b.column(3).to_pylist()):
+                w = (t or b"").split()
+                for i in range(0, len(starts), 1024):
+                    part = starts[i : i + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(part), pa.int64()), pa.array([doc] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array([b" ".join(w[s : s + window]) for s in part], pa.binary())], ["rid", "doc_id", "start", "words"])
 
     return run
 
@@ -267,75 +314,90 @@ def _keep_layout(t: bytes, gone: np.ndarray) -> str:
     return (b"".join(out)).decode("utf-8", "replace")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been stashed."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)  # Spark's cleaner works in a thread of its own
+def _first(windows: DataFrame, by: str) -> DataFrame:
+    """Windows (rid, doc_id, start, ``by``) that start later than another with the same ``by``, with the first place."""
+    owner = windows.groupBy(by).agg(F.min(F.struct("doc_id", "start")).alias("o"), F.count(F.lit(1)).alias("k")).where("k > 1").select(by, F.col("o.doc_id").alias("own_doc"), F.col("o.start").alias("own_start"))
+    owner = stash(owner, "owners")
+    marked = windows.join(owner, by).where((F.col("doc_id") != F.col("own_doc")) | (F.col("start") != F.col("own_start")))
+    marked = stash(marked.select("rid", "start", "own_doc", "own_start"), "marked")
+    drop_stash(owner)
+    return marked
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, hash_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: (doc_id, text_key, n_words, n_removed, kept_sha256[, left]).
 
     A word goes if a window of ``window`` words that covers it has its word sequence start earlier too: in a text
     with a smaller id, or earlier in the same one. Null and short texts keep all; null ids come last; rows with an
     equal id are one document's, and of their equal starts neither is earlier. With ``texts``, ``left`` is the
     remaining text where words went, null elsewhere. Memory: a task holds one Arrow batch; the windows of a text go
-    to one task only as a list of starts.
+    to one task only as a list of starts. The result doesn't depend on ``hash_bits``, the width of the windows' hashes.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = stash(rows.mapInArrow(_scan(window), _FOUND), "anchors")
     base = stash(found.select("rid", "doc_id", "text_key", "n_words", "sha"), "base")
 
-    # Equal texts: all but those with the smallest id are covered whole.
-    one = stash(base.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
-    copy = stash(base.join(one, "sha").where(F.col("doc_id") > F.col("least")).select("rid"), "covered")
+    # Equal texts: all but those with the smallest id are covered whole; of rows that repeat an id too, one stands for all.
+    one = stash(base.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    same = stash(base.join(one, "sha").where(F.col("rid") != F.col("first.rid")).select("rid", F.col("first.rid").alias("first"), (F.col("doc_id") > F.col("least")).alias("covered")), "covered")
+    repeated = stash(same.where("not covered").select("first").distinct(), "repeated")
 
     every = found.select("rid", F.explode(F.arrays_zip("names", "starts", "counts")).alias("x")).select("rid", F.col("x.names").alias("name"), "x.starts", "x.counts")
     twice = stash(every.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
-    _release(spark)
     spans = stash(every.join(twice, "name").select("rid", "starts", "counts"), "spans")
-    drop_stash(twice)
-    drop_stash(found)
-    _release(spark)
-    per_text = spans.join(copy, "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("starts", "counts")).alias("s"))
+    drop_stash(twice, found)
+    per_text = spans.join(same, "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("starts", "counts")).alias("s"))
     wanted = stash(per_text.join(base, "rid").select("rid", "doc_id", "text_key", F.col("s.starts").alias("starts"), F.col("s.counts").alias("counts")), "wanted")
     drop_stash(spans)
-    _release(spark)
-    # Rows that repeat an id and its text meet each other here; their results are equal and one of each is kept below.
-    met = wanted.join(rows, ["doc_id", "text_key"])
-    hashed = stash(met.select("rid", "doc_id", "text", "starts", "counts").mapInArrow(_windows(window), "rid long, doc_id long, text string, hashes array<long>, starts array<int>"), "windows")
-    drop_stash(wanted)
-    _release(spark)
+    # Rows that repeat an id and its text all meet the one that stands for them.
+    many = wanted.join(repeated, F.col("rid") == F.col("first"), "left_semi")
+    lone = wanted.join(repeated, F.col("rid") == F.col("first"), "left_anti")
+    met = lambda x: x.join(rows, ["doc_id", "text_key"]).select("rid", "doc_id", "text", "starts", "counts")
+    hashed = stash(met(lone).unionByName(met(many).dropDuplicates(["rid"])).mapInArrow(_windows(window, hash_bits), "rid long, doc_id long, text string, hashes array<long>, starts array<int>"), "windows")
+    drop_stash(wanted, repeated)
     w = hashed.select("rid", "doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("x")).select("rid", "doc_id", F.col("x.hashes").alias("hash"), F.col("x.starts").alias("start"))
-    owner = stash(w.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", F.col("o.doc_id").alias("own_doc"), F.col("o.start").alias("own_start")), "owners")
-    _release(spark)
-    marked = stash(w.join(owner, "hash").where((F.col("doc_id") != F.col("own_doc")) | (F.col("start") != F.col("own_start"))).select("rid", "start"), "marked")
-    drop_stash(owner)
-    _release(spark)
-    starts = marked.groupBy("rid").agg(F.collect_list("start").alias("starts"))
-    cut = hashed.select("rid", "text").join(starts, "rid").mapInArrow(_cut(window, texts), "rid long, n_removed long, sha string, left string")
-    whole = copy.join(base, "rid").select("rid", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("left"))
-    gone = stash(cut.unionByName(whole).dropDuplicates(["rid"]), "cut")
-    out = base.alias("b").join(gone.alias("g"), "rid", "left").select(
+    marked = _first(w, "hash")
+
+    def cut(marks: DataFrame) -> DataFrame:
+        lists = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "own_doc", "own_start")).cast(_MARK).alias("marks"))
+        done = hashed.select("rid", "text").join(lists, "rid").mapInArrow(_cut(window, texts), "rid long, n_removed long, sha string, left string, runs array<struct<start:int,own_doc:bigint,own_start:int,n:int,words:binary>>")
+        return stash(done, "cut")
+
+    gone = cut(marked)
+    runs = gone.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
+    asked = runs.select("own_doc", "own_start", "n").distinct().groupBy("own_doc").agg(F.collect_list(F.struct("own_start", "n")).alias("asked"))
+    own = hashed.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("own_doc")).select("doc_id", "text", "asked").mapInArrow(_digests(window), "own_doc long, own_start int, n int, words binary")
+    false = stash(runs.join(own, ["own_doc", "own_start", "n", "words"], "left_anti").select("rid", "start", "n"), "false")
+    if not false.isEmpty():
+        at = false.select("rid", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start"))
+        shared = w.join(at, ["rid", "start"], "left_semi").select("hash").distinct()
+        doubt = stash(w.join(shared, "hash").select("rid", "start"), "doubt")
+        spelled = hashed.select("rid", "doc_id", "text").join(doubt.groupBy("rid").agg(F.collect_list("start").alias("starts")), "rid").select("rid", "doc_id", "text", "starts")
+        right = _first(stash(spelled.mapInArrow(_spelled(window), "rid long, doc_id long, start int, words binary"), "spelled"), "words")
+        gone = cut(marked.join(doubt, ["rid", "start"], "left_anti").unionByName(right))
+    drop_stash(hashed, marked)
+    cols = ["n_removed", "sha", "left"]
+    whole = same.where("covered").join(base, "rid").select("rid", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("left"))
+    again = same.where("not covered").join(gone.select(F.col("rid").alias("first"), *cols), "first").select("rid", *cols)
+    every_gone = gone.select("rid", *cols).unionByName(whole).unionByName(again)
+    out = base.alias("b").join(every_gone.alias("g"), "rid", "left").select(
         F.when(F.col("b.doc_id") < LAST_ID, F.col("b.doc_id")).alias("doc_id"), "b.text_key", "b.n_words", F.coalesce("g.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("g.sha", "b.sha").alias("kept_sha256"), F.col("g.left").alias("left")
     )
-    drop_stash(hashed)
-    drop_stash(marked)
-    _release(spark)
     return out if texts else out.drop("left")
 
 
 def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the repeated words taken out of their texts; rows of which no word is left go.
 
-    All columns stay; ``chars_col`` is counted anew where the text changed.
+    All columns stay, whatever their names; ``chars_col`` is counted anew where the text changed.
     """
-    r = substring_dedup(docs, window, id_col, text_col, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("left").alias("__left"), (F.col("n_words") == F.col("n_removed")).alias("__none")).dropDuplicates(["__id", "__key"])
-    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    j = docs.join(r, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left").where(F.coalesce(~F.col("__none"), F.lit(True)))
-    text = F.coalesce("__left", F.col(f"`{text_col}`"))
-    new = {text_col: text} | ({chars_col: F.when(F.col("__left").isNotNull(), F.length("__left").cast(dict(docs.dtypes)[chars_col])).otherwise(F.col(f"`{chars_col}`"))} if chars_col in docs.columns else {})
-    return j.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    r = substring_dedup(docs, window, id_col, text_col, texts=True).where("n_removed > 0").select("doc_id", "text_key", "left", (F.col("n_words") == F.col("n_removed")).alias("none")).dropDuplicates(["doc_id", "text_key"])
+    text, own = F.col(f"`{text_col}`"), lambda c: F.col("row").getField(c)
+    key = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    j = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key.alias("key"), F.struct("*").alias("row"))
+    j = j.join(r, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left").where(F.coalesce(~F.col("none"), F.lit(True)))
+    new = {text_col: F.coalesce("left", own(text_col))}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("left").isNotNull(), F.length("left").cast(dict(docs.dtypes)[chars_col])).otherwise(own(chars_col))
+    return j.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])
