@@ -1,10 +1,13 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index; weighted votes.
 
-A bounded sample of labelled rows (``sample`` with the label, four times as many without) tells which terms speak for or against the
-label, and gives the examples. Inverse document frequencies of these terms are counted over all documents. The index
-holds the examples in blocks with each term's largest weight per block; a query visits blocks from the largest bound
-down and stops when no block can reach its k-th best score, so its neighbours are exact. Votes weigh by cosine, the
-share of votes is calibrated on labelled rows that are no examples, and the neighbours are the evidence.
+The examples are a bounded sample of labelled rows. Their vectors, and those of the texts asked about, are over all
+terms that two sampled texts hold and not too many do: term frequency (log) times inverse document frequency over all
+documents, and times the term's standard errors where it speaks for the label. The index holds the examples in blocks
+with each term's largest weight per block; a query visits blocks from the largest bound down and stops when no block
+can reach its k-th best cosine, so its neighbours are exact. Votes weigh by the squared cosine beside a little weight
+of the prior; the share of votes is calibrated on sampled rows that are no examples, and the neighbours are the
+evidence. Bags of terms, their counts and the calibration's votes are made in tasks; the driver sees counted terms and
+the examples' vectors, whose numbers the parameters bound, and no text.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blobs, fold
+from tidemark.llm.common import blobs, drop_stash, fold, stash
 
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: The prior's vote beside those of neighbours, in squared cosines.
+BLANK = 0.25
+TIE = 1e-12
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -28,127 +34,126 @@ def terms(text: bytes | None) -> list[bytes]:
     return TERM.findall((text or b"").decode("utf-8", "replace").lower().encode())
 
 
-def copy_weights(sets: list[set[bytes]], rare: int = 30, marks: int = 3) -> np.ndarray:
-    """1 / size of each text's group of near copies: texts that share two rare terms which are next
-    to each other among those of lowest hash are copies."""
+def copy_mark(bag: Counter) -> int:
+    """One number for a text and most of its near copies: of the two terms of lowest hash."""
     import xxhash
 
-    df = Counter(w for s in sets for w in s)
-    up = list(range(len(sets)))
+    low = sorted(map(xxhash.xxh64_intdigest, bag))[:2]
+    return xxhash.xxh64_intdigest(repr(low).encode()) >> 1
 
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
 
-    first: dict[tuple[bytes, ...], int] = {}
-    for i, s in enumerate(sets):
-        low = sorted((w for w in s if 1 < df[w] <= rare), key=xxhash.xxh64_intdigest)[:marks]
-        for two in zip(low, low[1:]):
-            up[root(i)] = root(first.setdefault(two, i))
-    roots = [root(i) for i in range(len(sets))]
-    size = Counter(roots)
-    return np.array([1 / size[r] for r in roots])
+def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, text) -> its terms with their frequencies."""
+    for b in batches:
+        for i in range(b.num_rows):
+            bag = Counter(terms(blobs(b.column(2).slice(i, 1))[0]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([copy_mark(bag)], pa.int64()), pa.array([list(bag)], pa.list_(pa.binary())), pa.array([list(bag.values())], pa.list_(pa.int32()))],
+                ["doc_id", "y", "mark", "terms", "tf"],
+            )
 
 
-def choose_terms(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 5.0, least_n: float = 4.0) -> list[bytes]:
-    """Terms that the label's texts hold more often than the others by ``least_z`` standard errors, strongest first.
+def stresses(on: np.ndarray, off: np.ndarray, n_on: float, n_off: float, least_z: float = 5.0, least_n: float = 4.0) -> np.ndarray:
+    """The factor of each term, from the (weighted) texts with the label and without that hold it: the standard errors
+    by which the label's texts hold it more often, if that's at least ``least_z`` and five times as often; else 1."""
+    if not n_on or not n_off:
+        return np.ones(len(on))
+    p = (on + off) / (n_on + n_off)
+    z = (on / n_on - off / n_off) / np.sqrt(p * (1 - p) * (1 / n_on + 1 / n_off) + 1e-12)
+    return np.where((z >= least_z) & (on >= least_n) & (on / n_on >= 5 * off / n_off), z, 1.0)
 
-    A group of near copies counts as one text, so no passage that was copied often passes for a sign of the label.
-    """
-    sets = [words for words, _ in docs]
-    y = np.array([y for _, y in docs], bool)
-    weight = np.ones(len(docs))
-    for side in (True, False):
-        own = np.flatnonzero(y == side)
-        weight[own] = copy_weights([sets[i] for i in own.tolist()])
-    n1, n0 = weight[y].sum(), weight[~y].sum()
-    if not n1 or not n0:
-        return []
-    on, off = Counter(), Counter()
-    for s, w, side in zip(sets, weight.tolist(), y.tolist()):
-        to = on if side else off
-        for x in s:
-            to[x] += w
-    names = [w for w in on if on[w] >= least_n]
-    a = np.array([on[w] for w in names], float)
-    b = np.array([off[w] for w in names], float)
-    p = (a + b) / (n1 + n0)
-    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    good = np.flatnonzero((z >= least_z) & (a / n1 >= 5 * b / n0))
-    return [names[i] for i in good[np.argsort(-z[good], kind="stable")][:most]]
+
+def _spread(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All places of the ranges [start, stop), one after another."""
+    size = stop - start
+    total = np.cumsum(size)
+    return np.repeat(stop - total, size) + np.arange(int(total[-1]) if len(total) else 0)
 
 
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors in blocks, with the largest weight of each term in each block."""
+    """Examples as sparse unit vectors in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], n_terms: int, block: int = 32) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: (labels[i], max(vectors[i], key=lambda t: vectors[i][t], default=-1), ids[i]))
-        self.block = block
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], n_terms: int, block: int = 32) -> None:
+        # Examples with a like strongest term stand together, so that bounds differ between blocks.
+        lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (lead[i], labels[i], ids[i]))
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = np.array([ids[i] for i in order], np.int64)
-        n = len(order)
-        self.n_blocks = -(-n // block)
-        self.bound = np.zeros((n_terms, self.n_blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                postings[t].append((at, w))
-                self.bound[t, at // block] = max(self.bound[t, at // block], w)
-        # Postings per term in order of examples, and where each block's begin.
-        self.where = [np.array([a for a, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        self.start = [np.searchsorted(w, np.arange(self.n_blocks + 1) * block) for w in self.where]
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest with a cosine above 0; ties by place."""
-        if not query:
+        self.n_blocks = -(-len(order) // block)
+        size = np.array([len(vectors[i][0]) for i in order], np.int64)
+        row = np.repeat(np.arange(len(order), dtype=np.int32), size)
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        by = np.lexsort((row, term))
+        self.row, self.weight, term = row[by], weight[by], term[by]
+        group = term.astype(np.int64) * max(1, self.n_blocks) + self.row // block
+        # One entry per term and block: its postings [first, first of the next) and their largest weight.
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(group)), bool), group[1:] != group[:-1])))
+        self.first = np.concatenate((first, [len(group)]))
+        self.block = (group[first] % max(1, self.n_blocks)).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(group[first] // max(1, self.n_blocks), np.arange(n_terms + 1))
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines), best first, of the k nearest with a cosine above 0 and of all that tie with the last."""
+        a, z = self.entry[term], self.entry[term + 1]
+        at, q = _spread(a, z), np.repeat(weight, z - a)
+        block = self.block[at]
+        bounds = np.bincount(block, q * self.bound[at], self.n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        rows, scores, least, done, step = [], [], 0.0, 0, 8
+        while done < len(order) and bounds[order[done]] >= least - TIE:
+            now = order[done : done + step]
+            now = now[bounds[now] >= least - TIE]
+            mine = np.zeros(self.n_blocks, bool)
+            mine[now] = True
+            own = np.flatnonzero(mine[block])
+            lo, hi = self.first[at[own]], self.first[at[own] + 1]
+            post = _spread(lo, hi)
+            score = np.bincount(self.row[post], self.weight[post] * np.repeat(q[own], hi - lo), len(self.labels))
+            hit = np.flatnonzero(score > 0)
+            rows.append(hit)
+            scores.append(score[hit])
+            every = np.concatenate(scores)
+            least = np.partition(every, len(every) - k)[len(every) - k] if len(every) >= k else 0.0
+            done, step = done + len(now), step * 4
+        if not rows:
             return np.zeros(0, np.int64), np.zeros(0)
-        t, w = np.fromiter(query, np.int64), np.fromiter(query.values(), float)
-        bounds = w @ self.bound[t]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for x, q in zip(t.tolist(), w.tolist()):
-                lo, hi = self.start[x][b], self.start[x][b + 1]
-                if hi > lo:
-                    score[self.where[x][lo:hi] - b * self.block] += q * self.weight[x][lo:hi]
-            at = np.flatnonzero(score > 0)
-            best_at, best = np.concatenate((best_at, at + b * self.block)), np.concatenate((best, score[at]))
-            keep = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[keep], best[keep]
-        return best_at, best
+        row, score = np.concatenate(rows), np.concatenate(scores)
+        keep = score >= least - TIE
+        row, score = row[keep], score[keep]
+        best = np.lexsort((row, -score))
+        return row[best], score[best]
 
 
 class Model:
-    """Terms, their inverse document frequencies, the index and the calibration."""
+    """Terms, their weights, the index and the calibration."""
 
     def __init__(self, names: list[bytes], k: int) -> None:
         self.place = {w: i for i, w in enumerate(names)}
-        self.idf = np.ones(len(names))
+        self.factor = np.ones(len(names))
         self.k = k
-        self.index: BlockMaxIndex | None = None
+        self.index = BlockMaxIndex([], [], [], len(names))
         self.scale, self.shift, self.prior = 1.0, 0.0, 0.0
 
-    def counts(self, text: bytes | None) -> Counter:
+    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector of a bag of terms: places, in order, and weights."""
         get = self.place.get
-        return Counter(i for w in terms(text) if (i := get(w)) is not None)
-
-    def vector(self, text: bytes | None) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in self.counts(text).items()}
-        size = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in v.items()} if size else {}
-
-    def vote(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of votes for the label, neighbours' ids, cosines). Missing neighbours vote by the prior."""
-        at, cos = self.index.nearest(self.vector(text), self.k)
+        own = sorted((i, n) for w, n in bag.items() if (i := get(w)) is not None)
+        t = np.array([i for i, _ in own], np.int64)
+        w = (1 + np.log(np.array([n for _, n in own], float))) * self.factor[t]
+        return t, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def vote(self, bag: Counter) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of votes for the label, neighbours' ids, cosines). Examples that tie for the last place share it."""
+        at, cos = self.index.nearest(*self.vector(bag), self.k)
         w = cos**2
-        blank = 0.25 * (self.k - len(at)) / self.k
-        share = (float(w @ self.index.labels[at]) + blank * self.prior) / (float(w.sum()) + blank) if len(at) or blank else self.prior
-        return share, self.index.ids[at], cos
+        if len(at) > self.k:
+            tied = cos <= cos[self.k - 1] + TIE
+            w[tied] *= (self.k - (~tied).sum()) / tied.sum()
+        share = (float(w @ self.index.labels[at]) + BLANK * self.prior) / (float(w.sum()) + BLANK)
+        return share, self.index.ids[at[: self.k]], cos[: self.k]
 
     def score(self, share: float) -> float:
         return float(1 / (1 + np.exp(-(self.scale * share + self.shift))))
@@ -167,19 +172,14 @@ class Model:
         self.scale, self.shift = float(b[0]), float(b[1])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> list:
-    """At most ``sample`` texts with the label and four times as many without, by a hash of the id."""
-    picked = [labels.where(F.col(label) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (1 if y else 4)) for y in (1, 0)]
-    ids = picked[0].unionByName(picked[1])
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.col(label).cast("int").alias("y"), "text").collect()
-
+def _document_counts(place):
+    """Texts that hold each term of a broadcast table, and texts in all as term -1."""
 
-def _document_counts(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = Counter(), 0
+        get, df, n = place.value.get, Counter(), 0
         for b in batches:
             for t in blobs(b.column(0)):
-                df.update(model.counts(t).keys())
+                df.update({i for w in set(terms(t)) if (i := get(w)) is not None})
                 n += 1
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(df.keys()), pa.int64()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
@@ -187,47 +187,84 @@ def _document_counts(model: Model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_terms: int, k: int, example_share: float = 0.5) -> Model:
+def _bags_of(b: pa.RecordBatch) -> list[Counter]:
+    return [Counter(dict(zip(t, n))) for t, n in zip(b.column(b.schema.get_field_index("terms")).to_pylist(), b.column(b.schema.get_field_index("tf")).to_pylist())]
+
+
+def _vectors(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [model.value.vector(x) for x in _bags_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.tolist() for t, _ in v], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in v], pa.list_(pa.float64()))], ["doc_id", "y", "t", "w"])
+
+    return run
+
+
+def _shares(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.value.vote(x)[0] for x in _bags_of(b)], pa.float64())], ["y", "share"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_terms: int, common: float, k: int) -> Model:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows only."""
-    rows = [(r["doc_id"], r["y"], (r["text"] or "").encode()) for r in _sampled(docs, labels, label, sample)]
-    rows.sort(key=lambda r: (r[0], r[2]))
-    pool: dict[bytes, bytes] = {}  # one object for each term, however many texts hold it
-    model = Model(choose_terms([({pool.setdefault(w, w) for w in terms(t)}, y) for _, y, t in rows], most_terms), k)
-    pool.clear()
-    df = docs.select("text").mapInArrow(_document_counts(model), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = {r["term"]: r["n"] for r in df}
-    for i in range(len(model.idf)):
-        model.idf[i] = np.log((1 + n.get(-1, 0)) / (1 + n.get(i, 0))) + 1
-    rng = np.random.default_rng(11)
-    example = rng.random(len(rows)) < example_share
-    own = [r for r, e in zip(rows, example) if e]
-    vectors = [model.vector(t) for _, _, t in own]
-    model.index = BlockMaxIndex(vectors, [y for _, y, _ in own], [i for i, _, _ in own], len(model.idf))
+    spark = docs.sparkSession
+    share = lambda x: spark.sparkContext.broadcast(x)
+    picked = [labels.where(F.col(label) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (1 if y else 4)) for y in (1, 0)]
+    ids = picked[0].unionByName(picked[1])
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.col(label).cast("int").alias("y"), "text")
+    bags = stash(rows.mapInArrow(_bag, "doc_id long, y int, mark long, terms array<binary>, tf array<int>"), "bags")
+    # A group of near copies counts as one text, so no passage that was copied often passes for a sign of the label.
+    size = bags.groupBy("y", "mark").agg(F.count(F.lit(1)).alias("size"))
+    held = bags.join(size, ["y", "mark"]).select("y", (1 / F.col("size")).alias("w"), F.explode("terms").alias("term"))
+    n = {r["y"]: (r["n"], r["w"]) for r in bags.join(size, ["y", "mark"]).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("size")).alias("w")).collect()}
+    (n1, w1), (n0, w0) = n.get(1, (0, 0.0)), n.get(0, (0, 0.0))
+    on, off = (F.sum(F.when(F.col("y") == y, F.col("w")).otherwise(0.0)).alias(c) for y, c in ((1, "a"), (0, "b")))
+    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"), on, off).where("n > 1")
+    kept = counted.orderBy(F.desc("n"), "term").limit(most_terms).toArrow()
+    names, a, b = kept.column("term").to_pylist(), kept.column("a").to_numpy(), kept.column("b").to_numpy()
+    factor = stresses(a, b, w1, w0)
+    some = (kept.column("n").to_numpy() <= common * (n1 + n0)) | (factor > 1) if len(names) else np.zeros(0, bool)
+    names, factor = [names[i] for i in np.flatnonzero(some).tolist()], factor[some]
+    model = Model(names, k)
+    df = docs.select("text").mapInArrow(_document_counts(share(model.place)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    have = dict(zip(df.column("term").to_pylist(), df.column("n").to_pylist()))
+    model.factor = factor * (np.log((1 + have.get(-1, 0)) / (1 + np.array([have.get(i, 0) for i in range(len(names))], float))) + 1)
+    side = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0
+    own = bags.where(side).mapInArrow(_vectors(share(model)), "doc_id long, y int, t array<int>, w array<double>").toArrow()
+    vectors = [(t.values.to_numpy().astype(np.int64), w.values.to_numpy()) for t, w in zip(own.column("t"), own.column("w"))]
+    model.index = BlockMaxIndex(vectors, own.column("y").to_pylist(), own.column("doc_id").to_pylist(), len(names))
     total = labels.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
     model.prior = float(total or 0.0)
-    rest = [r for r, e in zip(rows, example) if not e]
-    if rest:
-        model.calibrate(np.array([model.vote(t)[0] for _, _, t in rest]), np.array([y for _, y, _ in rest], float))
+    rest = bags.where(~side).mapInArrow(_shares(share(model)), "y int, share double").toArrow()
+    if rest.num_rows:
+        model.calibrate(rest.column("share").to_numpy(), rest.column("y").to_numpy().astype(float))
+    drop_stash(bags)
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 800, most_terms: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, most_terms: int = 100_000, common: float = 0.1, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, held_out, score, votes, neighbours array<long>, cosines array<double>).
 
     Labels are read only where the crc32 of the id modulo ``folds`` is not ``held_fold``; rows with null labels or ids
-    teach nothing. Of those, at most ``sample`` with the label and four times as many without are used. The terms that count number ``most_terms`` at
-    most. A text without such terms, null and empty texts too, has no neighbours and scores by the prior vote. Without
-    any labelled row all score alike. The model, of a size that these bounds fix, goes to all tasks.
+    teach nothing. Of those, at most ``sample`` with the label and four times as many without are used, half of them as
+    examples and half for calibration. The terms are those of two sampled texts or more and of at most the share
+    ``common`` of them, unless they speak for the label; they number ``most_terms`` at most, the most frequent first.
+    A text without such terms, null and empty texts too, has no neighbours and scores by the prior vote. Examples that
+    tie for the last of ``k`` places share its vote, so their order never decides. Without any labelled row all score
+    alike. The model, of a size that these bounds fix, goes to all tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = lambda c: F.coalesce(fold(F.col(c), folds) == held_fold, F.lit(False))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).dropDuplicates(["doc_id"])
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, most_terms, k))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, most_terms, common, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            votes = [m.vote(t) for t in blobs(b.column(2))]
+            votes = [m.vote(Counter(terms(t))) for t in blobs(b.column(2))]
             share = [v[0] for v in votes]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([m.score(s) for s in share], pa.float64()), pa.array(share, pa.float64()), pa.array([v[1].tolist() for v in votes], pa.list_(pa.int64())), pa.array([v[2].tolist() for v in votes], pa.list_(pa.float64()))],
