@@ -25,6 +25,8 @@ LENGTH = 4096
 # ASCII signs that, behind a word, make a unit of their own.
 TAIL = b".,!?%$&*#|;:\"()<>/-"
 CACHED_WORDS = 400_000
+#: Longer words go to the tokenizer: merging a row of symbols costs the square of its length.
+LONG_WORD = 400
 
 
 class LetterMerges:
@@ -118,8 +120,8 @@ class WordEncoder:
     """Ids of whole texts from the ids of their words: the tokenizer's units never cross ASCII white space.
 
     Words are encoded once and kept, up to a number of words; ids are unsigned 16-bit where the vocabulary allows. A
-    word of letters, with signs behind it or not, is merged here, many words at a time; any other goes
-    through the tokenizer.
+    word of letters, with signs behind it or not, is merged here, many words at a time; any other, and any of more than
+    LONG_WORD bytes, goes through the tokenizer.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -146,6 +148,8 @@ class WordEncoder:
         for w in words:
             if (x := old.get(w)) is not None:
                 known[w] = x
+            elif len(w) > LONG_WORD:
+                other.append(w)
             elif w.isalpha() and w.islower():
                 plain.append(w)
             else:
