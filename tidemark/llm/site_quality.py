@@ -5,7 +5,7 @@ against the labels' base rate. Every document then gives its host and its path a
 documents by their label, others by their evidence at a discount. Shares are summed by grouped aggregation, and each
 level shrinks toward the one above: paths toward their host, hosts toward the global rate, the less the more
 documents they have. The prior strengths come from the spread between hosts and between paths of one host. A
-document's posterior odds are its path's odds times its own evidence.
+document's posterior odds are its path's odds, as all other documents give them, times its own evidence.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
 
     Labels are read where the crc32 of the id modulo ``folds`` is not ``held_fold``; the weights are fitted on at most
     ``sample`` of those rows (by a hash of the id), the rates on all. ``evidence``: log odds against the base rate;
+    ``host_rate`` and ``path_rate``: those of all documents but this one;
     ``score``: posterior probability of a good text; kept from ``least`` on. Null hosts and paths are groups of their
     own; null ids are never labelled; without labels the evidence is zero and the rate one half.
     """
@@ -93,19 +94,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
     prob = lambda z: 1 / (1 + F.exp(-z))
     prior = float(np.log(mean / (1 - mean)))
     seen = shapes.select("doc_id", "host", "path", (logit - F.lit(prior if weights.any() else 0.0)).alias("evidence"))
-    seen = stash(seen.join(taught, "doc_id", "left"), "evidence")
-    own = prob(F.col("evidence") + prior)
+    seen = seen.join(taught, "doc_id", "left")
     weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(discount)
-    gain = weight * F.coalesce("y", own)
-    paths = stash(seen.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(gain).alias("good")), "paths")
+    seen = stash(seen.select("doc_id", "host", "path", "evidence", weight.alias("w"), (weight * F.coalesce("y", prob(F.col("evidence") + prior))).alias("gain")), "evidence")
+    paths = stash(seen.groupBy("host", "path").agg(F.sum("w").alias("n"), F.sum("gain").alias("good")), "paths")
     hosts = stash(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood")), "hosts")
     t = hosts.agg(F.sum("hgood").alias("g"), F.sum("hn").alias("n")).first()
     centre = min(max(t["g"] / t["n"], 0.01), 0.99) if t["n"] else 0.5
     k_host = _strength(hosts, "hn", "hgood", F.lit(centre))
-    hosts = hosts.withColumn("host_rate", (F.col("hgood") + k_host * centre) / (F.col("hn") + k_host))
-    both = stash(paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "p.n", "p.good", "h.host_rate"), "rates")
+    rate = lambda good, n, k, above: F.least(F.greatest((good + k * above) / (n + k), F.lit(1e-6)), F.lit(1 - 1e-6))
+    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "p.n", "p.good", "h.hn", "h.hgood")
+    both = stash(both.withColumn("host_rate", rate(F.col("hgood"), F.col("hn"), k_host, F.lit(centre))), "rates")
     k_path = _strength(both, "n", "good", F.col("host_rate"))
-    rates = both.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
+    rates = both.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "good", "hn", "hgood")
     on = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    # A document's own share is taken out of its path and host, so that it doesn't speak twice.
+    j = seen.join(rates, on).withColumn("host_rate", rate(F.col("hgood") - F.col("gain"), F.col("hn") - F.col("w"), k_host, F.lit(centre)))
+    j = j.withColumn("path_rate", rate(F.col("good") - F.col("gain"), F.col("n") - F.col("w"), k_path, F.col("host_rate")))
     score = prob(odds(F.col("path_rate")) + F.col("evidence"))
-    return seen.join(rates, on).select("doc_id", held("doc_id").alias("held_out"), "host", "path", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= least).alias("kept"))
+    return j.select("doc_id", held("doc_id").alias("held_out"), "host", "path", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= least).alias("kept"))
