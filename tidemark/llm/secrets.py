@@ -118,16 +118,16 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; overlapping spans get one. Other rows and columns stay as they are.
+    """``docs`` with every span replaced by ``mask``; overlapping spans get one. Other rows and columns stay as they are,
+    whatever their names.
 
     Only texts that can hold a span are shuffled.
     """
-    cols = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     flag = _suspect(text)
-    clean, odd = docs.where(~flag), docs.where(flag).withColumn("__key", F.xxhash64(text))
-    s = secret_spans(docs, scope, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), "spans")
-    j = odd.join(s, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
+    odd = docs.where(flag).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.struct("*").alias("row"))
+    s = secret_spans(docs, scope, id_col, text_col).select("doc_id", "text_key", "spans")
+    j = odd.join(s, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
 
     # Overlapping spans become one: a span opens a new stretch when it starts at or after all ends so far.
     def fold(acc: Column, x: Column) -> Column:
@@ -135,9 +135,11 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]", id_col:
         joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["end"]).alias("b"))))
         return F.when((F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["b"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b")))))
 
-    merged = F.aggregate(F.col("spans"), F.array().cast("array<struct<a:bigint,b:bigint>>"), fold)
-    t = F.col(f"`{text_col}`")
-    pieces = F.transform("__m", lambda x, i: F.concat(F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__m"), i - 1)["b"]).cast("int") + 1, (x["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__m"), i - 1)["b"])).cast("int")), F.lit(mask)))
-    rest = F.substring(t, F.element_at("__m", -1)["b"].cast("int") + 1, F.length(t))
-    masked = F.when(F.col("spans").isNull(), t).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return clean.unionByName(j.withColumn("__m", merged).select(*[masked.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in cols]))
+    j = j.select("row", F.aggregate(F.col("spans"), F.array().cast("array<struct<a:bigint,b:bigint>>"), fold).alias("gaps"))
+    own = lambda c: F.col("row").getField(c)
+    t = own(text_col)
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("gaps"), i - 1)["b"]).cast("int")
+    pieces = F.transform("gaps", lambda x, i: F.concat(F.substring(t, before(i) + 1, x["a"].cast("int") - before(i)), F.lit(mask)))
+    rest = F.substring(t, F.element_at("gaps", -1)["b"].cast("int") + 1, F.length(t))
+    masked = F.when(F.col("gaps").isNull(), t).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return docs.where(~flag).unionByName(j.select(*[(masked if c == text_col else own(c)).alias(c) for c in docs.columns]))
