@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import blobs, stash
+from tidemark.llm.common import blobs, drop_stash, stash
 from tidemark.llm.graph import connected_components
 
 BITS = 64
@@ -206,6 +206,11 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 4, id_
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _digest(text: Column) -> Column:
+    """128 bits of a text, by which equal texts are known."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 BANDS = 64
 
 #: Odd multipliers, from a fixed seed: each orders the shingles' hashes anew, and the least product is one MinHash.
@@ -328,7 +333,7 @@ def _jaccard(shingle: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct (id, text) of ``docs``: (doc_id, text_key, component_id).
+    """One row per row of ``docs``: (doc_id, digest of the text, component_id).
 
     Texts link if their sets of word shingles reach the Jaccard ``similarity``. Texts meet under 64 keys, each made of
     a band of MinHashes of the shingles; two texts at the similarity miss each other in all bands at most once in 10^9.
@@ -340,10 +345,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     rows_in_band = band_rows(similarity)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    ids = stash(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "texts")
-    own = rows.join(ids, (rows["text_key"] == ids["text_key"]) & rows["doc_id"].eqNullSafe(ids["rep"])).select("doc_id", rows["text_key"], "text")
-    sketch = stash(own.mapInArrow(_sketch(shingle, rows_in_band), "doc_id long, text_key long, size int, least binary, keys array<long>"), "sketches")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("text"))
+    # Each distinct text has a number of its own, fixed once stashed.
+    ids = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("text_key", F.monotonically_increasing_id()), "texts")
+    first_of = lambda part: rows.join(part, (rows["digest"] == part["digest"]) & rows["doc_id"].eqNullSafe(part["rep"]))
+    sketch = stash(first_of(ids).select("doc_id", "text_key", "text").mapInArrow(_sketch(shingle, rows_in_band), "doc_id long, text_key long, size int, least binary, keys array<long>"), "sketches")
     met = sketch.select("text_key", F.posexplode("keys").alias("band", "key")).distinct()
     met = stash(met.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1"), "met")
     # Of many variants the original meets most others; a variant taken instead would be far from the rest.
@@ -353,7 +359,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def bodies(wanted: DataFrame, name: str) -> DataFrame:
         part = stash(wanted.distinct().join(ids, "text_key"), f"{name}_part")  # one copy of each text that takes part
-        return rows.join(part, (rows["text_key"] == part["text_key"]) & rows["doc_id"].eqNullSafe(part["rep"])).select(part["text_key"], "text")
+        return first_of(part).select("text_key", "text")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stash(pairs.distinct(), f"{name}_candidates")
@@ -373,13 +379,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     labels = stash(connected_components(near.unionByName(rest)), "labels")
     member = stash(ids.join(labels.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("text_key", "rep", F.coalesce("label", "text_key").alias("label")), "members")
     first = stash(member.groupBy("label").agg(F.min("rep").alias("component_id")), "firsts")
-    named = stash(member.join(first, "label").select("text_key", "component_id"), "named")
-    return rows.select("doc_id", "text_key").join(named, "text_key")
+    named = stash(member.join(first, "label").join(ids.select("text_key", "digest"), "text_key").select("digest", "component_id"), "named")
+    drop_stash(sketch, met, open_, sets, near, rest, tree, labels, member, first)
+    return rows.select("doc_id", "digest").join(named, "digest")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of each group the row with the smallest id stays, with its own columns."""
-    kept = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
-    kept = stash(kept, "kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"))
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) == F.col("__text_key"))
-    return docs.join(kept, on, "left_semi")
+    """``docs`` without the near copies: of each group the row with the smallest id stays, with its own columns, whatever
+    their names. Rows that repeat an id and its text stay together."""
+    kept = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest").distinct()
+    kept = stash(kept, "kept")
+    key = _digest(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key.alias("key"), F.struct("*").alias("row"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("digest")), "left_semi").select("row.*")
