@@ -71,6 +71,10 @@ def test_packing(docs):
     for i, t in pairs(docs).items():
         whole = [x for _, p in sorted(doc[i]) for x in p]
         assert whole == coder.model.encode(t or "", add_special_tokens=False).ids + [2]
+    ids = {i: coder.model.encode(t or "", add_special_tokens=False).ids + [2] for i, t in pairs(docs).items()}
+    for r in packing.pack(docs.unionByName(docs.limit(3)), path, end_id=2, length=64).collect():
+        part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert (r["ids_crc32"], r["doc_tokens"], len(part)) == (zlib.crc32(part.tobytes()), len(ids[r["doc_id"]]), r["length"])
 
 
 def test_word_encoder_equals_tokenizer():
@@ -82,6 +86,23 @@ def test_word_encoder_equals_tokenizer():
     assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in some])] == want
 
 
+def test_long_words():
+    """Single words of 100,000 letters: op2, op4, op5, op7 and op8 take them whole."""
+    import tiktoken
+
+    long = "".join(random.Random(2).choice("abcdefg") for _ in range(100_000))
+    coder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(coder.encode([long.encode()])[0], coder.kind).tolist() == coder.model.encode(long, add_special_tokens=False).ids
+    assert simhash.fingerprint(long.encode(), 4) != 0
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_replay.load_ranks(path), special_tokens={})
+    short = long[:20_000]
+    assert np.frombuffer(bpe_replay.Coder(path, public_tokenizers.PATTERN).encode([short])[0], "<u4").tolist() == want.encode_ordinary(short)
+    lat = lattice_lm.Lattice([(lattice_lm.MARK,), *((b,) for b in range(97, 105)), (97, 98)])
+    (_, x), = lat.by_length([long[:5000].encode()])
+    assert np.isfinite(lat.forward(x, np.log(np.full(10, 0.1)))[-1][0])
+
+
 def test_simhash(docs):
     fp = {}
     for i, t in pairs(docs).items():
@@ -189,11 +210,21 @@ def test_substring_dedup(docs, window):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_windows(pairs(docs), window)
 
 
+@pytest.mark.parametrize("bits", [3, 12])
+def test_substring_dedup_weak_hashes(docs, bits):
+    """Windows that share a hash and no words are told apart by their words."""
+    got = recompression.substring_dedup(docs, 5, hash_bits=bits).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_windows(pairs(docs), 5)
+
+
 def test_substring_dedup_repeated_rows(docs):
-    twice = docs.unionByName(docs)
-    assert recompression.substring_dedup(twice, 20).count() == 2 * docs.count()
-    cut = recompression.cut_repeats(docs, 20)
-    assert cut.columns == docs.columns
+    once = brute_windows(pairs(docs), 20)
+    got = recompression.substring_dedup(docs.unionByName(docs).unionByName(docs), 20).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter({(i, *x): 3 for i, x in once.items()})
+    odd = docs.select("*", F.lit(1).alias("row"), F.lit(2).alias("left"), F.lit(3).alias("key"), F.lit(4).alias("none"))
+    cut = recompression.cut_repeats(odd, 20)
+    assert cut.columns == odd.columns
+    assert {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in cut.collect()} == {i: n - gone for i, (n, gone, _) in once.items() if n != gone or not n}
 
 
 SECRETS = [
@@ -249,6 +280,12 @@ def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")).collect()}
     assert got[0] == "[secret] token: xyz [secret]\" end" and got[6] is None and got[7] == ""
     assert got[2] == "id [secret] and [secret] é [secret]" and got[5] == SECRETS[5]
+    names = ["spans", "row", "id", "key", "gaps", "text_key", "plain", "start"]
+    odd = spark.createDataFrame([(i, t, *range(8)) for i, t in enumerate(SECRETS)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = secrets.redact(odd)
+    assert out.columns == odd.columns
+    assert {r["doc_id"]: (r["text"], *(r[n] for n in names)) for r in out.collect()} == {i: (t, *range(8)) for i, t in got.items()}
+    assert secrets.scan(odd).count() == len(SECRETS)
 
 
 def test_bpe_round_trip(docs):
@@ -259,6 +296,10 @@ def test_bpe_round_trip(docs):
     coded = bpe_replay.encode(docs, path, public_tokenizers.PATTERN)
     rows = pairs(docs)
     assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in coded.collect()} == {i: want.encode_ordinary(t or "") for i, t in rows.items()}
+    digests = bpe_replay.encode(docs, path, public_tokenizers.PATTERN, digests=True).collect()
+    for r in digests:
+        ids, t = want.encode_ordinary(rows[r["doc_id"]] or ""), (rows[r["doc_id"]] or "").encode()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t).hexdigest())
     assert {r["doc_id"]: r["text"] for r in bpe_replay.decode(coded, path, public_tokenizers.PATTERN).collect()} == {i: t or "" for i, t in rows.items()}
     rng, coder = random.Random(1), bpe_replay.Coder(path, public_tokenizers.PATTERN)
     letters = list("aaabbceth  \n\n\t'sDéß中٣½_.,!?\r\x0b\x1c\x01\xa0　😀") + ["'re", "ll ", " the", "ing", "  "]
@@ -292,12 +333,74 @@ def test_lattice_base_and_forward(docs):
 
 def test_block_max_equals_scan():
     rng = random.Random(9)
-    some = [{t: rng.random() for t in rng.sample(range(40), 6)} for _ in range(300)]
-    index = toxicity.BlockMaxIndex(some, [i % 2 for i in range(300)], list(range(300)), 40, block=16)
-    for q in some[:40]:
-        at, cos = index.nearest(q, 7)
-        want = sorted((sum(w * q.get(t, 0) for t, w in v.items()) for v in some), reverse=True)[:7]
-        assert np.allclose(cos, want)
+    some = [{t: rng.random() for t in rng.sample(range(40), 6)} for _ in range(300)] + [{}]
+    some[5] = some[6] = some[7] = some[200]  # ties, also for the last place
+    pack = lambda v: (np.array(sorted(v), np.int64), np.array([v[t] for t in sorted(v)], float))
+    index = toxicity.BlockMaxIndex([pack(v) for v in some], [i % 2 for i in range(301)], list(range(301)), 40, block=16)
+    for q in [*some[:40], {}]:
+        at, cos = index.nearest(*pack(q), 7)
+        every = [sum(w * q.get(t, 0) for t, w in v.items()) for v in some]
+        last = sorted(every, reverse=True)[6]
+        want = sorted((i for i, c in enumerate(every) if c > 0 and c >= last - 1e-12), key=lambda i: -every[i])
+        assert sorted(index.ids[at].tolist()) == sorted(want)
+        assert np.allclose(cos, [every[i] for i in want])
+
+
+def test_toxicity_ties_share_the_vote():
+    """Equal examples, half of each label, vote for neither, in whatever order they stand."""
+    m = toxicity.Model([b"a", b"b"], 15)
+    for order in (1, -1):
+        y = [i % 2 for i in range(40)][::order]
+        m.index = toxicity.BlockMaxIndex([m.vector(Counter([b"a", b"b"]))] * 40, y, list(range(40)), 2)
+        m.prior = 0.5
+        assert abs(m.vote(Counter([b"a", b"b"]))[0] - 0.5) < 1e-9
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The whole query against plain TF-IDF over all pairs: terms, factors, neighbours, votes, calibration."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(160):
+        w = [f"n{int(rng.random() ** 2 * 90)}" for _ in range(30)]
+        if i % 5 == 0:
+            w[4] = rng.choice(["scum", "trash"])
+        rows.append((i, " ".join(w)))
+    rows += [(i, rows[5][1]) for i in range(160, 164)] + [(200, None)]
+    labels = [(i, int(i % 5 == 0)) for i in range(164)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5, common=0.3).collect()}
+    taught = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    bag = {i: Counter((t or "").split()) for i, t in rows}
+    side = {r["doc_id"]: r["s"] for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0).alias("s")).collect()}
+    groups = Counter((y, toxicity.copy_mark(Counter({w.encode(): n for w, n in bag[i].items()}))) for i, y in taught)
+    weight = {i: 1 / groups[y, toxicity.copy_mark(Counter({w.encode(): n for w, n in bag[i].items()}))] for i, y in taught}
+    n = Counter(w for i, _ in taught for w in bag[i])
+    on, off = ({w: sum(weight[i] for i, y in taught if y == side_ and w in bag[i]) for w in n} for side_ in (1, 0))
+    total = [sum(weight[i] for i, y in taught if y == side_) for side_ in (1, 0)]
+    names = [w for w in n if n[w] > 1]
+    f = dict(zip(names, toxicity.stresses(np.array([on[w] for w in names]), np.array([off[w] for w in names]), *total)))
+    df_all = Counter(w for i in bag for w in bag[i])
+    weights = {w: f[w] * (np.log((1 + len(rows)) / (1 + df_all[w])) + 1) for w in names if n[w] <= 0.3 * len(taught) or f[w] > 1}
+
+    def vector(i):
+        v = {w: (1 + np.log(c)) * weights[w] for w, c in bag[i].items() if w in weights}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    examples = [(vector(i), y) for i, y in taught if side[i]]
+    prior = sum(y for _, y in taught) / len(taught)
+    for i in bag:
+        q = vector(i)
+        cos = sorted(((sum(x * q.get(w, 0) for w, x in v.items()), y) for v, y in examples), reverse=True)
+        cos = [(c, y) for c, y in cos if c > 0]
+        last = cos[min(5, len(cos)) - 1][0] if cos else 0
+        over, tied = [(c, y) for c, y in cos if c > last + 1e-9], [(c, y) for c, y in cos if abs(c - last) <= 1e-9]
+        part = min(1, (5 - len(over)) / len(tied)) if tied else 0
+        up = sum(c * c * y for c, y in over) + part * sum(c * c * y for c, y in tied)
+        down = sum(c * c for c, _ in over) + part * sum(c * c for c, _ in tied)
+        assert abs(got[i]["votes"] - (up + 0.25 * prior) / (down + 0.25)) < 1e-9
+    by_vote = sorted(got.values(), key=lambda r: r["votes"])
+    assert all(a["score"] <= b["score"] + 1e-12 for a, b in zip(by_vote, by_vote[1:]))
 
 
 def test_toxicity_held_out(spark):
@@ -318,36 +421,88 @@ def test_toxicity_held_out(spark):
 
 
 def test_site_quality(docs, spark):
+    """Rates and scores against plain sums over all other documents; the evidence is taken from the result."""
     labels = spark.createDataFrame([(i, int(i > 5)) for i in range(24)], "doc_id long, quality int")
-    got = site_quality.classify(docs, labels, F.col("source"), F.col("lang")).collect()
-    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    path = F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))
+    host = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("h"), (F.col("doc_id") % 2).cast("string")))  # some null
+    got = {r["doc_id"]: r for r in site_quality.classify(docs, labels, host, path).collect()}
+    assert len(got) == docs.count()
+    taught = {i: float(i > 5) for i in range(24) if zlib.crc32(str(i).encode()) % 3 != 1}
+    mean = sum(taught.values()) / len(taught)
+    prior = np.log(mean / (1 - mean))
+    own = {i: (1.0, taught[i]) if i in taught else (0.25, 0.25 / (1 + np.exp(-r["evidence"] - prior))) for i, r in got.items()}
+    level = lambda key: {k: tuple(sum(own[i][x] for i, r in got.items() if key(r) == k) for x in (0, 1)) for k in map(key, got.values())}
+    hosts, paths = level(lambda r: r["host"]), level(lambda r: (r["host"], r["path"]))
+    n, g = (sum(x[j] for x in hosts.values()) for j in (0, 1))
+    centre = min(max(g / n, 0.01), 0.99)
+
+    def strength(rows):
+        s = sum(n * (g / n - m) ** 2 for n, g, m in rows)
+        v, t = sum(m * (1 - m) for _, _, m in rows), sum(n * m * (1 - m) for n, _, m in rows)
+        rho = min(max((s - v) / (t - v) if t > v else 0.0, 1e-4), 0.9)
+        return 1 / rho - 1
+
+    kh = strength([(n, g, centre) for n, g in hosts.values()])
+    shrunk = {h: (g + kh * centre) / (n + kh) for h, (n, g) in hosts.items()}
+    kp = strength([(n, g, shrunk[h]) for (h, _), (n, g) in paths.items()])
+    for i, r in got.items():
+        w, gain = own[i]
+        n, g = hosts[r["host"]]
+        above = (g - gain + kh * centre) / (n - w + kh)
+        n, g = paths[r["host"], r["path"]]
+        rate = (g - gain + kp * above) / (n - w + kp)
+        z = np.log(rate / (1 - rate)) + r["evidence"]
+        assert abs(r["host_rate"] - above) < 1e-9 and abs(r["path_rate"] - rate) < 1e-9 and abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9
     none = site_quality.classify(docs, labels.limit(0), F.col("source"), F.col("lang")).collect()
     assert all(abs(r["evidence"]) < 1e-9 for r in none)
 
 
-def test_embeddings(spark):
+def brute_links(rows, cosine=0.98):
+    """n_links and component of each row, by all pairs."""
+    good = [i for i, (_, v, y) in enumerate(rows) if y is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    n, label = [0] * len(rows), [r[0] for r in rows]
+    unit = {i: np.array(rows[i][1], np.float64) / np.linalg.norm(np.array(rows[i][1], np.float64)) for i in good}
+    near = [(i, j) for i in good for j in good if i < j and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and unit[i] @ unit[j] >= cosine]
+    for i, j in near:
+        n[i] += 1
+        n[j] += 1
+    for _ in rows:
+        before = list(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    return sorted((r[0], n[i], label[i]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize(("tile", "pivots"), [(4096, 2048), (8, 5)])
+def test_embeddings(spark, monkeypatch, tile, pivots):
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((160, 64))
+    x = rng.standard_normal((200, 64))
     x[40:80] = x[:40] + 0.012 * rng.standard_normal((40, 64)) * np.linalg.norm(x[:40], axis=1, keepdims=True)
     x[80:90] = x[0]
+    x[90:130] = x[1] + 0.01 * rng.standard_normal((40, 64)) * np.linalg.norm(x[1])
     rows = [(i, v.astype(np.float32).tolist(), i % 2 if i % 11 else None) for i, v in enumerate(x)]
-    rows += [(200, None, 1), (201, [0.0] * 64, 1), (202, [float("nan")] * 64, 1), (203, [None] + [1.0] * 63, 1), (204, [], 1)]
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    u = np.array([r[1] for r in rows[:160]], np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    near = u @ u.T >= 0.98
-    ok = [i for i in range(160) if rows[i][2] is not None]
-    link = {i: [j for j in ok if j != i and near[i, j] and rows[i][2] == rows[j][2]] if i in ok else [] for i in range(160)}
-    label = {i: i for i in range(160)}
-    for _ in range(20):
-        for i, js in link.items():
-            for j in js:
-                label[i] = label[j] = min(label[i], label[j])
-    assert sum(map(len, link.values())) > 40
-    for i in range(160):
-        assert (got[i]["n_links"], got[i]["component_id"]) == (len(link[i]), label[i])
-    for i in range(200, 205):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    rows += [(5, rows[80][1], rows[80][2]), (200, None, 1), (201, [0.0] * 64, 1), (202, [float("nan")] * 64, 1), (203, [None] + [1.0] * 63, 1), (204, [], 1), (205, [1.0, 0.0], 1), (206, [2.0, 0.01], 1)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, id int, copies int")
+    got = embedding_dedup.embedding_components(df, pivots=pivots).collect()
+    want = brute_links(rows)
+    assert sum(n for _, n, _ in want) > 500
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_embedding_cells_prune():
+    """Random vectors: few of all pairs are compared over all blocks together."""
+    rng = np.random.default_rng(5)
+    x = embedding_dedup._unit(rng.standard_normal((6000, 64)))
+    turned = x @ embedding_dedup.rotation(64)
+    pivots, total = turned[:2048], 0
+    for (a, b), r in zip(embedding_dedup.blocks(64), embedding_dedup.radii(64, 0.04)):
+        n = sum(embedding_dedup.entered(turned[i : i + 1000, a:b], pivots[:, a:b], r).sum(axis=0) for i in range(0, 6000, 1000))
+        total += (n.astype(float) ** 2).sum() / 2
+    assert total < 0.1 * 6000**2
 
 
 def test_empty_tables(spark, docs):
