@@ -211,15 +211,15 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-BANDS = 64
+BANDS = 32
 
 #: Odd multipliers, from a fixed seed: each orders the shingles' hashes anew, and the least product is one MinHash.
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * 12, np.uint64) * np.uint64(2) + np.uint64(1)
-_MISSED = 1e-9
+_MISSED = 1e-5
 
 
 def band_rows(similarity: float) -> int:
-    """The most MinHashes a band can have so that two sets at the similarity miss each other in all bands once in 10^9."""
+    """The most MinHashes a band can have so that two sets at the similarity miss each other in all bands once in 10^5."""
     if not 0.3 <= similarity <= 1:
         raise ValueError("similarity must lie between 0.3 and 1")
     return 12 if similarity > 0.9 else min(12, int(np.log(1 - _MISSED ** (1 / BANDS)) / np.log(similarity)))
@@ -335,10 +335,10 @@ def _jaccard(shingle: int):
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, digest of the text, component_id).
 
-    Texts link if their sets of word shingles reach the Jaccard ``similarity``. Texts meet under 64 keys, each made of
-    a band of MinHashes of the shingles; two texts at the similarity miss each other in all bands at most once in 10^9.
+    Texts link if their sets of word shingles reach the Jaccard ``similarity``. Texts meet under 32 keys, each made of
+    a band of MinHashes of the shingles; two texts at the similarity miss each other in all bands at most once in 10^5.
     First all texts of a key are compared, exactly, with the one that meets most others; then all pairs of a key that
-    these links leave apart, if their MinHashes allow the similarity (again but once in 10^9 wrongly refused). No pair
+    these links leave apart, if their MinHashes allow the similarity (but once in 10^8 wrongly refused). No pair
     of a key is left out for another reason, so components are those of all pairs. Equal texts are one from the start.
     Blank texts link with blank texts only. Null ids are never chosen unless no other is there.
     Memory: a task holds the MinHashes, and up to 1024 shingles each, of the texts of one key.
