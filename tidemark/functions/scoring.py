@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import has_phrase, plain, tokens
+from tidemark.functions.text import SCORE_STOP_WORDS, has_phrase, token_run, tokens
 
 
 def match_category(title: Column, body: Column, name: Column, aliases: Column, positives: Column, exclusions: Column, groups: Column, broad: Column) -> Column:
     """struct<lexical, concept, combined, decision>: how well a text fits a category, by phrases, then by tokens.
 
     A name or alias in the title gives 96, another phrase 86, in the body 88 and 76; without a phrase the share r of the
-    category's tokens gives 55 + 35 r (title) or 45 + 30 r (body) from r = 0.6 on. Concept groups count by hits.
+    category's tokens gives 55 + 35 r (title) or 45 + 30 r (body) from r = 0.6 on. Concept groups count by hits. A broad
+    category without groups and positive terms counts for review only, without a phrase or if its name is one token.
     """
     main = F.array_union(F.array(name), aliases)
     hit = lambda where, list_: F.exists(list_, lambda p: has_phrase(where, p))
@@ -26,7 +27,7 @@ def match_category(title: Column, body: Column, name: Column, aliases: Column, p
     concept = F.when(F.size(groups) > 0, 100.0 * hits / F.size(groups)).otherwise(F.when(lexical > 0, F.least(F.lit(100.0), lexical + 5)).otherwise(0.0))
     raw = F.greatest(lexical, 0.65 * lexical + 0.35 * concept)
     excluded, unmet = hit(text, exclusions), (F.size(groups) > 0) & (hits < F.size(groups))
-    loose = broad & (F.size(groups) == 0) & (F.size(positives) == 0) & (~phrase | (F.size(own) == 1))
+    loose = broad & (F.size(groups) == 0) & (F.size(positives) == 0) & (~phrase | (F.size(tokens(name)) == 1))
     combined = F.when(excluded, F.least(raw, F.lit(20.0))).when(unmet | loose, F.least(raw, F.lit(54.0))).otherwise(raw)
     met = ~excluded & ~unmet & ~loose
     score = F.round(combined, 2)
@@ -56,10 +57,37 @@ def admit(evidence: DataFrame, by: list[str], score: str, year: str, now_year: i
 
 
 def score_document(title: Column, body: Column, query: Column) -> Column:
-    """100 for the query in the title, 85 in the body, else by the share r of its tokens from 0.75 on: 60 + 30 r, 45 + 25 r."""
-    q = tokens(query)
-    r = lambda w: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(w))) / F.size(q)).otherwise(0.0)
-    return F.round(F.when(has_phrase(title, query), 100.0).when(has_phrase(body, query), 85.0).when(r(title) >= 0.75, 60 + 30 * r(title)).when(r(body) >= 0.75, 45 + 25 * r(body)).otherwise(0.0), 2)
+    """100 for the query in the title, 85 in the body, else by the share r of its tokens from 0.75 on: 60 + 30 r, 45 + 25 r.
+
+    Query and texts are compared as runs of tokens without stop words, so a phrase is found across them.
+    """
+    run = token_run(query)
+    within = lambda c: (run != "") & token_run(c).contains(run)
+    q = tokens(query, SCORE_STOP_WORDS)
+    r = lambda w: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(w, SCORE_STOP_WORDS))) / F.size(q)).otherwise(0.0)
+    return F.round(F.when(within(title), 100.0).when(within(body), 85.0).when(r(title) >= 0.75, 60 + 30 * r(title)).when(r(body) >= 0.75, 45 + 25 * r(body)).otherwise(0.0), 2)
+
+
+def interest_score(combined: Column, confidence: Column, status: Column) -> Column:
+    """A category score from stated interests, weighed by confidence and capped by where the interests come from."""
+    # The caps.
+    cap = F.when(status.isin("OFFICIAL_INTERESTS", "MANUAL_REVIEWED"), 62.0).when(status == "PAPER_DERIVED", 58.0).when(status == "BIOGRAPHY_DERIVED", 52.0).otherwise(45.0)
+    return F.least(cap, F.round(combined * (0.55 + 0.15 * F.coalesce(confidence, F.lit(0.0))), 2))
+
+
+def grant_boost(title: Column) -> Column:
+    """40 for a first award, 30 for a career award, 15 for any other."""
+    return F.when(F.upper(title).contains("CRII"), 40).when(F.upper(title).contains("CAREER"), 30).otherwise(15)
+
+
+def prospect_score(n: Column, cites: Column, recency: Column) -> Column:
+    """At most 40: 18, and by the number of works (12 at most), citations (5 at most) and recency."""
+    return F.least(F.lit(40.0), 18 + F.least(F.lit(12), 4 * n) + F.least(F.lit(5.0), cites / 20) + recency)
+
+
+def long_retry(attempts: Column, most: int, delay: Column) -> Column:
+    """Six hours or more while attempts remain, nothing after."""
+    return F.when(attempts < most, F.greatest(F.lit(21600), F.coalesce(delay, F.lit(0)).cast("long")))
 
 
 def organic(kind: Column, verified: Column) -> Column:
@@ -76,6 +104,3 @@ def fair_offset(key: Column, n: int) -> Column:
     """A stable place among n, from the first eight hex digits of a hash."""
     return (F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % n).cast("int")
 
-
-def normal(c: Column) -> Column:
-    return plain(c)

@@ -61,3 +61,10 @@ def same_document(a: Column, b: Column) -> Column:
 def addresses(text: Column, most: int = 20) -> Column:
     """Distinct addresses that a text mentions, in order."""
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s\x22'<>)\]]+"), F.lit(0))), 1, most)
+
+
+def source_url(url: Column) -> Column:
+    """The address without its fragment, scheme and host in lower case; a leading www. stays. Null for other schemes."""
+    u = F.trim(url)
+    head = F.regexp_extract(u, r"(?i)^(https?://[^/?#]+)", 1)
+    return F.when(head != "", F.concat(F.lower(head), F.regexp_extract(u, r"(?i)^https?://[^/?#]+([^#]*)", 1)))

@@ -185,3 +185,23 @@ def schema_gaps(found: dict[str, StructType], wanted: dict[str, list[str]]) -> l
         else:
             out += [(t, c) for c in cols if c not in found[t].fieldNames()]
     return out
+
+
+def clamp(c: Column, low: int, high: int) -> Column:
+    """The value, no lower than ``low`` and no higher than ``high``; a missing one counts as ``low``."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(c, F.lit(low))))
+
+
+def object_text(answer: Column) -> Column:
+    """The JSON object of an answer, a code fence around it taken off; null for anything but an object."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    return F.when(bare.startswith("{") & bare.endswith("}"), bare)
+
+
+def job_transitions(jobs: DataFrame) -> DataFrame:
+    """``jobs`` (status, attempts, asked) after the request of each: complete ends any job, cancel one that waits or
+    runs, retry makes a failed one wait again from its first attempt, recover one that was running."""
+    s, a = F.col("status"), F.col("asked")
+    retry = (a == "retry") & (s == "FAILED")
+    now = F.when(a == "complete", "COMPLETE").when((a == "cancel") & s.isin("PENDING", "RUNNING"), "CANCELLED").when(retry | ((a == "recover") & (s == "RUNNING")), "PENDING").otherwise(s)
+    return jobs.withColumns({"attempts": F.when(retry, F.lit(0)).otherwise(F.col("attempts")), "status": now})

@@ -13,7 +13,7 @@ from tidemark.functions import dates, html, names, rules, scoring, text, urls
 from tidemark.plans.registry import query, table
 
 PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-TOK = "list_distinct(list_filter(string_split(" + PLAIN + ", ' '), lambda x: length(x) >= 2 AND x NOT IN ('a','an','and','for','in','of','on','the','to','with')))"
+TOK = "list_distinct(list_filter(string_split(" + PLAIN + ", ' '), lambda x: length(x) >= 2 AND x NOT IN ('" + "','".join(text.STOP_WORDS) + "')))"
 
 
 def _cases(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -44,17 +44,26 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(text.jaccard(a, b), 6).alias("j"))
 
 
-@query("title_key_dedupe", f"SELECT min(doc_id) doc_id, count(*) n FROM documents GROUP BY array_to_string(list_filter(string_split({PLAIN.format('left(text, 60)')}, ' '), lambda x: x NOT IN ('a', 'an', 'the')), ' ')")
+@query("title_key_dedupe", f"SELECT min(doc_id) doc_id, count(*) n FROM documents GROUP BY array_to_string(list_filter(string_split({PLAIN.format('split_part(text, chr(10), 1)')}, ' '), lambda x: x NOT IN ('a', 'an', 'the')), ' ')")
 def title_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = text.title_key(F.left("text", F.lit(60)))
+    key = text.title_key(F.split_part("text", F.lit("\n"), F.lit(1)))
     return table(spark, sf_dir, "documents").groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("k")
 
 
-@query("document_score", f"SELECT doc_id, round(CASE WHEN contains(' ' || {PLAIN.format('left(text, 80)')} || ' ', ' is the ') THEN 100 WHEN contains(' ' || {PLAIN.format('text')} || ' ', ' is the ') THEN 85 ELSE 0 END, 2)::DOUBLE score FROM documents")
+ASKED = "anon of the ention"  # two words that the prose holds, with stop words between
+RUN = "array_to_string(list_filter(string_split(" + PLAIN + ", ' '), lambda x: length(x) >= 2 AND x NOT IN ('" + "','".join(text.SCORE_STOP_WORDS) + "')), ' ')"
+
+
+@query(
+    "document_score",
+    f"""SELECT doc_id, CASE WHEN contains(t, 'anon ention') THEN 100 WHEN contains(b, 'anon ention') THEN 85 WHEN r1 >= 0.75 THEN 60 + 30 * r1 WHEN r2 >= 0.75 THEN 45 + 25 * r2 ELSE 0 END::DOUBLE score
+    FROM (SELECT *, len(list_intersect(['anon', 'ention'], string_split(t, ' '))) / 2 r1, len(list_intersect(['anon', 'ention'], string_split(b, ' '))) / 2 r2
+    FROM (SELECT doc_id, {RUN.format("split_part(text, chr(10), 1)")} t, {RUN.format("coalesce(text, '')")} b FROM documents))""",
+)
 def document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's only token is a two-letter one; without a phrase hit the text can still hold it, so that case is cut.
-    s = scoring.score_document(F.left("text", F.lit(80)), F.col("text"), F.lit("is the"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(s >= 85, F.when(s.isin(85.0, 100.0) & text.has_phrase(F.col("text"), F.lit("is the")), s).otherwise(0.0)).otherwise(0.0).alias("score"))
+    """The first line stands for a document's title, the whole text is its body."""
+    title = F.split_part(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.score_document(title, F.col("text"), F.lit(ASKED)).alias("score"))
 
 
 NAMES = [("M.Z. Naser", "mznaser"), ("Naser, M.Z.", "mznaser"), ("Smith-Jones", "smithjones"), ("Dr. Ana O'Neil, PhD", "anaoneil"), ("José Núñez", "josenunez"), ("Łukasz Straße", "lukaszstrasse"), ("Prof. John Smith Jr.", "johnsmith"), (None, None)]
@@ -212,10 +221,10 @@ def grade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "t string", [x[:1] for x in GRADES]).select("id", g["status"].alias("status"), g["minimum"].cast("double").alias("minimum"), g["scale"].cast("double").alias("scale"))
 
 
-@query("grade_consensus", "SELECT l_suppkey, CASE WHEN count(DISTINCT l_quantity) > 1 THEN 'NEEDS_REVIEW' ELSE 'FOUND' END status, CASE WHEN count(DISTINCT l_quantity) = 1 THEN min(l_quantity) END minimum FROM lineitem WHERE l_linenumber = 7 GROUP BY 1")
+@query("grade_consensus", "SELECT l_suppkey, CASE WHEN count(DISTINCT l_quantity) > 1 THEN 'NEEDS_REVIEW' ELSE 'FOUND' END status, CASE WHEN count(DISTINCT l_quantity) = 1 THEN min(l_quantity) END minimum FROM lineitem GROUP BY 1")
 def grade_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of evidence that disagree need a person; one value stands."""
-    g = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").groupBy("l_suppkey").agg(F.countDistinct("l_quantity").alias("k"), F.min("l_quantity").alias("v"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_quantity").alias("k"), F.min("l_quantity").alias("v"))
     return g.select("l_suppkey", F.when(F.col("k") > 1, "NEEDS_REVIEW").otherwise("FOUND").alias("status"), F.when(F.col("k") == 1, F.col("v")).alias("minimum"))
 
 
@@ -255,17 +264,37 @@ def classify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, docs).select("id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
 
 
-def _classified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    fields = spark.createDataFrame(FIELDS, "field string, aliases array<string>, positives array<string>, exclusions array<string>, groups array<array<string>>, broad boolean")
-    # The taxonomy is a fixed list of a few rows: every text meets each of them.
-    j = docs.crossJoin(F.broadcast(fields))
-    return j.withColumn("m", scoring.match_category(*map(F.col, ("title", "body", "field", "aliases", "positives", "exclusions", "groups", "broad"))))
+def _classified(spark: SparkSession, docs: DataFrame, fields: list[tuple] = FIELDS) -> DataFrame:
+    taxonomy = spark.createDataFrame(fields, "field string, aliases array<string>, positives array<string>, exclusions array<string>, groups array<array<string>>, broad boolean")
+    # The taxonomy is a fixed list of a few rows: every text, normalised once before, meets each of them.
+    plain = docs.select("*", text.plain(F.col("title")).alias("plain_title"), text.plain(F.col("body")).alias("plain_body"))
+    j = plain.crossJoin(F.broadcast(taxonomy))
+    return j.withColumn("m", scoring.match_category(*map(F.col, ("plain_title", "plain_body", "field", "aliases", "positives", "exclusions", "groups", "broad"))))
+
 
+#: Categories in words that the synthetic prose holds: names, positives, exclusions, groups and broad names.
+PROSE = [("anon ention", ["edan anat"], ["of the"], ["onan"], [], False), ("de que", [], [], [], [["le", "la"], ["en", "et"]], False), ("anon", [], [], [], [], True), ("der die", [], [], [], [], True)]
 
-@query("classify_documents", f"SELECT f.field, count(*) n, count(*) FILTER (WHERE contains(' ' || {PLAIN.format('text')} || ' ', ' ' || f.field || ' ')) hits FROM documents, (VALUES ('machine learning'), ('data security'), ('physics')) f(field) GROUP BY 1")
+
+@query(
+    "classify_documents",
+    f"""
+    WITH d AS (SELECT doc_id, ' ' || {PLAIN.format("coalesce(text, '')")} || ' ' p FROM documents),
+    t AS (SELECT *, string_split(trim(p), ' ') w FROM d),
+    m AS (
+      SELECT doc_id, 'anon ention' field, CASE WHEN contains(p, ' anon ention ') OR contains(p, ' edan anat ') THEN 88 WHEN contains(p, ' of the ') THEN 76 WHEN len(list_intersect(['anon', 'ention', 'edan', 'anat'], w)) >= 2.4 THEN 45 + 30 * len(list_intersect(['anon', 'ention', 'edan', 'anat'], w)) / 4 ELSE 0 END lex, NULL::DOUBLE con, contains(p, ' onan ') ex, false unmet, false loose FROM t
+      UNION ALL SELECT doc_id, 'de que', CASE WHEN contains(p, ' de que ') THEN 88 WHEN len(list_intersect(['de', 'que'], w)) = 2 THEN 75 ELSE 0 END, 50.0 * ((len(list_intersect(['le', 'la'], w)) > 0)::INT + (len(list_intersect(['en', 'et'], w)) > 0)::INT), false, NOT (len(list_intersect(['le', 'la'], w)) > 0 AND len(list_intersect(['en', 'et'], w)) > 0), false FROM t
+      UNION ALL SELECT doc_id, 'anon', CASE WHEN contains(p, ' anon ') THEN 88 ELSE 0 END, NULL, false, false, true FROM t
+      UNION ALL SELECT doc_id, 'der die', CASE WHEN contains(p, ' der die ') THEN 88 WHEN len(list_intersect(['der', 'die'], w)) = 2 THEN 75 ELSE 0 END, NULL, false, false, NOT contains(p, ' der die ') FROM t),
+    r AS (SELECT *, greatest(lex, 0.65 * lex + 0.35 * coalesce(con, CASE WHEN lex > 0 THEN least(100, lex + 5) ELSE 0 END)) raw FROM m),
+    c AS (SELECT *, round(CASE WHEN ex THEN least(raw, 20) WHEN unmet OR loose THEN least(raw, 54) ELSE raw END, 2)::DOUBLE combined FROM r)
+    SELECT doc_id, field, combined, CASE WHEN combined >= 65 AND NOT (ex OR unmet OR loose) THEN 'AUTO_ACCEPTED' WHEN combined >= 45 THEN 'REVIEW_REQUIRED' ELSE 'AUTO_REJECTED' END decision FROM c
+    """,
+)
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.left("text", F.lit(80)).alias("title"), F.col("text").alias("body"))
-    return _classified(spark, d).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.has_phrase(F.col("body"), F.col("field"))).alias("hits"))
+    """Score and decision of every document and category; documents have no title, so their whole text is the body."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    return _classified(spark, d, PROSE).select("doc_id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
 
 
 @query("classify_documents_decided")

@@ -207,7 +207,7 @@ def ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("circuit_breaker", "WITH x AS (SELECT user_id, event_type, row_number() OVER w r, count(*) FILTER (WHERE event_type <> 'error') OVER w g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, g ORDER BY r) f FROM x) SELECT user_id, arg_max(f, r)::INTEGER failures, max(f) >= 2 blocked FROM y GROUP BY 1")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.run_to_table(T.circuit_breaker(T.event_stream(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"), 2), "update")
+    return T.run_to_table(T.circuit_breaker(T.event_stream(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"), 2), "update", ["user_id"])
 
 
 @query("provider_merge", "SELECT url FROM (SELECT url, min(p) p, min(page_id) i FROM (SELECT url, 0 p, page_id FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1, page_id FROM pages WHERE page_id % 3 = 0) GROUP BY 1) ORDER BY p, i LIMIT 50")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,16 +60,35 @@ def circuit_breaker(df: DataFrame, threshold: int = 3) -> DataFrame:
     return df.groupBy("user_id").applyInPandasWithState(step, BREAKER, "failures int, blocked boolean", "update", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
-    """Run a stream over all that is there and return what it gave last; the result is a Parquet table."""
-    spark = stream.sparkSession
-    top = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    import uuid
+def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, folder: str | None = None, seconds: int = 600) -> DataFrame:
+    """Run a stream over all that is there and return what it gave last; the result is a Parquet table.
 
+    In update mode ``keys`` name the rows: of each the last batch's counts. A stream that doesn't end within
+    ``seconds``, or fails, raises.
+    """
+    spark = stream.sparkSession
+    top = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that name a row")
     top = f"{top}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{top}/out")
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination(600)
-    return spark.read.schema(stream.schema).parquet(f"{top}/out")
+        # Each batch has a folder of its own, so a batch that is run again replaces itself.
+        out = f"{top}/out" if mode == "complete" else f"{top}/out/batch={epoch}"
+        batch.write.mode("overwrite").parquet(out)
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    if not run.awaitTermination(seconds):
+        run.stop()
+        raise TimeoutError(f"the stream did not end within {seconds} s")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{top}/out")
+    every = spark.read.option("basePath", f"{top}/out").parquet(f"{top}/out")
+    if mode == "append":
+        return every.select(*stream.columns)
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), F.col("batch")).alias("r"))
+    return last.select("r.*")
