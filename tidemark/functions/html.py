@@ -7,15 +7,19 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from tidemark.functions.text import even, interest_labels
+
 
 def _row(**fields: type) -> StructType:
     return StructType([StructField(k, v()) for k, v in fields.items()])
 
 # Elements whose text is no content, elements that end a line, elements without an end.
 SKIPPED = {"script", "style", "nav", "footer", "header", "noscript", "template"}
+MAIN = {"main", "article"}
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "title", "dd", "dt"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "source", "wbr"}
 
@@ -28,6 +32,7 @@ class Page(HTMLParser):
         self.text: list[str] = []
         self.links: list[tuple[str, str]] = []
         self.blocks: list[tuple[str, str]] = []
+        self.main: list[tuple[str, str]] = []
         self.meta: dict[str, str] = {}
         self.title = ""
         self._skip: list[str] = []
@@ -37,6 +42,8 @@ class Page(HTMLParser):
         self._buffer: list[str] = []
         self._tag = ""
         self._in_title = False
+        self._in_main = 0
+        self._began_in_main = False
         self.feed(html)
         self.close()
         self._end_block()
@@ -45,6 +52,8 @@ class Page(HTMLParser):
         t = " ".join("".join(self._buffer).split())
         if t:
             self.blocks.append((self._tag or "text", t))
+            if self._began_in_main:
+                self.main.append((self._tag or "text", t))
             self.text.append(t)
         self._buffer = []
 
@@ -59,6 +68,9 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             self._end_block()
             self._tag = tag
+        if tag in MAIN:
+            self._end_block()
+            self._in_main += 1
         if tag == "a":
             self._href, self._label = a.get("href", ""), []
 
@@ -71,9 +83,11 @@ class Page(HTMLParser):
         if tag == "a" and self._href is not None:
             self.links.append((self._href, " ".join("".join(self._label).split())))
             self._href = None
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in MAIN:
             self._end_block()
             self._tag = ""
+        if tag in MAIN:
+            self._in_main = max(self._in_main - 1, 0)
 
     def handle_data(self, data: str) -> None:
         if self._in_title:
@@ -82,6 +96,8 @@ class Page(HTMLParser):
         if self._href is not None:
             self._label.append(data)
         if not self._skip:
+            if not self._buffer:
+                self._began_in_main = self._in_main > 0
             self._buffer.append(data)
 
 
@@ -171,3 +187,132 @@ class Publications:
                 doi = re.search(r"10\.\d{4,9}/[^\s\"<>]+", text)
                 n += 1
                 yield title, text.split(title)[0].strip(" .,“\"(") or None, int(y[1]), doi[0].rstrip(".") if doi else None, text[:400]
+
+
+_PAIR = "array<struct<{}:string,{}:string>>"
+
+
+def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, title, main, blocks, links, meta) of every page, each parsed once in Arrow batches. ``main`` holds the blocks
+    of the main part or the articles, all blocks where a page marks none; null pages are empty."""
+    import pyarrow as pa
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    two = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [Page(x or "") for x in b.column(1).to_pylist()]
+            pairs = lambda rows, m, n: pa.array([[{m: x, n: y} for x, y in r] for r in rows], two(m, n))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array([p.title.strip() or None for p in got], pa.string()),
+                    pairs([p.main or p.blocks for p in got], "tag", "text"),
+                    pairs([p.blocks for p in got], "tag", "text"),
+                    pairs([p.links for p in got], "href", "label"),
+                    pa.array([list(p.meta.items()) for p in got], pa.map_(pa.string(), pa.string())),
+                ],
+                [id_col, "title", "main", "blocks", "links", "meta"],
+            )
+
+    schema = f"`{id_col}` {kind}, title string, main {_PAIR.format('tag', 'text')}, blocks {_PAIR.format('tag', 'text')}, links {_PAIR.format('href', 'label')}, meta map<string,string>"
+    return pages.select(id_col, html_col).mapInArrow(run, schema)
+
+
+# Headings of sections on interests, on a life and on works.
+INTERESTS = r"(?i)^(?:research|scholarly|academic)?\s*(?:interests?|areas?|expertise|specialt(?:y|ies)|research focus|areas? of interest|areas? of expertise)$"
+LIFE = r"(?i)^(?:biography|bio|about(?: me)?|profile|professional background)$"
+WORKS = r"(?i)\b(?:publications?|selected works?|research papers?)\b"
+
+
+def section(blocks: Column, heading: str, most: int = 8000) -> Column:
+    """The items and paragraphs below the first heading that matches, up to the next heading of its level or above, a
+    line each; '' where there is none."""
+    level = lambda b: F.when(b["tag"].rlike("^h[1-6]$"), F.right(b["tag"], F.lit(1)).cast("int"))
+    at = F.array_position(F.transform(blocks, lambda b: F.coalesce(level(b) > 0, F.lit(False)) & F.regexp_replace(b["text"], r"^[ :]+|[ :]+$", "").rlike(heading)), True).cast("int")
+    head = F.get(blocks, at - 1)
+    after = F.slice(blocks, at + 1, F.size(blocks))
+    ends = F.array_position(F.transform(after, lambda b: F.coalesce(level(b) <= level(head), F.lit(False))), True)
+    own = F.filter(F.when(ends > 0, F.slice(after, 1, (ends - 1).cast("int"))).otherwise(after), lambda b: b["tag"].isin("li", "p", "dd"))
+    return F.when(at > 0, F.left(F.array_join(F.transform(own, lambda b: b["text"]), "\n"), F.lit(most))).otherwise("")
+
+
+def interests(blocks: Column) -> Column:
+    """The labels of the page's section on research interests."""
+    return interest_labels(section(blocks, INTERESTS))
+
+
+def biography(blocks: Column) -> Column:
+    """The section on the person's life; without one of 80 characters, the page's substantial paragraphs."""
+    told = section(blocks, LIFE, 16000)
+    whole = F.filter(blocks, lambda b: (b["tag"] == "p") & F.length(b["text"]).between(80, 3000) & ~F.left(b["text"], F.lit(100)).rlike(WORKS))
+    return F.when(F.length(told) >= 80, told).otherwise(F.left(F.array_join(F.transform(whole, lambda b: b["text"]), "\n"), F.lit(16000)))
+
+
+def profile_signals(blocks: Column, name: Column) -> Column:
+    """struct<aliases, titles>: the name with short headings that may be other spellings of it, and the entries below a
+    heading on works (20 to 350 characters, 25 at most)."""
+    heads = F.transform(F.slice(F.filter(blocks, lambda b: b["tag"].isin("h1", "h2")), 1, 5), lambda b: b["text"])
+    short = F.filter(heads, lambda h: F.size(F.split(h, " ")).between(2, 7) & ~h.rlike(r"(?i)\b(professor|lecturer|instructor|faculty)\b"))
+    works = F.filter(F.split(section(blocks, WORKS, 16000), "\n"), lambda x: F.length(x).between(20, 350))
+    return F.struct(F.slice(F.array_distinct(F.concat(F.array(even(name)), short)), 1, 8).alias("aliases"), F.slice(F.array_distinct(works), 1, 25).alias("titles"))
+
+
+class _Classed(HTMLParser):
+    """Texts of elements with one of the wanted classes or ids, in order; (class, None) marks a row's start."""
+
+    def __init__(self, html: str, wanted: set[str], marks: set[str]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[list] = []
+        self._open: list[tuple[str, list | None]] = []
+        self._wanted, self._marks = wanted, marks
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        names = {*a.get("class", "").split(), a.get("id", "")}
+        for m in names & self._marks:
+            self.found.append([m, None])
+        hit = next(iter(names & self._wanted), None)
+        if tag not in VOID:
+            if hit:
+                self.found.append([hit, ""])
+            self._open.append((tag, self.found[-1] if hit else None))
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _ in self._open):
+            while self._open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        for _, own in self._open:
+            if own is not None:
+                own[1] += data
+
+
+@F.udtf(returnType=_row(name=StringType, affiliation=StringType, verified_email=StringType, title=StringType, authors=StringType, venue=StringType, year=IntegerType), useArrow=True)
+class ScholarProfile:
+    """A row per work of a saved scholar profile, with the profile's name, affiliation and verified mail."""
+
+    def eval(self, html: str):
+        found = _Classed(html or "", {"gsc_prf_in", "gsc_prf_il", "gsc_a_at", "gs_gray", "gsc_a_y"}, {"gsc_a_tr"}).found
+        name, details, works = "", [], []
+        for kind, text in found:
+            t = " ".join((text or "").split())
+            if kind == "gsc_prf_in":
+                name = name or t
+            elif kind == "gsc_prf_il":
+                details.append(t)
+            elif kind == "gsc_a_tr":
+                works.append({"gray": []})
+            elif works and kind == "gs_gray":
+                works[-1]["gray"].append(t)
+            elif works:
+                works[-1].setdefault(kind, t)
+        mail = next((d for d in details if "verified email" in d.lower()), None)
+        for w in works:
+            if w.get("gsc_a_at"):
+                y = _YEAR.search(w.get("gsc_a_y", ""))
+                yield name, (details or [None])[0], mail, w["gsc_a_at"], (w["gray"] or [None])[0], w["gray"][1] if len(w["gray"]) > 1 else None, int(y[1]) if y else None

