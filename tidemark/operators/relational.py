@@ -59,13 +59,13 @@ def distinct_on(df: DataFrame, keys: Keys, order: list[Column]) -> DataFrame:
 def latest_child(parent: DataFrame, child: DataFrame, on: Keys, order: list[Column], cols: list[str], where: Column | None = None, count: str | None = None) -> DataFrame:
     """Each parent with the first of its children, nulls where it has none; ``count`` adds the number of children."""
     rows = child if where is None else child.where(where)
-    w = W.partitionBy(*_list(on))
-    rows = rows.withColumn("__rank", F.row_number().over(w.orderBy(*order)))
-    if count:
-        rows = rows.withColumn(count, F.count(F.lit(1)).over(w))
-    first = rows.where("__rank = 1").select(*_list(on), *cols, *([count] if count else []))
+    first = topk_per_key(rows, on, order, 1, "__rank").select(*_list(on), *cols)
     out = parent.join(first, on, "left")
-    return out.withColumn(count, F.coalesce(count, F.lit(0).cast("long"))) if count else out
+    if not count:
+        return out
+    # Counted in its own grouping, which is partial before the shuffle; a window would hold all children of a key at once.
+    n = rows.groupBy(*_list(on)).agg(F.count(F.lit(1)).alias(count))
+    return out.join(n, on, "left").withColumn(count, F.coalesce(count, F.lit(0).cast("long")))
 
 
 def ordered_collect(df: DataFrame, by: Keys, order: list[Column], value: Column, name: str, distinct: bool = False) -> DataFrame:

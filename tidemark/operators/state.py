@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 Merge = Callable[[Column, Column], Column]
@@ -168,7 +167,8 @@ def constraint_violations(df: DataFrame, key: str, checks: dict[str, Column], un
     is null passes."""
     out = df.select(F.explode(F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]))).alias("constraint"), F.col(key).cast("string").alias("id"))
     for name, cols in (unique or {}).items():
-        twice = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*cols))).where((F.col("__n") > 1) & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+        whole = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+        twice = whole.join(whole.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), cols, "left_semi")
         out = out.unionByName(twice.select(F.lit(name).alias("constraint"), F.col(key).cast("string").alias("id")))
     for name, (parent, own, theirs) in (parents or {}).items():
         lost = df.where(F.col(own).isNotNull()).join(parent, F.col(own) == parent[theirs], "left_anti")
