@@ -122,30 +122,12 @@ def page_metadata(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["title", "description", "author", "doi", "published"])
 
 
-@F.udtf(returnType=_row(position=IntegerType, href=StringType, label=StringType))
-class PageLinks:
-    """A row per link of a page, in order."""
-
-    def eval(self, html: str):
-        for i, (href, label) in enumerate(Page(html or "").links):
-            yield i, href, label
-
-
-@F.udtf(returnType=_row(position=IntegerType, tag=StringType, text=StringType))
-class PageBlocks:
-    """A row per block of text of a page, in order."""
-
-    def eval(self, html: str):
-        for i, (tag, text) in enumerate(Page(html or "").blocks):
-            yield i, tag, text
-
-
 _PERSON = re.compile(r"^[A-Z][\w.'-]+(?: [A-Z][\w.'-]*){1,4}$")
 _TITLE = re.compile(r"(?i)\b(professor|lecturer|scientist|instructor|fellow)\b[^\n]*")
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
 
 
-@F.udtf(returnType=_row(name=StringType, title=StringType, email=StringType, profile_url=StringType))
+@F.udtf(returnType=_row(name=StringType, title=StringType, email=StringType, profile_url=StringType), useArrow=True)
 class Directory:
     """People of a directory page: a linked or bare name, and the title and address that follow before the next name."""
 
@@ -171,21 +153,20 @@ _YEAR = re.compile(r"\b((?:19|20)\d{2})\b")
 _HEAD = re.compile(r"(?i)^(selected )?(publications?|papers|articles|books|research output)\b")
 
 
-@F.udtf(returnType=_row(title=StringType, authors=StringType, year=IntegerType, doi=StringType, evidence=StringType))
+@F.udtf(returnType=_row(title=StringType, authors=StringType, year=IntegerType, doi=StringType, evidence=StringType), useArrow=True)
 class Publications:
-    """Works listed below a heading on publications, 200 at most: quoted titles, else the longest sentence."""
+    """Works listed below a heading on publications: quoted titles, else the longest sentence."""
 
     def eval(self, html: str):
-        inside, n = False, 0
+        inside = False
         for tag, text in Page(html or "").blocks:
             if tag in ("h1", "h2", "h3", "h4"):
                 inside = bool(_HEAD.match(text))
-            elif inside and (y := _YEAR.search(text)) and n < 200:
+            elif inside and (y := _YEAR.search(text)):
                 quoted = re.search(r"[“\"]([^”\"]{12,})[”\"]", text)
                 parts = [x.strip() for x in re.split(r"\.\s+|\(\d{4}\)\.?\s*", text) if x.strip()]
                 title = quoted[1].rstrip(".,") if quoted else max(parts, key=len)
                 doi = re.search(r"10\.\d{4,9}/[^\s\"<>]+", text)
-                n += 1
                 yield title, text.split(title)[0].strip(" .,“\"(") or None, int(y[1]), doi[0].rstrip(".") if doi else None, text[:400]
 
 

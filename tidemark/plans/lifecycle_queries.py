@@ -6,10 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidemark.functions import rules, text
+from tidemark.functions import rules, scoring, text
 from tidemark.operators import lifecycle as L
 from tidemark.operators import relational as R
+from tidemark.operators import state as S
+from tidemark.plans.function_queries import ASKED, RUN
 from tidemark.plans.registry import query, table
 
 AS_OF = "TIMESTAMP '2024-01-10 00:00:00'"
@@ -214,10 +217,55 @@ def job_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "grade_sources",
-    """SELECT l_partkey, CASE WHEN count(*) FILTER (WHERE l_quantity > 45) > 0 THEN 'NEEDS_REVIEW' WHEN count(DISTINCT CASE WHEN l_quantity > 10 THEN l_discount END) > 1 THEN 'NEEDS_REVIEW' WHEN count(*) FILTER (WHERE l_quantity > 10) = 0 THEN 'NOT_FOUND' ELSE 'FOUND' END status FROM lineitem GROUP BY 1""",
+    """SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_quantity > 20) = 0 THEN 'NOT_FOUND' WHEN count(*) FILTER (WHERE l_quantity > 47) > 0 OR count(DISTINCT CASE WHEN l_quantity > 20 THEN l_returnflag END) > 1 THEN 'NEEDS_REVIEW' ELSE 'FOUND' END status, CASE WHEN count(*) FILTER (WHERE l_quantity > 47) = 0 AND count(DISTINCT CASE WHEN l_quantity > 20 THEN l_returnflag END) = 1 THEN min(CASE WHEN l_quantity > 20 THEN l_returnflag END) END minimum FROM lineitem GROUP BY 1""",
 )
 def grade_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program's sources, each read for its own grade: agreement stands, anything else is for a person."""
-    status = F.when(F.col("l_quantity") > 45, "NEEDS_REVIEW").when(F.col("l_quantity") > 10, "FOUND").otherwise("NOT_FOUND")
-    g = table(spark, sf_dir, "lineitem").select("l_partkey", status.alias("status"), F.when((F.col("l_quantity") > 10), F.col("l_discount")).alias("minimum"))
-    return rules.agreed(g, ["l_partkey"], ["minimum"]).select("l_partkey", "status")
+    status = F.when(F.col("l_quantity") > 47, "NEEDS_REVIEW").when(F.col("l_quantity") > 20, "FOUND").otherwise("NOT_FOUND")
+    return rules.agreed(table(spark, sf_dir, "lineitem").select("l_orderkey", status.alias("status"), F.col("l_returnflag").alias("minimum")), ["l_orderkey"], ["minimum"])
+
+
+@query(
+    "topic_index",
+    f"""WITH e AS (SELECT source, lang, 2018 + doc_id % 10 y, CASE WHEN contains(t, 'anon ention') THEN 100 WHEN contains(b, 'anon ention') THEN 85 WHEN r1 >= 0.75 THEN 60 + 30 * r1 WHEN r2 >= 0.75 THEN 45 + 25 * r2 ELSE 0 END::DOUBLE s
+      FROM (SELECT *, len(list_intersect(['anon', 'ention'], string_split(t, ' '))) / 2 r1, len(list_intersect(['anon', 'ention'], string_split(b, ' '))) / 2 r2
+      FROM (SELECT doc_id, source, lang, {RUN.format("split_part(text, chr(10), 1)")} t, {RUN.format("coalesce(text, '')")} b FROM documents))),
+    g AS (SELECT source, lang, max(s) best, count(*) FILTER (WHERE s >= 65) n, count(*) FILTER (WHERE 2026 - y <= 6 AND s >= 85) fresh FROM e WHERE s > 0 GROUP BY 1, 2)
+    SELECT source, lang, round(least(100.0, best + least(15, 3 * greatest(n - 1, 0))), 2)::DOUBLE score, row_number() OVER (ORDER BY least(100.0, best + least(15, 3 * greatest(n - 1, 0))) DESC, source, lang)::INTEGER result_rank FROM g WHERE fresh > 0 OR n >= 2 OR best >= 92 ORDER BY result_rank LIMIT 100""",
+)
+def topic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic's index: every document scored, its source and language as the entity that it speaks for, entities
+    admitted by their evidence and ranked; the index shows a hundred."""
+    d = table(spark, sf_dir, "documents")
+    title = F.split_part(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(1))
+    e = d.select("source", "lang", (2018 + F.col("doc_id") % 10).cast("int").alias("year"), scoring.score_document(title, F.col("text"), F.lit(ASKED)).alias("score")).where("score > 0")
+    best = scoring.admit(e, ["source", "lang"], "score", "year", 2026).orderBy(F.desc("score"), "source", "lang").limit(100)
+    return best.withColumn("result_rank", F.row_number().over(W.orderBy(F.desc("score"), "source", "lang")))  # of a hundred rows
+
+
+@query(
+    "directory_admin",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'REJECTED' WHEN s_suppkey % 3 = 0 THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END status, CASE WHEN s_suppkey % 5 = 0 THEN false ELSE s_suppkey % 3 = 0 END active, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_name ELSE s_name END AS name FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 = 0""",
+)
+def directory_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories that are registered, added again by hand, and rejected: two upserts, the second on top of the first."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    rows = lambda cond, status, active, name: s.where(cond).select("s_suppkey", F.lit(status).alias("status"), F.lit(active).alias("active"), name.alias("name"))
+    merge = {"status": S.newest, "active": S.newest, "name": S.filled}
+    there = rows(k % 2 == 0, "NEEDS_REVIEW", False, F.col("s_name"))
+    with_added = S.upsert(there, rows(k % 3 == 0, "VERIFIED", True, F.concat(F.lit("new "), "s_name")), ["s_suppkey"], merge)
+    rejected = rows(k % 5 == 0, "REJECTED", False, F.when((k % 2 != 0) & (k % 3 != 0), F.col("s_name")))
+    return S.upsert(with_added, rejected, ["s_suppkey"], merge)
+
+
+@query(
+    "pending_reviews",
+    """SELECT o_orderkey, c_name, n_name, CASE WHEN n_name IS NULL THEN 'unplaced' ELSE 'placed' END kind FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0 WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 250""",
+)
+def pending_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest 250 that wait for a person, joined with their names only after they are chosen."""
+    top = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").limit(250)
+    place = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
+    j = top.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").join(place, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return j.select("o_orderkey", "c_name", "n_name", F.when(F.col("n_name").isNull(), "unplaced").otherwise("placed").alias("kind"))

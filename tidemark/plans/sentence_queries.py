@@ -309,3 +309,28 @@ def scholar_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "pages").select("page_id", page.alias("html")).createOrReplaceTempView("tidemark_scholar_pages")
     df = spark.sql("SELECT p.page_id, x.* FROM tidemark_scholar_pages p, LATERAL tidemark_scholar(p.html) x")
     return df.select("page_id", "name", "affiliation", F.col("verified_email").alias("mail"), "title", "authors", "venue", "year")
+
+
+def _through(spark: SparkSession, sf_dir: str, page: Column, name: str, function) -> DataFrame:
+    spark.udtf.register(name, function)
+    table(spark, sf_dir, "pages").select("page_id", page.alias("html")).createOrReplaceTempView(f"{name}_pages")
+    return spark.sql(f"SELECT p.page_id, x.* FROM {name}_pages p, LATERAL {name}(p.html) x")
+
+
+@query(
+    "roster_people",
+    """SELECT page_id, 'Ann B. Lee' AS name, 'Associate Professor of Things ' || page_id title, 'ann' || page_id || '@x.edu' email, '/p/' || page_id profile_url FROM pages
+    UNION ALL SELECT page_id, 'Bob Ray', 'Lecturer', NULL, NULL FROM pages""",
+)
+def roster_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory behind every page's own menu: people with their titles, not the bare name at the end."""
+    i = F.col("page_id")
+    page = say('<nav><a href="/x">Home Page</a></nav><div><h3><a href="/p/', i, '">Ann B. Lee</a></h3><p>Associate Professor of Things ', i, "</p><p>ann", i, "@x.edu</p></div><div><h3>Bob Ray</h3><p>Lecturer</p></div><div><h3>Cy Roe</h3></div>")
+    return _through(spark, sf_dir, page, "tidemark_people", html.Directory)
+
+
+@query("listed_works", "SELECT page_id, 'Learning things from other things' title, 'A. Lee, B. Ray' authors, 2000 + (page_id % 20)::INTEGER \"year\", '10.1000/x' || page_id doi FROM pages")
+def listed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    page = say('<h2>Publications</h2><ul><li>A. Lee, B. Ray. "Learning things from other things," Venue, ', 2000 + i % 20, ". 10.1000/x", i, "</li><li>no year</li></ul><h2>Contact</h2><p>since 1999</p>")
+    return _through(spark, sf_dir, page, "tidemark_listed", html.Publications).select("page_id", "title", "authors", "year", "doi")
