@@ -64,11 +64,19 @@ def score_document(title: Column, body: Column, query: Column) -> Column:
 
     Query and texts are compared as runs of tokens without stop words, so a phrase is found across them.
     """
-    run = token_run(query)
-    within = lambda c: (run != "") & token_run(c).contains(run)
-    q = tokens(query, SCORE_STOP_WORDS)
-    r = lambda w: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(w, SCORE_STOP_WORDS))) / F.size(q)).otherwise(0.0)
-    return F.round(F.when(within(title), 100.0).when(within(body), 85.0).when(r(title) >= 0.75, 60 + 30 * r(title)).when(r(body) >= 0.75, 45 + 25 * r(body)).otherwise(0.0), 2)
+    run, q = token_run(query), tokens(query, SCORE_STOP_WORDS)
+
+    def met(c: Column) -> Column:
+        kept = F.filter(F.split(plain(c), " "), lambda x: (F.length(x) >= 2) & ~x.isin(*SCORE_STOP_WORDS))
+        share = lambda k: F.when(F.size(q) > 0, F.size(F.array_intersect(q, k)) / F.size(q)).otherwise(0.0)
+        return F.transform(F.array(kept), lambda k: F.struct(((run != "") & F.array_join(k, " ").contains(run)).alias("held"), share(k).alias("r")))[0]
+
+    def points(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        return F.when(t["held"], 100.0).when(b["held"], 85.0).when(t["r"] >= 0.75, 60 + 30 * t["r"]).when(b["r"] >= 0.75, 45 + 25 * b["r"]).otherwise(0.0)
+
+    # Each text is normalised once, however many rules look at it.
+    return F.round(F.transform(F.array(F.struct(met(title).alias("t"), met(body).alias("b"))), points)[0], 2)
 
 
 def interest_score(combined: Column, confidence: Column, status: Column) -> Column:
