@@ -93,3 +93,15 @@ def test_document_queries_return_scores(spark, tmp_path):
     assert got[(2, "data security")] == (35.0, "AUTO_REJECTED")
     assert got[(3, "data security")] == (92.2, "AUTO_ACCEPTED")
     assert got[(7, "physics")] == got[(8, "physics")] == (0.0, "AUTO_REJECTED")
+
+
+def test_main_part_and_tables():
+    p = html.Page("<nav>menu</nav><main><header><h1>Ana Lee</h1></header><p>One<p>Two <a href=/x>lab</a><aside><p>side</aside><h2>End</h2></main><p>after")
+    assert p.main == [("h1", "Ana Lee"), ("p", "One"), ("p", "Two lab"), ("h2", "End")] and ("p", "after") in p.blocks and ("p", "side") in p.blocks
+    assert html.Page("<div class='menu'><p>x</p></div><p>body</p>").main == [("p", "body")]
+    row = "<tr><td>Bo<td>Ray<td>Lecturer<td><a href='mailto:b@a.edu?x'>mail</a> <a href='/bo'>View</a>"
+    head = "<tr><th>First Name<th>Last Name<th>Rank<th>Page"
+    members = lambda text: [m for t in html._Rows(text).tables if t for m in html._members(t, "https://a.edu/people", 4)]
+    got = members(f"<table>{head}{row * 3}</table>")
+    assert len(got) == 3 and got[0]["name"] == "Bo Ray" and got[0]["email"] == "b@a.edu" and got[0]["profile_url"] == "https://a.edu/bo" and got[0]["title"] == "Lecturer"
+    assert members(f"<table>{head}{row * 2}</table>") == [] and members("") == [] and members("</td></table><tr>") == []
