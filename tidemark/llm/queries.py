@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
+from tidemark.llm import bpe_replay, collocations, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), max_n=3, least=10, cover=50, top=2000)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_site_quality": op9_site_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_collocations": op13_collocations,
 }
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
@@ -114,4 +119,18 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT vec_id id, vec_id r FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)
         SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) n_links, c.component_id, c.component_id = v.vec_id kept FROM v JOIN (SELECT id, min(r) component_id FROM reach GROUP BY 1) c ON c.id = v.vec_id
     """,
+    "op13_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') ws FROM p),
+        g AS (SELECT lang, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) s FROM w, (SELECT unnest([1, 2, 3]) k))),
+        f AS (SELECT lang, k, phrase, count(*) f FROM g GROUP BY ALL),
+        c AS (SELECT lang, k, phrase, f a, string_split(phrase, ' ') ws FROM f WHERE k > 1 AND f >= 10),
+        held AS (SELECT lang, phrase, max(a) longest FROM (SELECT lang, a, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:k], ' ')]) phrase FROM c WHERE k > 2) GROUP BY 1, 2),
+        alone AS (SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a),
+        cut AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') lp, array_to_string(ws[j + 1:k], ' ') rp FROM (SELECT *, unnest(range(1, k)) j FROM alone)),
+        scored AS (SELECT cut.lang, cut.phrase, a, j, l.f l, r.f r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT score FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = lp JOIN f r ON r.lang = cut.lang AND r.phrase = rp),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank FROM best)
+        SELECT lang, rank::INTEGER rank, phrase, a, l, r, n, score FROM ranked JOIN (SELECT lang, sum(f)::BIGINT n FROM f WHERE k = 1 GROUP BY 1) USING (lang) WHERE rank <= 2000
+    """,
 }
