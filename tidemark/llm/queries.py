@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, collocations, embedding_dedup, lattice_lm, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
+from tidemark.llm import bpe_replay, collocations, embedding_dedup, lattice_lm, mixing, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, docs = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeat=3)
+    taken = mixed.groupBy("row").agg(F.sum("length").alias("taken"))
+    return docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), max_n=3, least=10, cover=50, top=2000)
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_site_quality": op9_site_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_mixing": op11_mixing,
     "op13_collocations": op13_collocations,
 }
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
