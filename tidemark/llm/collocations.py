@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blobs, stash
+from tidemark.llm.common import blobs, stash, tokens
 
 # What ends a piece, and what parts the words of a piece.
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
@@ -35,24 +35,9 @@ SHARES = 256
 SCORE = "CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) DIV (CAST(l AS DECIMAL(18,0)) * CAST(r AS DECIMAL(18,0)))"
 
 
-def _tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The words of a translated text as numbers, the piece of each, and the words by number."""
-    raw = np.frombuffer(text, np.uint8)
-    end = raw == 10
-    inside = ~(end | (raw == 32))
-    edge = np.diff(inside, prepend=False, append=False).nonzero()[0]
-    start, stop = edge[::2], edge[1::2]
-    at = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(stop - start, out=at[1:])
-    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])])
-    coded = kept.dictionary_encode()
-    piece = np.cumsum(end, dtype=np.int32)[start] if len(start) else np.zeros(0, np.int32)
-    return coded.indices.to_numpy().astype(np.int64), piece, coded.dictionary
-
-
 def _runs(text: bytes, max_n: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """The distinct runs of 1 to ``max_n`` words and how often each occurs, one length after the other."""
-    ids, piece, words = _tokens(text)
+    ids, piece, words = tokens(text)
     if not len(ids):
         return
     yield words, np.bincount(ids, minlength=len(words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, collocations, embedding_dedup, lattice_lm, mixing, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
+from tidemark.llm import bpe_replay, collocations, embedding_dedup, lattice_lm, lexical_search, mixing, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), max_n=3, least=10, cover=50, top=2000)
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_site_quality": op9_site_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_mixing": op11_mixing,
+    "op12_lexical_search": op12_lexical_search,
     "op13_collocations": op13_collocations,
 }
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -126,6 +132,18 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT vec_id id, vec_id r FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)
         SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) n_links, c.component_id, c.component_id = v.vec_id kept FROM v JOIN (SELECT id, min(r) component_id FROM reach GROUP BY 1) c ON c.id = v.vec_id
     """,
+    "op12_lexical_search": """
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY 1, 2),
+        len AS (SELECT doc_id, sum(tf)::BIGINT n FROM tf GROUP BY 1),
+        total AS (SELECT count(*) n_docs, sum(n)::BIGINT n_terms FROM len),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term FROM benchmark),
+        qn AS (SELECT item_id, term, count(*) times FROM q GROUP BY 1, 2),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT w FROM (SELECT term, count(*) df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY 1), total),
+        s AS (SELECT item_id, tf.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT score FROM qn JOIN w USING (term) JOIN tf USING (term) JOIN len ON len.doc_id = tf.doc_id, total GROUP BY 1, 2),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER rank, doc_id, score FROM r WHERE rank <= 10
+    """,
     "op13_collocations": """
         WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece FROM documents),
         w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') ws FROM p),
