@@ -28,7 +28,7 @@ PIECE_END = b".,;:!?\n\x0b\x0c\r"
 GAPS = b" \t"
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_END + GAPS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(PIECE_END) + b" " * len(GAPS))
 #: Bytes of text whose runs are combined at once.
-BUFFER = 32 << 20
+BUFFER = 12 << 20
 #: Parts in which a language is ranked before it is ranked as a whole.
 SHARES = 256
 #: 7 + 15 + 15 digits above, 18 + 18 below: neither product is rounded, and DIV drops what is left over.
@@ -70,6 +70,7 @@ def _count(max_n: int, buffer: int):
                         part = names.slice(at, 1 << 18).cast(pa.binary()).cast(pa.string())
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), part, pa.array(times[at : at + (1 << 18)], pa.int64())], ["lang", "phrase", "f"])
             held.clear()
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), blobs(b.column(1))):
