@@ -5,36 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import phrases
 from tidemark.functions.text import SCORE_STOP_WORDS, plain, token_run, tokens
 
 
-def match_category(title: Column, body: Column, name: Column, aliases: Column, positives: Column, exclusions: Column, groups: Column, broad: Column) -> Column:
-    """struct<lexical, concept, combined, decision>: how well a text fits a category, by phrases, then by tokens.
+def classify(docs: DataFrame, title: str, body: str, categories: list[tuple]) -> DataFrame:
+    """Every row of ``docs`` with every category: its columns, ``field`` and ``m``, what ``phrases.score`` says.
 
-    ``title`` and ``body`` come normalised by ``plain``, once per text and not once per phrase.
-
-    A name or alias in the title gives 96, another phrase 86, in the body 88 and 76; without a phrase the share r of the
-    category's tokens gives 55 + 35 r (title) or 45 + 30 r (body) from r = 0.6 on. Concept groups count by hits. A broad
-    category without groups and positive terms counts for review only, without a phrase or if its name is one token.
+    ``categories`` are (name, aliases, positives, exclusions, concept groups, broad), a list that the caller bounds. A
+    text is read once, for the phrases of all categories together; the categories meet small arrays of numbers.
     """
-    main = F.array_union(F.array(name), aliases)
-    holds = lambda where, p: (plain(p) != "") & F.concat(F.lit(" "), where, F.lit(" ")).contains(F.concat(F.lit(" "), plain(p), F.lit(" ")))
-    hit = lambda where, list_: F.exists(list_, lambda p: holds(where, p))
-    own = tokens(F.array_join(main, " "))
-    share = lambda where: F.when(F.size(own) > 0, F.size(F.array_intersect(own, tokens(where))) / F.size(own)).otherwise(0.0)
-    rt, rb = share(title), share(body)
-    phrase = hit(title, main) | hit(title, positives) | hit(body, main) | hit(body, positives)
-    lexical = F.when(hit(title, main), 96.0).when(hit(title, positives), 86.0).when(hit(body, main), 88.0).when(hit(body, positives), 76.0).when(rt >= 0.6, 55 + 35 * rt).when(rb >= 0.6, 45 + 30 * rb).otherwise(0.0)
-    text = F.concat_ws(" ", title, body)
-    hits = F.size(F.filter(groups, lambda g: hit(text, g)))
-    concept = F.when(F.size(groups) > 0, 100.0 * hits / F.size(groups)).otherwise(F.when(lexical > 0, F.least(F.lit(100.0), lexical + 5)).otherwise(0.0))
-    raw = F.greatest(lexical, 0.65 * lexical + 0.35 * concept)
-    excluded, unmet = hit(text, exclusions), (F.size(groups) > 0) & (hits < F.size(groups))
-    loose = broad & (F.size(groups) == 0) & (F.size(positives) == 0) & (~phrase | (F.size(tokens(name)) == 1))
-    combined = F.when(excluded, F.least(raw, F.lit(20.0))).when(unmet | loose, F.least(raw, F.lit(54.0))).otherwise(raw)
-    met = ~excluded & ~unmet & ~loose
-    score = F.round(combined, 2)
-    return F.struct(F.round(lexical, 2).alias("lexical"), F.round(concept, 2).alias("concept"), score.alias("combined"), F.when((score >= 65) & met, "AUTO_ACCEPTED").when(score >= 45, "REVIEW_REQUIRED").otherwise("AUTO_REJECTED").alias("decision"))
+    lexicon = phrases.Lexicon()
+    rules = [phrases.rules_of(lexicon, *c) for c in categories]
+    found = phrases.hits(lexicon, plain(F.col(title)), plain(F.col(body)))
+    taxonomy = docs.sparkSession.createDataFrame([tuple(r.values()) for r in rules], phrases.RULES)
+    rule = F.struct(*[taxonomy[c] for c in taxonomy.columns])
+    j = docs.withColumn("__found", found).crossJoin(F.broadcast(taxonomy.select(rule.alias("__rule"))))
+    return j.select(*docs.columns, F.col("__rule.field").alias("field"), phrases.score(F.col("__found"), F.col("__rule")).alias("m"))
 
 
 def profiles(evidence: DataFrame, by: list[str], score: str, year: str, now_year: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, hiring, html, names, rules, scoring, text, urls
+from tidemark.functions import dates, hiring, html, names, phrases, rules, scoring, text, urls
 from tidemark.plans.registry import query, table
 
 PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -266,15 +266,11 @@ TEXTS = [
 @query("classify_cases", _values("field, combined, decision", [(f, s, d) for _, _, ss, ds in TEXTS for f, s, d in zip((x[0] for x in FIELDS), ss, ds)]).replace("t(id, ", "t(id_, ").replace("SELECT *", "SELECT field, combined, decision, id_ // 3 AS id"))
 def classify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _cases(spark, "title string, body string", [x[:2] for x in TEXTS])
-    return _classified(spark, docs).select("id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
+    return _classified(docs).select("id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
 
 
-def _classified(spark: SparkSession, docs: DataFrame, fields: list[tuple] = FIELDS) -> DataFrame:
-    taxonomy = spark.createDataFrame(fields, "field string, aliases array<string>, positives array<string>, exclusions array<string>, groups array<array<string>>, broad boolean")
-    # The taxonomy is a fixed list of a few rows: every text, normalised once before, meets each of them.
-    plain = docs.select("*", text.plain(F.col("title")).alias("plain_title"), text.plain(F.col("body")).alias("plain_body"))
-    j = plain.crossJoin(F.broadcast(taxonomy))
-    return j.withColumn("m", scoring.match_category(*map(F.col, ("plain_title", "plain_body", "field", "aliases", "positives", "exclusions", "groups", "broad"))))
+def _classified(docs: DataFrame, fields: list[tuple] = FIELDS) -> DataFrame:
+    return scoring.classify(docs, "title", "body", fields)
 
 
 #: Categories in words that the synthetic prose holds: names, positives, exclusions, groups and broad names.
@@ -299,14 +295,69 @@ PROSE = [("anon ention", ["edan anat"], ["of the"], ["onan"], [], False), ("de q
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision of every document and category; documents have no title, so their whole text is the body."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
-    return _classified(spark, d, PROSE).select("doc_id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
+    return _classified(d, PROSE).select("doc_id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
 
 
 @query("classify_documents_decided")
 def classify_documents_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the classifier says of every document and field. Documents have no title, so their whole text is the body."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
-    return _classified(spark, d).select("doc_id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
+    return _classified(d).select("doc_id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))
+
+
+#: A hundred categories by rule: the four above, then pairs of syllables that the prose holds, some broad, some with groups.
+SYLLABLES = ["an", "at", "de", "der", "die", "ea", "ed", "en", "er", "es", "he", "in", "la", "le", "nd", "of", "on", "or", "que", "re"]
+CATALOG = PROSE + [(f"{a} {b}", [f"{b} {a}"], [f"{a} {b} {a}"] if i % 3 == 0 else [], [f"{a}{b}{a}"] if i % 5 == 0 else [], [[a, a + b], [b, b + a]] if i % 4 == 0 else [], i % 7 == 0) for i, (a, b) in enumerate((a, b) for k, a in enumerate(SYLLABLES) for b in SYLLABLES[k + 1 : k + 7])]
+
+
+def _catalog_sql() -> str:
+    """The rules of each category over the padded text and its words, one row of values per category."""
+    lit = lambda x: "[" + ", ".join("'" + v + "'" for v in x) + "]::VARCHAR[]"
+    stop = set(text.STOP_WORDS)
+    rows = []
+    for name, aliases, positives, exclusions, groups, broad in CATALOG:
+        own = list(dict.fromkeys(w for w in " ".join([name, *aliases]).split() if len(w) > 1 and w not in stop))
+        single = len([w for w in dict.fromkeys(name.split()) if len(w) > 1 and w not in stop]) == 1
+        g = [*groups, [], []][:2]
+        rows.append(f"('{name}', {lit([name, *aliases])}, {lit(positives)}, {lit(exclusions)}, {lit(g[0])}, {lit(g[1])}, {len(groups)}, {lit(own)}, {bool(broad) and not groups and not positives}, {single})")
+    held = lambda c: f"len(list_filter({c}, lambda x: contains(p, ' ' || x || ' '))) > 0"
+    return f"""
+    WITH d AS (SELECT doc_id, ' ' || {PLAIN.format("coalesce(text, '')")} || ' ' p FROM documents),
+    c(field, main, pos, ex, g1, g2, n, own, broad, single) AS (VALUES {", ".join(rows)}),
+    m AS (SELECT doc_id, field, n, broad, single, {held('main')} bm, {held('pos')} bp, {held('ex')} gone, ({held('g1')})::INT + ({held('g2')})::INT hits,
+        CASE WHEN len(own) > 0 THEN len(list_filter(own, lambda x: contains(p, ' ' || x || ' '))) / len(own) ELSE 0 END r FROM d, c),
+    l AS (SELECT *, CASE WHEN bm THEN 88.0 WHEN bp THEN 76.0 WHEN r >= 0.6 THEN 45 + 30 * r ELSE 0 END::DOUBLE lex FROM m),
+    k AS (SELECT *, CASE WHEN n > 0 THEN 100.0 * hits / n WHEN lex > 0 THEN least(100, lex + 5) ELSE 0 END::DOUBLE con, n > 0 AND hits < n unmet, broad AND (NOT (bm OR bp) OR single) loose FROM l),
+    s AS (SELECT *, greatest(lex, 0.65 * lex + 0.35 * con) raw FROM k),
+    q AS (SELECT *, round(CASE WHEN gone THEN least(raw, 20) WHEN unmet OR loose THEN least(raw, 54) ELSE raw END, 2)::DOUBLE combined FROM s)
+    SELECT doc_id, field, round(lex, 2) lexical, round(con, 2) concept, combined, CASE WHEN combined >= 65 AND NOT (gone OR unmet OR loose) THEN 'AUTO_ACCEPTED' WHEN combined >= 45 THEN 'REVIEW_REQUIRED' ELSE 'AUTO_REJECTED' END decision FROM q
+    """
+
+
+@query("classify_catalog", _catalog_sql())
+def classify_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every document against a hundred categories, each text read once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    return _classified(d, CATALOG).select("doc_id", "field", "m.lexical", "m.concept", "m.combined", "m.decision")
+
+
+#: Queries of one to three words and the label that must cover every word of them; word and label come from the part.
+COVER = [f"{a} {b}" for a in ("anodized", "burnished", "economy", "large", "medium", "promo", "small", "standard", "polished", "brushed") for b in ("brass", "copper", "nickel", "steel", "tin")]
+
+
+@query(
+    "phrase_covers",
+    f"""SELECT p_partkey, q label, list_aggregate(list_transform(string_split(q, ' '), lambda w: contains(' ' || {PLAIN.format("p_type")} || ' ', ' ' || w || ' ')), 'bool_and') covered
+    FROM part, (SELECT unnest({COVER}) q) WHERE list_aggregate(list_transform(string_split(q, ' '), lambda w: contains(' ' || {PLAIN.format("p_type")} || ' ', ' ' || w || ' ')), 'bool_or')""",
+)
+def phrase_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that a part's type shares a word with, and whether it covers all their words: each type is read once,
+    the labels meet it as numbers of words."""
+    lexicon = phrases.Lexicon()
+    asked = spark.createDataFrame([(q, lexicon.add(*phrases.tokens(q))) for q in COVER], "label string, words array<int>")
+    held = table(spark, sf_dir, "part").select("p_partkey", phrases.hits(lexicon, text.plain(F.col("p_type")), F.lit(""))["title"].alias("held"))
+    j = held.crossJoin(F.broadcast(asked)).where(F.arrays_overlap("held", "words"))
+    return j.select("p_partkey", "label", (F.size(F.array_except("words", "held")) == 0).alias("covered"))
 
 
 @query("document_score_shares")
