@@ -222,7 +222,8 @@ def discovered_works(works: DataFrame, by: str) -> DataFrame:
     """(by, found, accepted, rejected, waiting, status) of the works that a person's pages list (by, title, authors, venue,
     year, doi): each work once by its title, gated by the rules."""
     one = R.distinct_on(works.withColumn("__t", F.lower(even(F.col("title")))), [by, "__t"], [F.desc_nulls_last("doi"), F.asc_nulls_last("year"), F.asc_nulls_last("authors")])
-    d = rules.publication(F.col("title"), F.col("authors"), F.col("venue"), F.col("year"), F.col("doi"))["decision"]
+    d = F.col("__d")
+    one = one.withColumn("__d", rules.publication(F.col("title"), F.col("authors"), F.col("venue"), F.col("year"), F.col("doi"))["decision"])
     g = one.groupBy(by).agg(F.count(F.lit(1)).alias("found"), *[F.count_if(d == k).alias(n) for k, n in (("ACCEPT", "accepted"), ("REJECT", "rejected"), ("AMBIGUOUS", "waiting"))])
     return g.withColumn("status", F.when(F.col("accepted") > 0, "OFFICIAL_PUBLICATIONS_FOUND").when(F.col("waiting") > 0, "REVIEW_REQUIRED").otherwise("NO_PUBLICATIONS_FOUND"))
 

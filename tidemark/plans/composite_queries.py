@@ -14,7 +14,7 @@ from tidemark.functions import html, names, profiles
 from tidemark.operators import composites as C
 from tidemark.operators import relational as R
 from tidemark.operators import state as S
-from tidemark.plans.registry import query, table
+from tidemark.plans.registry import case, query, table
 from tidemark.plans.sentence_queries import pick, say
 
 AS_OF = "TIMESTAMP '2024-01-10 00:00:00'"
@@ -182,7 +182,7 @@ def rebuild_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rebuilds(jobs, s.where(k % 3 == 0).select(key), 95)
 
 
-@query(
+@case(
     "configuration",
     """SELECT s_suppkey, c."check", CASE c."check" WHEN 'production' THEN s_suppkey % 2 = 0 WHEN 'login' THEN s_suppkey % 3 <> 0 WHEN 'database' THEN s_suppkey % 4 > 1 WHEN 'database_tls' THEN s_suppkey % 4 <> 2 WHEN 'search' THEN s_suppkey % 5 = 1 ELSE s_suppkey % 2 = 1 END passed
     FROM supplier, (SELECT unnest(['production', 'login', 'database', 'database_tls', 'search', 'contact']) "check") c""",

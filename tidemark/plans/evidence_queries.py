@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import names, validators
 from tidemark.operators import relational as R
 from tidemark.plans.function_queries import _cases, _values
-from tidemark.plans.registry import query, table
+from tidemark.plans.registry import case, query, table
 
 AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
 
 QUOTES = [(["a  b", "C"], "x A b y c", True), (["z"], "x", False), ([], "x", False), (["x", " "], "x", False)]
 
 
-@query("grounded_quotes", _values("ok", [(x[2],) for x in QUOTES]))
+@case("grounded_quotes", _values("ok", [(x[2],) for x in QUOTES]))
 def grounded_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "q array<string>, s string", [x[:2] for x in QUOTES]).select("id", validators.grounded(F.col("q"), F.col("s")).alias("ok"))
 
@@ -40,7 +40,7 @@ WHO = [
 ]
 
 
-@query("identity_decision", _values("decision, reasons", [x[6:] for x in WHO]))
+@case("identity_decision", _values("decision, reasons", [x[6:] for x in WHO]))
 def identity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda c: names.parts(names.fold(F.col(c), ascii_only=True))
     d = validators.identity(p("a"), F.lit("University of North Texas"), F.lit("unt.edu"), p("b"), F.col("aff"), F.col("mail"), F.col("home"), F.col("linked"))
@@ -56,7 +56,7 @@ def joint_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATCH = [("Deep nets for vision tasks", "Deep nets for vision", "10.1/x", "VERIFIED_DOI"), ("Deep nets for vision tasks", "Deep nets for vision", None, "VERIFIED_TITLE"), ("Deep nets", "Shallow wells", "10.1/x", "TITLE_CONFLICT")]
 
 
-@query("metadata_match", _values("status", [(x[3],) for x in MATCH]))
+@case("metadata_match", _values("status", [(x[3],) for x in MATCH]))
 def metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "a string, b string, d string", [x[:3] for x in MATCH]).select("id", validators.title_match(F.col("a"), F.col("b"), F.col("d")).alias("status"))
 
@@ -64,7 +64,7 @@ def metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT = [('{"remaining": 5, "daily": {"remaining": 3}}', 3), ('{"searches_left": 9}', 9), ("{}", None), ("no", None)]
 
 
-@query("provider_quota", _values("remaining", [(x[1],) for x in LEFT]))
+@case("provider_quota", _values("remaining", [(x[1],) for x in LEFT]))
 def provider_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "b string", [x[:1] for x in LEFT]).select("id", validators.quota(F.col("b")).alias("remaining"))
 

@@ -6,11 +6,13 @@ what each case must give.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, hiring, html, names, phrases, rules, scoring, text, urls
-from tidemark.plans.registry import query, table
+from tidemark.plans.registry import case, query, table
 
 PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 TOK = "list_distinct(list_filter(string_split(" + PLAIN + ", ' '), lambda x: length(x) >= 2 AND x NOT IN ('" + "','".join(text.STOP_WORDS) + "')))"
@@ -69,7 +71,7 @@ def document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = [("M.Z. Naser", "mznaser"), ("Naser, M.Z.", "mznaser"), ("Smith-Jones", "smithjones"), ("Dr. Ana O'Neil, PhD", "anaoneil"), ("José Núñez", "josenunez"), ("Łukasz Straße", "lukaszstrasse"), ("Prof. John Smith Jr.", "johnsmith"), (None, None)]
 
 
-@query("name_key", _values("name_key", [(k,) for _, k in NAMES]).replace("NULL", "''"))
+@case("name_key", _values("name_key", [(k,) for _, k in NAMES]).replace("NULL", "''"))
 def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "name string", [(n,) for n, _ in NAMES]).select("id", F.coalesce(names.name_key(F.col("name")), F.lit("")).alias("name_key"))
 
@@ -77,7 +79,7 @@ def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 PEOPLE = [("Jane A. Smith", "J. Smith", True), ("Jane Smith", "John Smith", False), ("Smith, Jane", "Jane Smith", True), ("Jane Smith", "Jane Jones", False), ("Cher", "Cher", False)]
 
 
-@query("same_person", _values("same", [(x[2],) for x in PEOPLE]))
+@case("same_person", _values("same", [(x[2],) for x in PEOPLE]))
 def same_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda c: names.parts(names.fold(F.col(c), ascii_only=True))
     return _cases(spark, "a string, b string", [x[:2] for x in PEOPLE]).select("id", names.same_person(p("a"), p("b")).alias("same"))
@@ -92,7 +94,7 @@ def person_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACES = [("Research at the University of North Texas, Denton", "University of North Texas", True), ("Texas", "University of North Texas", False), ("AT&T Labs", "AT & T Labs", True), ("x", "University of", False)]
 
 
-@query("institution_match", _values("hit", [(x[2],) for x in PLACES]))
+@case("institution_match", _values("hit", [(x[2],) for x in PLACES]))
 def institution_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "t string, n string", [x[:2] for x in PLACES]).select("id", names.names_institution(names.institution_key(F.col("t")), F.col("n")).alias("hit"))
 
@@ -118,7 +120,7 @@ def host_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 URLS = [("https://a.example.edu/x", True), ("http://localhost/x", False), ("http://10.1.2.3/x", False), ("ftp://a.example.com", False), ("http://172.20.0.1/", False), ("http://8.8.8.8/", True), ("http://box.local/", False), (None, None)]
 
 
-@query("url_public_filter", _values("ok", [(x[1],) for x in URLS]))
+@case("url_public_filter", _values("ok", [(x[1],) for x in URLS]))
 def url_public_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "url string", [x[:1] for x in URLS]).select("id", urls.public(F.col("url")).alias("ok"))
 
@@ -126,7 +128,7 @@ def url_public_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAME = [("https://a.org/x?y=1", "https://a.org/x/#top", True), ("https://a.org/x", "https://a.org/z", False)]
 
 
-@query("same_document", _values("same", [(x[2],) for x in SAME]))
+@case("same_document", _values("same", [(x[2],) for x in SAME]))
 def same_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "a string, b string", [x[:2] for x in SAME]).select("id", urls.same_document(F.col("a"), F.col("b")).alias("same"))
 
@@ -142,7 +144,7 @@ DATED = [
 ]
 
 
-@query("date_interval", _values("a, b, p, fresh", [x[1:] for x in DATED]))
+@case("date_interval", _values("a, b, p, fresh", [x[1:] for x in DATED]))
 def date_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = dates.interval(F.col("t"))
     s = lambda c: i[c].cast("string")
@@ -158,7 +160,7 @@ def next_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARSED = [("2026-03-04", "2026-03-04"), ("03/04/2026", "2026-03-04"), ("Mar 4, 2026", "2026-03-04"), ("March 4, 2026", "2026-03-04"), ("later", None)]
 
 
-@query("any_date", _values("d", [(x[1],) for x in PARSED]))
+@case("any_date", _values("d", [(x[1],) for x in PARSED]))
 def any_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, "t string", [x[:1] for x in PARSED]).select("id", dates.any_date(F.col("t")).cast("string").alias("d"))
 
@@ -176,7 +178,7 @@ SIGNALS = [
 ]
 
 
-@query("signal_gate", _values("recruits, role, funded", [x[1:] for x in SIGNALS]))
+@case("signal_gate", _values("recruits, role, funded", [x[1:] for x in SIGNALS]))
 def signal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
     return _cases(spark, "t string", [x[:1] for x in SIGNALS]).select("id", hiring.recruits(t).alias("recruits"), hiring.primary_role(hiring.roles(t)).alias("role"), hiring.funded(t).alias("funded"))
@@ -187,23 +189,65 @@ def signal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(hiring.recruits(F.col("text"))).alias("hits"))
 
 
+# Records and what the gate must say of them.
+REFUSED, UNSURE, TAKEN = "REJECT", "AMBIGUOUS", "ACCEPT"
 WORKS = [
-    ("", None, None, None, None, "REJECT", "empty"),
-    ("Contact me: a@b.org", None, None, None, None, "REJECT", "contact"),
-    ("Program committee member of a venue", None, None, None, None, "REJECT", "service"),
-    ("Workshop on Things 2024", None, None, None, None, "REJECT", "event"),
-    ("A. Smith, B. Jones, C. Lee, University of X", None, None, None, None, "AMBIGUOUS", "affiliation"),
-    ("Robust learning under shift", None, None, None, "10.1/x", "ACCEPT", "doi"),
-    ("Robust learning under distribution shift", "A. Smith, B. Jones", "ICML", None, None, "ACCEPT", "authors and venue"),
-    ("Robust learning under a strong distribution shift", "A", None, 2024, None, "ACCEPT", "authors and year"),
-    ("Robust learning", None, None, None, None, "AMBIGUOUS", "too little"),
+    *[(t, None, None, 2021, None, REFUSED) for t in ("SBST 2017", "SEAMS 2017", "Danny Weyns (Chair)", "SBST 2019 Committees", "Artifact Program Committee", "Workshop Organization", "Research Track Program Committee", "Doctoral Symposium", "Message from the SBST 2021 Chairs")],
+    *[(t, "Professor Name", None, 2026, None, REFUSED) for t in ("Editorial TVLSI positioning—Continuing and accelerating an upward trajectory", "Guest Editors' Introduction to the Special Issue", "Special Issue on Benchmarking Machine Learning Systems and Applications", "Special Session on Emerging Manycore Architectures", "Invited Speaker at the International Symposium on Computing", "Public Lecture on Media and Democracy")],
+    *[(t, None, None, None, None, REFUSED) for t in ("", "School of Interdisciplinary Studies 324 Lake Ontario Hall 1 Campus Drive Allendale, Michigan 49401", "(616) 331-8020 [email protected]", "Office: 324 Lake Ontario Hall", "Email professor@example.edu", "someone@example.edu")],
+    ("Towards run-time testing of dynamic adaptive systems", "Erik M. Fredericks, Betty H. C. Cheng", "Software Quality Journal", 2017, None, TAKEN),
+    ("The 13th International Workshop on Genetic Improvement (GI @ ICSE 2024)", "Erik Fredericks, Justyna Petke", "ICSE Companion Proceedings", 2024, None, UNSURE),
+    ("Brad Alexander, Optimatics Nadia Alshahwan, Meta Bobby Bruce, University of California, Davis James Callan, University College London", "", "", 2023, None, UNSURE),
+    ("Web service composition under uncertainty", "A. Smith, B. Jones", "ICSOC", 2020, None, TAKEN),
+    ("Room temperature superconductivity in doped office paper", "A. Smith, B. Jones", "Journal", None, None, TAKEN),
+    ("Phone and office habits of users over many long years", "Ann Smith", None, 2020, None, REFUSED),
+    ("2020 IEEE/ACM International Conference on Things", None, "Long venue", 2020, None, UNSURE),
+    ("2020 International Stories of Things", "Ann Smith", None, 2020, None, UNSURE),
+    ("Small trees (ABCD)", "Ann Smith, Bo Li", "Journal", 2020, None, UNSURE),
+    ("Small trees in wide and deep woods (ABCD 2020)", "Ann Smith, Bo Li", "Journal", 2020, None, UNSURE),
+    ("Robust learning", None, None, None, "doi:10.1145/3.14", TAKEN),
+    ("Robust learning", None, None, None, "doi:10.1/x", UNSURE),
+    ("Robust learning under a strong shift", "Ann Smith", None, 2024, None, TAKEN),
+    ("Robust learning under one very strong shift", None, "ICML", 2024, None, TAKEN),
+    ("Robust learning under shift today", None, "ICML", 2024, None, UNSURE),
+    ("Robust learning", None, None, None, None, UNSURE),
 ]
 
 
-@query("quality_gate", _values("decision, reason", [x[5:] for x in WORKS]))
+@case("quality_gate", _values("decision", [x[5:] for x in WORKS]))
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rules.publication(*map(F.col, ("title", "authors", "venue", "year", "doi")))
-    return _cases(spark, "title string, authors string, venue string, year int, doi string", [x[:5] for x in WORKS]).select("id", d["decision"].alias("decision"), d["reason"].alias("reason"))
+    d = rules.publication(*map(F.col, ("title", "authors", "venue", "year", "evidence")))
+    return _cases(spark, "title string, authors string, venue string, year int, evidence string", [x[:5] for x in WORKS]).select("id", d["decision"].alias("decision"))
+
+
+# What stands before and behind a document's first words, and which rule decides; '' leaves it to what is known beside.
+FRAMES = [
+    ("Editorial: ", "", "explicit_service_or_committee_title"), ("On the editorial side of ", "", ""), ("2019 Keynote ", "", "explicit_service_or_committee_title"), ("A keynote ", "", ""), ("", " organizing committee", "explicit_service_or_committee_title"), ("Committee work of ", "", ""),
+    ("", " (Chair)", "explicit_service_or_committee_title"), ("The chair of ", "", ""), ("Message from ", " chairs", "explicit_service_or_committee_title"), ("A message from ", "", ""), ("Office: ", "", "contact_or_address_record"), ("The office of ", "", ""), ("(616) 331-8020 ", "", "contact_or_address_record"), ("616 years of ", "", ""),
+    ("1, 2, 3, University ", "", "person_or_affiliation_list_like_title"), ("1, 2, University ", "", ""), ("The 3rd International Workshop ", "", "event_or_proceedings_heading"), ("A third workshop ", "", ""), ("2019 Symposium ", "", "event_or_proceedings_heading"), ("", " conference ICSE now", "event_or_proceedings_heading"),
+    ("", " (GI 2020)", "event_or_proceedings_heading"), ("", " (GECCO)", "short_title_ending_in_event_acronym"), ("", " (of 20)", ""), ("", "", ""),
+]
+_HEAD = f"list_slice(list_filter(string_split({PLAIN.format('text')}, ' '), lambda x: length(x) > 3 AND regexp_matches(x, '^[a-z]+$') AND x NOT IN ('office', 'email', 'phone', 'contact', 'keynote', 'editorial', 'panel', 'committee')), 1, (doc_id % 7 + 1)::INT)"
+
+
+@query(
+    "publication_gate",
+    f"""WITH d AS (SELECT doc_id, {_HEAD} w FROM documents),
+    t AS (SELECT doc_id, w, f.* FROM d, (VALUES {", ".join(f"({i}, '{a}', '{b}', '{r}', {len(re.findall('[a-z0-9]+', (a + b).lower()))})" for i, (a, b, r) in enumerate(FRAMES))}) f(k, a, b, reason, more)),
+    s AS (SELECT doc_id, k, len(w) + more n, (doc_id + k) % 2 = 0 people, (doc_id + k) % 3 = 0 placed, (doc_id + k) % 5 > 1 dated, (doc_id + k) % 11 = 0 doi, reason FROM t WHERE len(w) > 0)
+    SELECT doc_id, k, CASE WHEN reason = 'short_title_ending_in_event_acronym' AND n > 10 THEN CASE WHEN doi THEN 'doi_present' WHEN people AND placed THEN 'authors_and_venue_present' WHEN people AND dated THEN 'authors_year_and_substantive_title' WHEN placed AND dated THEN 'venue_year_and_substantive_title' ELSE 'insufficient_metadata_for_deterministic_decision' END
+        WHEN reason <> '' THEN reason WHEN doi THEN 'doi_present' WHEN people AND placed AND n >= 4 THEN 'authors_and_venue_present' WHEN people AND dated AND n >= 6 THEN 'authors_year_and_substantive_title' WHEN placed AND dated AND n >= 7 THEN 'venue_year_and_substantive_title' ELSE 'insufficient_metadata_for_deterministic_decision' END reason FROM s""",
+)
+def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first words as a title in each frame, with authors, venue, year and DOI by turns: each rule of the
+    gate is met and missed."""
+    frames = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(FRAMES)], "k int, a string, b string")
+    kept = F.filter(F.split(text.plain(F.col("text")), " "), lambda x: (F.length(x) > 3) & x.rlike("^[a-z]+$") & ~x.isin("office", "email", "phone", "contact", "keynote", "editorial", "panel", "committee"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(kept, 1, (F.col("doc_id") % 7 + 1).cast("int")).alias("w")).where("size(w) > 0").crossJoin(F.broadcast(frames))
+    n = F.col("doc_id") + F.col("k")
+    title = F.concat("a", F.array_join("w", " "), "b")
+    d = d.select("doc_id", "k", rules.publication(title, F.when(n % 2 == 0, "Ann Lee, Bo Li"), F.when(n % 3 == 0, "Journal of Things"), F.when(n % 5 > 1, 2020), F.when(n % 11 == 0, "doi:10.1145/3.14")).alias("d"))
+    return d.select("doc_id", "k", "d.reason")
 
 
 GRADES = [
@@ -220,7 +264,7 @@ GRADES = [
 ]
 
 
-@query("grade_lines", _values("status, minimum, scale", [x[1:] for x in GRADES]))
+@case("grade_lines", _values("status, minimum, scale", [x[1:] for x in GRADES]))
 def grade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = rules.grade_requirement(F.col("t"))
     return _cases(spark, "t string", [x[:1] for x in GRADES]).select("id", g["status"].alias("status"), g["minimum"].cast("double").alias("minimum"), g["scale"].cast("double").alias("scale"))
@@ -233,13 +277,35 @@ def grade_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_suppkey", F.when(F.col("k") > 1, "NEEDS_REVIEW").otherwise("FOUND").alias("status"), F.when(F.col("k") == 1, F.col("v")).alias("minimum"))
 
 
-TITLES = [("Assistant Professor", "assistant", "PRIMARY", True), ("Professor Emeritus", "full", "EMERITUS", False), ("Research Associate Professor", "associate", "RESEARCH", True), ("Adjunct Professor", "full", "ADJUNCT", False), ("Lecturer", None, "TEACHING", False), (None, None, "UNKNOWN", False)]
+# Titles and what they must give.
+TITLES = [
+    ("Assistant Professor", "ASSISTANT_PROFESSOR", "PRIMARY", True), ("Professor Emeritus", "PROFESSOR", "EMERITUS", False), ("Research Associate Professor", "ASSOCIATE_PROFESSOR", "PRIMARY", True), ("Assistant Research Professor", "ASSISTANT_PROFESSOR", "RESEARCH", True), ("Assistant Clinical Professor", "ASSISTANT_PROFESSOR", "PRIMARY", True), ("Research Professor", "PROFESSOR", "RESEARCH", True),
+    ("Adjunct Professor", "PROFESSOR", "ADJUNCT", False), ("Adjunct Instructor", "FACULTY_OTHER", "ADJUNCT", False), ("Part-Time Faculty", "FACULTY_OTHER", "PART_TIME", False), ("Assistant Teaching Professor", "FACULTY_OTHER", "PRIMARY", False), ("Teaching Professor", "FACULTY_OTHER", "PRIMARY", False), ("Lecturer", "FACULTY_OTHER", "PRIMARY", False), ("Dean", None, "PRIMARY", False), (None, None, "PRIMARY", False),
+]
 
 
-@query("appointment_type", _values("rank, kind, leads", [x[1:] for x in TITLES]))
+@case("appointment_type", _values("rank, kind, leads", [x[1:] for x in TITLES]))
 def appointment_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    return _cases(spark, "t string", [x[:1] for x in TITLES]).select("id", rules.rank(t).alias("rank"), rules.appointment(t).alias("kind"), F.coalesce(rules.leads_group(t), F.lit(False)).alias("leads"))
+    return _cases(spark, "t string", [x[:1] for x in TITLES]).select("id", rules.rank(t).alias("rank"), rules.appointment(t).alias("kind"), rules.leads_group(t).alias("leads"))
+
+
+BEFORE, MIDDLE, ROLE, AROUND = ["", "Assistant ", "Associate ", "Distinguished ", "Adjunct "], ["", "Clinical ", "Research ", "Teaching ", "Practice ", "Visiting "], ["Professor", "Professor Emeritus", "Professor and Emerita", "Lecturer", "Part-Time Faculty", "Affiliated Faculty", "Instructor"], ["", "Part-time people", "Department of Art"]
+
+
+@query(
+    "appointments",
+    f"""WITH k AS (SELECT o_orderkey, lower({BEFORE}[o_orderkey % 5 + 1] || {MIDDLE}[(o_orderkey // 5) % 6 + 1] || {ROLE}[(o_orderkey // 30) % 7 + 1]) t, {AROUND}[(o_orderkey // 210) % 3 + 1] c FROM orders),
+    r AS (SELECT *, CASE WHEN t LIKE '%teaching professor%' THEN 'FACULTY_OTHER' WHEN regexp_matches(t, 'assistant ((clinical|research|practice) )?professor') THEN 'ASSISTANT_PROFESSOR' WHEN regexp_matches(t, 'associate ((clinical|research|practice) )?professor') THEN 'ASSOCIATE_PROFESSOR' WHEN t LIKE '%professor%' THEN 'PROFESSOR' WHEN t LIKE '%part-time faculty%' OR t LIKE '%lecturer%' OR t LIKE '%instructor%' THEN 'FACULTY_OTHER' END AS rank,
+        CASE WHEN t LIKE '%emerit%' THEN 'EMERITUS' WHEN t LIKE '%adjunct%' THEN 'ADJUNCT' WHEN t LIKE '%visiting%' THEN 'VISITING' WHEN t LIKE '%research professor%' THEN 'RESEARCH' WHEN t LIKE '%affiliated faculty%' THEN 'AFFILIATE' WHEN t LIKE '%part-time faculty%' THEN 'PART_TIME' ELSE 'PRIMARY' END kind FROM k)
+    SELECT o_orderkey, rank, kind, coalesce(rank LIKE '%PROFESSOR' AND kind IN ('PRIMARY', 'RESEARCH') AND NOT regexp_matches(t || ' ' || lower(c), 'adjunct|affiliated|visiting|emerit|part-time|teaching|lecturer|instructor'), false) leads FROM r""",
+)
+def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, class and leadership of a title that each order's key puts together, with what stands around it."""
+    k = F.col("o_orderkey")
+    part = lambda values, by: F.array(*map(F.lit, values))[(F.floor(k / by) % len(values)).cast("int")]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(part(BEFORE, 1), part(MIDDLE, 5), part(ROLE, 30)).alias("t"), part(AROUND, 210).alias("c"))
+    return o.select("o_orderkey", rules.rank(F.col("t")).alias("rank"), rules.appointment(F.col("t")).alias("kind"), rules.leads_group(F.col("t"), F.col("c")).alias("leads"))
 
 
 @query("profile_aggregate", "WITH e AS (SELECT l_suppkey, l_quantity * 2 s, 1998 - year(l_shipdate) * 1 age FROM lineitem), g AS (SELECT l_suppkey, max(s) top, count(*) n, count(*) FILTER (WHERE age <= 6) r, max(CASE WHEN age <= 6 THEN s END) tr, max(s * CASE WHEN age <= 3 THEN 1.0 WHEN age <= 6 THEN 0.85 WHEN age <= 10 THEN 0.65 ELSE 0.4 END) w FROM e GROUP BY 1) SELECT l_suppkey, n, r n_recent, round(least(100.0, top + least(15, 3 * (n - 1))), 2)::DOUBLE expertise, round(least(100.0, w + least(12, 2 * (r - 1))), 2)::DOUBLE activity, CASE WHEN r > 0 AND (tr >= 85 OR r >= 2) THEN 'CURRENTLY_ACTIVE' WHEN r > 0 THEN 'EMERGING_AREA' WHEN n >= 2 THEN 'ESTABLISHED_EXPERTISE' ELSE 'HISTORICAL_ONLY' END status FROM g")
@@ -263,7 +329,7 @@ TEXTS = [
 ]
 
 
-@query("classify_cases", _values("field, combined, decision", [(f, s, d) for _, _, ss, ds in TEXTS for f, s, d in zip((x[0] for x in FIELDS), ss, ds)]).replace("t(id, ", "t(id_, ").replace("SELECT *", "SELECT field, combined, decision, id_ // 3 AS id"))
+@case("classify_cases", _values("field, combined, decision", [(f, s, d) for _, _, ss, ds in TEXTS for f, s, d in zip((x[0] for x in FIELDS), ss, ds)]).replace("t(id, ", "t(id_, ").replace("SELECT *", "SELECT field, combined, decision, id_ // 3 AS id"))
 def classify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _cases(spark, "title string, body string", [x[:2] for x in TEXTS])
     return _classified(docs).select("id", "field", F.col("m.combined").alias("combined"), F.col("m.decision").alias("decision"))

@@ -10,6 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Rules on literal cases with the values they must give; tests run them, they are no queries of the engine.
+CASES: dict[str, tuple[Query, str]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -24,5 +26,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def case(name: str, sql: str) -> Callable[[Query], Query]:
+    """Keep a rule on literal cases for the tests."""
+
+    def add(f: Query) -> Query:
+        CASES[name] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import relational as R
 from tidemark.operators import state as S
-from tidemark.plans.registry import query, table
+from tidemark.plans.registry import case, query, table
 from tidemark.sources import readers
 from tidemark.streaming import windows as T
 
@@ -148,7 +148,7 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.constraint_violations(table(spark, sf_dir, "customer"), "c_custkey", checks, {"one_name": ["c_nationkey", "c_mktsegment"]}, {"supplier": (table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey")})
 
 
-@query("schema_gaps", "SELECT * FROM (VALUES ('customer', 'c_phone'), ('ghosts', '*')) t(\"table\", \"column\")")
+@case("schema_gaps", "SELECT * FROM (VALUES ('customer', 'c_phone'), ('ghosts', '*')) t(\"table\", \"column\")")
 def schema_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = {n: table(spark, sf_dir, n).schema for n in ("customer", "orders")}
     return spark.createDataFrame(S.schema_gaps(found, {"customer": ["c_custkey", "c_phone"], "orders": ["o_orderkey"], "ghosts": ["x"]}), "table string, column string")
@@ -216,14 +216,14 @@ def provider_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.merged_hits([p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0")], "url", [F.col("page_id")], 50).select("url")
 
 
-@query("award_feed", "SELECT * FROM (VALUES (0, 'A', '1', 10.00, 'X'), (1, 'B', '2', 20.50, 'Y'), (2, NULL, NULL, NULL, NULL)) t(id, title, award_id, amount, investigator)")
+@case("award_feed", "SELECT * FROM (VALUES (0, 'A', '1', 10.00, 'X'), (1, 'B', '2', 20.50, 'Y'), (2, NULL, NULL, NULL, NULL)) t(id, title, award_id, amount, investigator)")
 def award_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(0, '{"title":"A","id":"1","fundsObligatedAmt":"10","pi":{"name":"X"}}'), (1, '{"project_title":"B","project_num":"2","award_amount":20.5,"investigators":[{"name":"Y"}]}'), (2, "not json")]
     out = readers.awards(spark.createDataFrame(rows, "id int, body string"), "body")
     return out.select("id", "title", "award_id", F.col("amount").cast("double").alias("amount"), "investigator")
 
 
-@query("sitemap_scan", "SELECT * FROM (VALUES (0, 'https://a.org/x', FALSE), (0, 'https://a.org/sitemap-2.xml', TRUE)) t(id, loc, is_map)")
+@case("sitemap_scan", "SELECT * FROM (VALUES (0, 'https://a.org/x', FALSE), (0, 'https://a.org/sitemap-2.xml', TRUE)) t(id, loc, is_map)")
 def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = "<urlset><url><loc>https://a.org/x</loc></url><url><loc>https://a.org/sitemap-2.xml</loc></url><url><loc>https://a.org/x</loc></url></urlset>"
     return readers.sitemap(spark.createDataFrame([(0, xml)], "id int, xml string"), "xml").select("id", "loc", "is_map")
