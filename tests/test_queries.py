@@ -23,7 +23,7 @@ def duck():
 
 
 #: Queries that SQL doesn't express, with the rows they give at least; what they hold is tested beside them.
-UNSPOKEN = {"classify_documents_decided": 1, "document_score_shares": 1, "page_text": 1, "page_metadata": 1, "page_blocks": 1, "roster_parse": 0, "publication_parse": 0}
+UNSPOKEN = {"breaker_states": 1, "classify_documents_decided": 1, "document_score_shares": 1, "page_text": 1, "page_metadata": 1, "page_blocks": 1, "roster_parse": 0, "publication_parse": 0}
 
 
 def plain(v):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.operators import relational as R
 from tidemark.operators import state as S
 from tidemark.plans.registry import case, query, table
 from tidemark.sources import readers
+from tidemark.streaming import machines, read_model
 from tidemark.streaming import windows as T
 
 AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
@@ -227,3 +230,51 @@ def award_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = "<urlset><url><loc>https://a.org/x</loc></url><url><loc>https://a.org/sitemap-2.xml</loc></url><url><loc>https://a.org/x</loc></url></urlset>"
     return readers.sitemap(spark.createDataFrame([(0, xml)], "id int, xml string"), "xml").select("id", "loc", "is_map")
+
+
+_MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(
+    "liveness_changes",
+    f"""WITH g AS (SELECT user_id, ts, lead(ts) OVER w nxt, lag(ts) OVER w prv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, date_trunc('millisecond', ts) "at", 'LIVE' what FROM g WHERE prv IS NULL OR date_trunc('millisecond', ts) > date_trunc('millisecond', prv) + INTERVAL 6 HOUR
+    UNION ALL SELECT user_id, date_trunc('millisecond', ts) + INTERVAL 6 HOUR, 'STALLED' FROM g WHERE date_trunc('millisecond', coalesce(nxt, {_MARK})) > date_trunc('millisecond', ts) + INTERVAL 6 HOUR
+    UNION ALL SELECT user_id, date_trunc('millisecond', ts) + INTERVAL 10 HOUR, 'LOST' FROM g WHERE date_trunc('millisecond', coalesce(nxt, {_MARK})) > date_trunc('millisecond', ts) + INTERVAL 10 HOUR""",
+)
+def liveness_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user went silent, was given up, and came back; timers tell of it without another event."""
+    out = T.run_to_table(machines.run(T.event_stream(spark, sf_dir, "events"), machines.Liveness(6 * 3600, 10 * 3600), "user_id", "event_type", "event_id"), "append")
+    return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), "what")
+
+
+@query(
+    "retries_due",
+    f"""WITH x AS (SELECT user_id, event_id, date_trunc('millisecond', ts) ts, event_type, count(*) FILTER (WHERE event_type <> 'error') OVER w g, lead(date_trunc('millisecond', ts)) OVER w nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    y AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) n FROM x WHERE event_type = 'error'),
+    z AS (SELECT *, ts + to_seconds(least(3600, 15 * power(2, least(n, 20) - 1))::INT) due FROM y)
+    SELECT user_id, due "at", n::INTEGER n FROM z WHERE coalesce(nxt, date_trunc('millisecond', {_MARK})) > due""",
+)
+def retries_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retries of each user's failures that no later event took the place of."""
+    out = T.run_to_table(machines.run(T.event_stream(spark, sf_dir, "events"), machines.Retry("error"), "user_id", "event_type", "event_id"), "append")
+    return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), "n")
+
+
+@query("breaker_states")
+def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A breaker per user that opens at two failures in a row for an hour and then tries again."""
+    out = T.run_to_table(machines.run(T.event_stream(spark, sf_dir, "events"), machines.Breaker(2, 3600), "user_id", "event_type", "event_id"), "append")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("live_model", "SELECT user_id, event_type, count(*) n, round(sum(value), 4) total, max(ts) seen, arg_max(event_id, (ts, event_id)) latest FROM events GROUP BY 1, 2")
+def live_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, sums and latest event of each user and kind, kept up from the stream of events."""
+    top = f"{T.shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    model = read_model.ReadModel(spark, f"{top}/rows", ["user_id", "event_type"], {"n": read_model.add, "total": read_model.add, "seen": read_model.most, "latest": read_model.newest("version"), "version": read_model.most}, 16)
+    stream = T.event_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    version = F.struct("ts", "event_id")
+    delta = lambda df: df.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("ts").alias("seen"), F.max_by("event_id", version).alias("latest"), F.max(version).alias("version"))
+    rows = model.follow(stream, delta, f"{top}/checkpoint")
+    return rows.select("user_id", "event_type", "n", F.round("total", 4).alias("total"), "seen", "latest")

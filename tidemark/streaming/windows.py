@@ -50,16 +50,25 @@ def circuit_breaker(df: DataFrame, threshold: int = 3) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, blocked = state.get if state.exists else (0, False)
-        for pdf in batches:
-            for kind in pdf.sort_values(["ts", "event_id"])["event_type"]:
-                n = n + 1 if kind == "error" else 0
-                blocked = blocked or n >= threshold
+        for kind in pd.concat(list(batches)).sort_values(["ts", "event_id"])["event_type"]:  # a key may span Arrow batches
+            n = n + 1 if kind == "error" else 0
+            blocked = blocked or n >= threshold
         state.update((n, blocked))
         yield pd.DataFrame([(key[0], n, blocked)], columns=["user_id", "failures", "blocked"])
 
     return df.groupBy("user_id").applyInPandasWithState(step, BREAKER, "failures int, blocked boolean", "update", "NoTimeout")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a new one on a local master and an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    return top
+
+
 def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, folder: str | None = None, seconds: int = 600) -> DataFrame:
     """Run a stream over all that is there and return what it gave last; the result is a Parquet table.
 
@@ -67,11 +76,7 @@ def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, fo
     ``seconds``, or fails, raises.
     """
     spark = stream.sparkSession
-    top = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    top = folder or shared_folder(spark)
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys that name a row")
     top = f"{top}/stream-{uuid.uuid4().hex}"
