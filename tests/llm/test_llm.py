@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from tokenizers import Tokenizer
 from tidemark.llm import bpe_replay, embedding_dedup, graph, lattice_lm, packing, quality_rules, recompression, secrets, simhash, site_quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,7 +58,7 @@ def test_quality_counts(docs):
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path, end_id=2, length=64, ids=True).collect()
-    coder = packing.WordEncoder(path)
+    model = Tokenizer.from_file(path)  # as it loads
     seq, doc = {}, {}
     for r in rows:
         seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -70,8 +71,8 @@ def test_packing(docs):
         assert end == 64 or k == max(seq)
     for i, t in pairs(docs).items():
         whole = [x for _, p in sorted(doc[i]) for x in p]
-        assert whole == coder.model.encode(t or "", add_special_tokens=False).ids + [2]
-    ids = {i: coder.model.encode(t or "", add_special_tokens=False).ids + [2] for i, t in pairs(docs).items()}
+        assert whole == model.encode(t or "", add_special_tokens=False).ids + [2]
+    ids = {i: model.encode(t or "", add_special_tokens=False).ids + [2] for i, t in pairs(docs).items()}
     for r in packing.pack(docs.unionByName(docs.limit(3)), path, end_id=2, length=64).collect():
         part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
         assert (r["ids_crc32"], r["doc_tokens"], len(part)) == (zlib.crc32(part.tobytes()), len(ids[r["doc_id"]]), r["length"])
@@ -82,8 +83,14 @@ def test_word_encoder_equals_tokenizer():
     coder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     letters = list("abcEFéÉß.,'!12 \n\t中ΣσİıǺñ") + ["'re", "the", "ing", "</w>", " <|endoftext|> "]
     some = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    want = [e.ids for e in coder.model.encode_batch(some, add_special_tokens=False)]
-    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in some])] == want
+    some += ["see <|endoftext|> now", "x<|startoftext|>y", "<|ENDOFTEXT|>", "<|endoftext|>", "<|end oftext|>"]
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert 49407 in model.encode(some[-5], add_special_tokens=False).ids
+    for ordinary in (False, True):
+        coder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), ordinary)
+        model.encode_special_tokens = ordinary
+        want = [e.ids for e in model.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in some])] == want
 
 
 def test_long_words():
@@ -348,12 +355,12 @@ def test_block_max_equals_scan():
 
 def test_toxicity_ties_share_the_vote():
     """Equal examples, half of each label, vote for neither, in whatever order they stand."""
-    m = toxicity.Model([b"a", b"b"], 15)
+    m = toxicity.Model(np.array([3, 8]), 15)
     for order in (1, -1):
         y = [i % 2 for i in range(40)][::order]
-        m.index = toxicity.BlockMaxIndex([m.vector(Counter([b"a", b"b"]))] * 40, y, list(range(40)), 2)
+        m.index = toxicity.BlockMaxIndex([m.vector({3: 1, 8: 1})] * 40, y, list(range(40)), 2)
         m.prior = 0.5
-        assert abs(m.vote(Counter([b"a", b"b"]))[0] - 0.5) < 1e-9
+        assert abs(m.vote({3: 1, 8: 1})[0] - 0.5) < 1e-9
 
 
 def test_toxicity_equals_brute_force(spark):
@@ -368,19 +375,20 @@ def test_toxicity_equals_brute_force(spark):
     rows += [(i, rows[5][1]) for i in range(160, 164)] + [(200, None)]
     labels = [(i, int(i % 5 == 0)) for i in range(164)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5, common=0.3).collect()}
+    got = {r["doc_id"]: r for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5).collect()}
     taught = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
     bag = {i: Counter((t or "").split()) for i, t in rows}
     side = {r["doc_id"]: r["s"] for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0).alias("s")).collect()}
-    groups = Counter((y, toxicity.copy_mark(Counter({w.encode(): n for w, n in bag[i].items()}))) for i, y in taught)
-    weight = {i: 1 / groups[y, toxicity.copy_mark(Counter({w.encode(): n for w, n in bag[i].items()}))] for i, y in taught}
-    n = Counter(w for i, _ in taught for w in bag[i])
-    on, off = ({w: sum(weight[i] for i, y in taught if y == side_ and w in bag[i]) for w in n} for side_ in (1, 0))
-    total = [sum(weight[i] for i, y in taught if y == side_) for side_ in (1, 0)]
-    names = [w for w in n if n[w] > 1]
-    f = dict(zip(names, toxicity.stresses(np.array([on[w] for w in names]), np.array([off[w] for w in names]), *total)))
+    own = [(i, y) for i, y in taught if side[i]]  # weights come from the examples alone
+    mark = {i: toxicity.copy_mark(toxicity.bag_of((t or "").encode())) for i, t in rows}
+    groups = Counter((y, mark[i]) for i, y in own)
+    weight = {i: 1 / groups[y, mark[i]] for i, y in own}
+    names = sorted({w for i, _ in own for w in bag[i]})
+    on, off = (np.array([sum(weight[i] for i, y in own if y == side_ and w in bag[i]) for w in names]) for side_ in (1, 0))
+    total = [sum(weight[i] for i, y in own if y == side_) for side_ in (1, 0)]
+    f = dict(zip(names, toxicity.stresses(on, off, *total)))
     df_all = Counter(w for i in bag for w in bag[i])
-    weights = {w: f[w] * (np.log((1 + len(rows)) / (1 + df_all[w])) + 1) for w in names if n[w] <= 0.3 * len(taught) or f[w] > 1}
+    weights = {w: f[w] * np.log((1 + len(rows)) / (1 + df_all[w])) for w in names}
 
     def vector(i):
         v = {w: (1 + np.log(c)) * weights[w] for w, c in bag[i].items() if w in weights}
@@ -420,6 +428,15 @@ def test_toxicity_held_out(spark):
     assert got[900]["score"] == got[901]["score"] < 0.5
 
 
+def test_toxicity_of_ids_with_several_labels(spark):
+    """Of several labels of an id the largest counts, and repeated rows of documents change nothing."""
+    rows = [(i, f"w{i % 7} w{i % 5} {'scum' if i % 4 == 0 else 'fine'}") for i in range(120)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    score = lambda d, y: {(r["doc_id"], r["score"]) for r in toxicity.score(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int")).collect()}
+    plain = score(rows, labels)
+    assert plain == score(rows, labels + [(i, 0) for i, y in labels if y] + [(7, None), (None, 1)])
+
+
 def test_site_quality(docs, spark):
     """Rates and scores against plain sums over all other documents; the evidence is taken from the result."""
     labels = spark.createDataFrame([(i, int(i > 5)) for i in range(24)], "doc_id long, quality int")

@@ -124,11 +124,13 @@ class WordEncoder:
     LONG_WORD bytes, goes through the tokenizer.
     """
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, ordinary: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer)
+        self.model, self.whole = Tokenizer.from_file(tokenizer), Tokenizer.from_file(tokenizer)
+        # Words are ordinary text here; a text that holds an added token is the tokenizer's as a whole.
         self.model.encode_special_tokens = True
+        self.added = [] if ordinary else [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.letters = LetterMerges.of(self.model.to_str())
         self.known: dict[bytes, bytes] = {}
@@ -194,6 +196,10 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes. Known words are kept in two generations: when the young one is full it
         becomes the old one, and what is met again returns, so frequent words stay."""
+        if self.added and (held := [i for i, t in enumerate(texts) if any(x in t for x in self.added)]):
+            rest = iter(self.encode([t for t in texts if not any(x in t for x in self.added)]))
+            own = {i: np.array(self.whole.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes() for i in held}
+            return [own[i] if i in own else next(rest) for i in range(len(texts))]
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {}, self.known
         split = [t.split() for t in texts]
@@ -209,16 +215,15 @@ class WordEncoder:
         return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encode(tokenizer: str, end_id: int, chunk: int = 512):
+def _encode(tokenizer: str, end_id: int, ordinary: bool, chunk: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(tokenizer)
-        coder = _encoders[tokenizer]
+        coder = _encoders.setdefault((tokenizer, ordinary), None) or WordEncoder(tokenizer, ordinary)
+        _encoders[tokenizer, ordinary] = coder
         end = np.array([end_id], coder.kind).tobytes()
         size, part, before = len(end), TaskContext.get().partitionId(), 0
         gc.disable()  # millions of small tuples and no cycles
@@ -259,15 +264,16 @@ def _cut(length: int, wide: bool, crc: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, ordinary: bool = False) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids as uint32 bytes]).
 
     Every text gives its ids and then ``end_id``; a null or empty text gives ``end_id`` alone. All sequences hold
-    ``length`` ids but the last. The order is the order in which pass one wrote the texts, so it's fixed once stashed.
+    ``length`` ids but the last. Added tokens that a text spells out are those tokens, as the tokenizer reads them, unless
+    ``ordinary`` says that they are text like any other. A text of any length is one row. The order is the order in which pass one wrote the texts, so it's fixed once stashed.
     Beyond one row per partition nothing comes together.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = stash(rows.mapInArrow(_encode(tokenizer, end_id), "part int, place long, doc_id long, n long, ids binary"), "ids")
+    coded = stash(rows.mapInArrow(_encode(tokenizer, end_id, ordinary), "part int, place long, doc_id long, n long, ids binary"), "ids")
     totals = coded.groupBy("part").agg(F.sum("n").alias("n"))
     # One row per partition of pass one: as many as tasks, whatever the size of the data.
     offset = totals.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"))

@@ -30,7 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", folds=3, held_fold=1)
-    return r.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return r.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours", "cosines")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

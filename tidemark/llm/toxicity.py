@@ -1,13 +1,14 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index; weighted votes.
 
-The examples are a bounded sample of labelled rows. Their vectors, and those of the texts asked about, are over all
-terms that two sampled texts hold and not too many do: term frequency (log) times inverse document frequency over all
-documents, and times the term's standard errors where it speaks for the label. The index holds the examples in blocks
-with each term's largest weight per block; a query visits blocks from the largest bound down and stops when no block
-can reach its k-th best cosine, so its neighbours are exact. Votes weigh by the squared cosine beside a little weight
-of the prior; the share of votes is calibrated on sampled rows that are no examples, and the neighbours are the
-evidence. Bags of terms, their counts and the calibration's votes are made in tasks; the driver sees counted terms and
-the examples' vectors, whose numbers the parameters bound, and no text.
+The examples are a bounded sample of labelled rows. Vectors are over all terms of the examples, without a limit: term
+frequency (log) times inverse document frequency over all documents, and times the term's standard errors where the
+examples show that it speaks for the label. The index holds the examples in blocks with each term's largest weight per
+block; a query visits blocks from the largest bound down and stops when no block can reach its k-th best cosine, so its
+neighbours are exact. Votes weigh by the squared cosine beside a little weight of the prior; the share of votes is
+calibrated on sampled rows that are no examples and had no part in weights, and the neighbours are the evidence.
+
+Terms are known by 64-bit hashes (XXH64), so what goes to tasks is arrays of numbers. Bags of terms, their counts and the
+calibration's votes are made in tasks; the driver sees the examples' counted terms and vectors and no text.
 """
 
 from __future__ import annotations
@@ -34,21 +35,41 @@ def terms(text: bytes | None) -> list[bytes]:
     return TERM.findall((text or b"").decode("utf-8", "replace").lower().encode())
 
 
-def copy_mark(bag: Counter) -> int:
+#: Hashes of terms that a worker keeps, in Python's dictionary.
+KEPT = 1 << 19
+_hashes: dict[bytes, int] = {}
+
+
+def bag_of(text: bytes | None) -> dict[int, int]:
+    """The hashes of a text's terms and how often each occurs."""
+    import xxhash
+
+    if len(_hashes) > KEPT:
+        _hashes.clear()
+    out = {}
+    for w, n in Counter(terms(text)).items():
+        h = _hashes.get(w)
+        if h is None:
+            h = xxhash.xxh64_intdigest(w)
+            _hashes[w] = h = h - (1 << 64) if h >> 63 else h
+        out[h] = n
+    return out
+
+
+def copy_mark(bag: dict[int, int]) -> int:
     """One number for a text and most of its near copies: of the two terms of lowest hash."""
     import xxhash
 
-    low = sorted(map(xxhash.xxh64_intdigest, bag))[:2]
-    return xxhash.xxh64_intdigest(repr(low).encode()) >> 1
+    return xxhash.xxh64_intdigest(repr(sorted(bag)[:2]).encode()) >> 1
 
 
 def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, y, text) -> its terms with their frequencies."""
     for b in batches:
         for i in range(b.num_rows):
-            bag = Counter(terms(blobs(b.column(2).slice(i, 1))[0]))
+            bag = bag_of(blobs(b.column(2).slice(i, 1))[0])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([copy_mark(bag)], pa.int64()), pa.array([list(bag)], pa.list_(pa.binary())), pa.array([list(bag.values())], pa.list_(pa.int32()))],
+                [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([copy_mark(bag)], pa.int64()), pa.array([list(bag)], pa.list_(pa.int64())), pa.array([list(bag.values())], pa.list_(pa.int32()))],
                 ["doc_id", "y", "mark", "terms", "tf"],
             )
 
@@ -127,25 +148,36 @@ class BlockMaxIndex:
         return row[best], score[best]
 
 
+def places(names: np.ndarray, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    own = np.sort(np.fromiter(bag, np.int64, len(bag)))
+    at = np.searchsorted(names, own)
+    held = at < len(names)
+    held[held] = names[at[held]] == own[held]
+    return at[held], np.array([bag[h] for h in own[held].tolist()], float)
+
+
 class Model:
     """Terms, their weights, the index and the calibration."""
 
-    def __init__(self, names: list[bytes], k: int) -> None:
-        self.place = {w: i for i, w in enumerate(names)}
+    def __init__(self, names: np.ndarray, k: int) -> None:
+        self.names = names  # hashes of the terms, rising
         self.factor = np.ones(len(names))
         self.k = k
         self.index = BlockMaxIndex([], [], [], len(names))
         self.scale, self.shift, self.prior = 1.0, 0.0, 0.0
 
-    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The bag's terms that the examples hold, as places in order, and their frequencies."""
+        return places(self.names, bag)
+
+    def vector(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector of a bag of terms: places, in order, and weights."""
-        get = self.place.get
-        own = sorted((i, n) for w, n in bag.items() if (i := get(w)) is not None)
-        t = np.array([i for i, _ in own], np.int64)
-        w = (1 + np.log(np.array([n for _, n in own], float))) * self.factor[t]
+        t, n = self.places(bag)
+        w = (1 + np.log(n)) * self.factor[t]
+        t, w = t[w > 0], w[w > 0]  # a term of every document has no weight
         return t, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def vote(self, bag: Counter) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, bag: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of votes for the label, neighbours' ids, cosines). Examples that tie for the last place share it."""
         at, cos = self.index.nearest(*self.vector(bag), self.k)
         w = cos**2
@@ -172,23 +204,24 @@ class Model:
         self.scale, self.shift = float(b[0]), float(b[1])
 
 
-def _document_counts(place):
-    """Texts that hold each term of a broadcast table, and texts in all as term -1."""
+def _document_counts(names):
+    """Texts that hold each of the broadcast terms, by place, and texts in all as term -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, df, n = place.value.get, Counter(), 0
+        known = names.value
+        count, n = np.zeros(len(known), np.int64), 0
         for b in batches:
             for t in blobs(b.column(0)):
-                df.update({i for w in set(terms(t)) if (i := get(w)) is not None})
+                count[places(known, bag_of(t))[0]] += 1
                 n += 1
-        df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(df.keys()), pa.int64()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
+        own = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(count[own], n))], ["term", "n"])
 
     return run
 
 
-def _bags_of(b: pa.RecordBatch) -> list[Counter]:
-    return [Counter(dict(zip(t, n))) for t, n in zip(b.column(b.schema.get_field_index("terms")).to_pylist(), b.column(b.schema.get_field_index("tf")).to_pylist())]
+def _bags_of(b: pa.RecordBatch) -> list[dict[int, int]]:
+    return [dict(zip(t, n)) for t, n in zip(b.column(b.schema.get_field_index("terms")).to_pylist(), b.column(b.schema.get_field_index("tf")).to_pylist())]
 
 
 def _vectors(model):
@@ -208,32 +241,32 @@ def _shares(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_terms: int, common: float, k: int) -> Model:
-    """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows only."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, stressed: bool = True) -> Model:
+    """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows only, one label per id."""
     spark = docs.sparkSession
     share = lambda x: spark.sparkContext.broadcast(x)
     picked = [labels.where(F.col(label) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (1 if y else 4)) for y in (1, 0)]
     ids = picked[0].unionByName(picked[1])
     rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.col(label).cast("int").alias("y"), "text")
-    bags = stash(rows.mapInArrow(_bag, "doc_id long, y int, mark long, terms array<binary>, tf array<int>"), "bags")
+    # Rows that repeat an id count as one, that of the smallest text; the sample stays as large as it was set.
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    bags = stash(rows.mapInArrow(_bag, "doc_id long, y int, mark long, terms array<long>, tf array<int>"), "bags")
+    side = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0
+    examples = bags.where(side)
     # A group of near copies counts as one text, so no passage that was copied often passes for a sign of the label.
-    size = bags.groupBy("y", "mark").agg(F.count(F.lit(1)).alias("size"))
-    held = bags.join(size, ["y", "mark"]).select("y", (1 / F.col("size")).alias("w"), F.explode("terms").alias("term"))
-    n = {r["y"]: (r["n"], r["w"]) for r in bags.join(size, ["y", "mark"]).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("size")).alias("w")).collect()}
-    (n1, w1), (n0, w0) = n.get(1, (0, 0.0)), n.get(0, (0, 0.0))
+    sized = examples.join(examples.groupBy("y", "mark").agg(F.count(F.lit(1)).alias("size")), ["y", "mark"]).withColumn("w", 1 / F.col("size"))
+    n = {r["y"]: r["w"] for r in sized.groupBy("y").agg(F.sum("w").alias("w")).collect()}
     on, off = (F.sum(F.when(F.col("y") == y, F.col("w")).otherwise(0.0)).alias(c) for y, c in ((1, "a"), (0, "b")))
-    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"), on, off).where("n > 1")
-    kept = counted.orderBy(F.desc("n"), "term").limit(most_terms).toArrow()
-    names, a, b = kept.column("term").to_pylist(), kept.column("a").to_numpy(), kept.column("b").to_numpy()
-    factor = stresses(a, b, w1, w0)
-    some = (kept.column("n").to_numpy() <= common * (n1 + n0)) | (factor > 1) if len(names) else np.zeros(0, bool)
-    names, factor = [names[i] for i in np.flatnonzero(some).tolist()], factor[some]
+    counted = sized.select("y", "w", F.explode("terms").alias("term")).groupBy("term").agg(on, off).toArrow().sort_by("term")
+    names, a, b = (counted.column(c).to_numpy() for c in ("term", "a", "b"))
+    factor = stresses(a, b, n.get(1, 0.0), n.get(0, 0.0)) if stressed else np.ones(len(names))
     model = Model(names, k)
-    df = docs.select("text").mapInArrow(_document_counts(share(model.place)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    have = dict(zip(df.column("term").to_pylist(), df.column("n").to_pylist()))
-    model.factor = factor * (np.log((1 + have.get(-1, 0)) / (1 + np.array([have.get(i, 0) for i in range(len(names))], float))) + 1)
-    side = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0
-    own = bags.where(side).mapInArrow(_vectors(share(model)), "doc_id long, y int, t array<int>, w array<double>").toArrow()
+    df = docs.select("text").mapInArrow(_document_counts(share(names)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    have, at = np.zeros(len(names)), df.column("term").to_numpy()
+    have[at[at >= 0]] = df.column("n").to_numpy()[at >= 0]
+    every = int(df.column("n").to_numpy()[at < 0].sum())
+    model.factor = factor * np.log((1 + every) / (1 + have))
+    own = examples.mapInArrow(_vectors(share(model)), "doc_id long, y int, t array<int>, w array<double>").toArrow()
     vectors = [(t.values.to_numpy().astype(np.int64), w.values.to_numpy()) for t, w in zip(own.column("t"), own.column("w"))]
     model.index = BlockMaxIndex(vectors, own.column("y").to_pylist(), own.column("doc_id").to_pylist(), len(names))
     total = labels.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
@@ -245,26 +278,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_terms:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, most_terms: int = 100_000, common: float = 0.1, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, k: int = 15, id_col: str = "doc_id", text_col: str = "text", stressed: bool = True) -> DataFrame:
     """One row per row of ``docs``: (doc_id, held_out, score, votes, neighbours array<long>, cosines array<double>).
 
     Labels are read only where the crc32 of the id modulo ``folds`` is not ``held_fold``; rows with null labels or ids
-    teach nothing. Of those, at most ``sample`` with the label and four times as many without are used, half of them as
-    examples and half for calibration. The terms are those of two sampled texts or more and of at most the share
-    ``common`` of them, unless they speak for the label; they number ``most_terms`` at most, the most frequent first.
-    A text without such terms, null and empty texts too, has no neighbours and scores by the prior vote. Examples that
-    tie for the last of ``k`` places share its vote, so their order never decides. Without any labelled row all score
-    alike. The model, of a size that these bounds fix, goes to all tasks.
+    teach nothing, and of several labels of one id the largest counts. Of those, at most ``sample`` with the label and
+    four times as many without are used, half of them as examples and half for calibration. A text without a term of the
+    examples, null and empty texts too, has no neighbours and scores by the prior vote. Examples that tie for the last of
+    ``k`` places share its vote, so their order never decides. Without any labelled row all score alike. The model, of a
+    size that the sample fixes, goes to all tasks. ``stressed=False`` leaves the weights of plain TF-IDF.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = lambda c: F.coalesce(fold(F.col(c), folds) == held_fold, F.lit(False))
-    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).dropDuplicates(["doc_id"])
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, most_terms, common, k))
+    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).groupBy("doc_id").agg(F.max(label).alias(label))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, k, stressed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            votes = [m.vote(Counter(terms(t))) for t in blobs(b.column(2))]
+            votes = [m.vote(bag_of(t)) for t in blobs(b.column(2))]
             share = [v[0] for v in votes]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([m.score(s) for s in share], pa.float64()), pa.array(share, pa.float64()), pa.array([v[1].tolist() for v in votes], pa.list_(pa.int64())), pa.array([v[2].tolist() for v in votes], pa.list_(pa.float64()))],
