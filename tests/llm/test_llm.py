@@ -561,3 +561,11 @@ def test_pipeline(spark, tmp_path):
         got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
     want = {0: rows[0][1], 1: rows[1][1], 3: rows[3][1], 4: clean[3], 5: rows[5][1].replace("password=hunter2hunter2", "[secret]")}
     assert got == {i: coder.model.encode(t, add_special_tokens=False).ids + [2] for i, t in want.items()}
+
+
+def test_site_quality_of_ids_with_several_labels(spark):
+    """Of several labels of an id the largest counts; a very long text is one text."""
+    rows = [(i, f"The {i} words of it are and stand. " * (i % 5 + 1) if i % 3 else "# # $ ", f"s{i % 4}", "en") for i in range(120)] + [(120, "word and " * 200_000, "s0", "en"), (121, None, None, None)]
+    labels = [(i, int(i % 3 > 0)) for i in range(120)]
+    make = lambda y: {(r["doc_id"], round(r["score"], 9)) for r in site_quality.classify(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(y, "doc_id long, quality int"), F.col("source"), F.col("lang")).collect()}
+    assert make(labels) == make(labels + [(i, 0) for i, y in labels if y] + [(5, None), (None, 0)])

@@ -74,7 +74,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
     ``sample`` of those rows (by a hash of the id), the rates on all. ``evidence``: log odds against the base rate;
     ``host_rate`` and ``path_rate``: those of all documents but this one;
     ``score``: posterior probability of a good text; kept from ``least`` on. Null hosts and paths are groups of their
-    own; null ids are never labelled; without labels the evidence is zero and the rate one half.
+    own; null ids are never labelled; of several labels of one id the largest counts; texts are taken whole; without labels the evidence is zero and the rate one half.
     """
     key = F.col(id_col).cast("long")
     text = F.col(text_col).cast("string")
@@ -82,8 +82,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
     f = features(F.col("text"), F.col("w"))
     shapes = stash(base.select("doc_id", "host", "path", F.array(*[f[k].cast("double") for k in FEATURES]).alias("x")), "shapes")
     held = lambda c: F.coalesce(fold(F.col(c), folds) == held_fold, F.lit(False))
-    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).dropDuplicates(["doc_id"])
-    some = shapes.join(F.broadcast(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)), "doc_id").select("doc_id", "x", "y").collect()
+    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    # One row an id, so that repeated rows leave the sample as small as it was set.
+    some = shapes.join(F.broadcast(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     some.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["y"] for r in some])
     weights = fit(np.array([r["x"] for r in some]), y) if len(set(y.tolist())) == 2 else np.zeros(len(FEATURES))
