@@ -58,6 +58,7 @@ def brute(data, max_n, least, cover, top):
 def test_equal_to_counting(spark, monkeypatch, max_n, least, cover, top, buffer):
     monkeypatch.setattr(collocations, "BUFFER", buffer)
     monkeypatch.setattr(collocations, "SHARES", 3)
+    monkeypatch.setattr(collocations, "SENT", 0 if buffer == 100 else 1 << 20)
     data = rows()
     docs = spark.createDataFrame([(*r, "clash", "clash") for r in data], SCHEMA).repartition(3)
     got = [tuple(r) for r in collocations.collocations(docs, max_n, least, cover, top).collect()]

@@ -1,9 +1,10 @@
 """Collocations: phrases whose parts meet more often than apart, counted over all n-grams of all texts.
 
 Texts are cut into pieces at punctuation and pieces into words. Every run of 1 to ``max_n`` words of a piece becomes a
-row (language, phrase, times), where the runs of a few megabytes of text are combined before they leave their task. Rows
-are then aggregated by language and phrase, and from the counts on only the phrases that occur ``least`` times or more
-are left: every part of such a phrase occurs as often itself.
+row (fingerprint, times), where the runs of a few megabytes of text are combined before they leave their task, and rows
+are aggregated by fingerprint, 64 bits of language and phrase. Only runs whose fingerprint occurs ``least`` times or more
+can be frequent; a second reading gives those their words, and their counts are taken by language and phrase, so two
+phrases of one fingerprint cost a row and nothing else. Every part of a frequent phrase is as frequent itself.
 
 Edge cases: null, empty and wordless texts have no phrase; a null language is ``und``; repeated rows count each time;
 texts of any length are read whole, one longer than a buffer alone in its buffer; extra columns are not read; an empty
@@ -12,7 +13,7 @@ table gives no rows. Ties are ordered by count and then by the phrase's UTF-8 by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,32 @@ PIECE_END = b".,;:!?\n\x0b\x0c\r"
 GAPS = b" \t"
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_END + GAPS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(PIECE_END) + b" " * len(GAPS))
 #: Bytes of text whose runs are combined at once.
-BUFFER = 12 << 20
+BUFFER = 16 << 20
+#: Fingerprints that are sent to all tasks, 8 bytes each; beyond it runs meet them in a join.
+SENT = 4 << 20
 #: Parts in which a language is ranked before it is ranked as a whole.
 SHARES = 256
 #: 7 + 15 + 15 digits above, 18 + 18 below: neither product is rounded, and DIV drops what is left over.
 SCORE = "CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) DIV (CAST(l AS DECIMAL(18,0)) * CAST(r AS DECIMAL(18,0)))"
 
 
-def _runs(text: bytes, max_n: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """The distinct runs of 1 to ``max_n`` words and how often each occurs, one length after the other."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _runs(text: bytes, max_n: int, lang: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]]:
+    """The distinct runs of 1 to ``max_n`` words, one length after the other: their fingerprints, how often each occurs, and
+    a function that gives the phrases of some of them."""
+    import xxhash
+
     ids, piece, words = tokens(text)
     if not len(ids):
         return
-    yield words, np.bincount(ids, minlength=len(words))
-    key, names = ids, words  # runs so far: the number of each run by its first word, and the phrases by number
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+    prints = _mix(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang or "")))
+    yield prints, np.bincount(ids, minlength=len(words)), lambda own: words.take(pa.array(own))
+    key, names = ids, (lambda own: words.take(pa.array(own)))  # the run that begins at each word
     for k in range(1, max_n):
         same = piece[k:] == piece[: len(piece) - k]
         if not same.any():
@@ -51,24 +64,29 @@ def _runs(text: bytes, max_n: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
         first = np.flatnonzero(np.diff(found, prepend=-1))
         times, found = np.diff(first, append=len(found)), found[first]
         head, tail = np.divmod(found, len(words))
-        names = pc.binary_join_element_wise(names.take(pa.array(head)), words.take(pa.array(tail)), pa.scalar(b" ", pa.large_binary()))
-        yield names, times
+        prints = _mix(prints[head] * np.uint64(0xD1B54A32D192ED03) + hashes[tail])
+
+        def names(own: np.ndarray, before=names, head=head, tail=tail) -> pa.Array:
+            return pc.binary_join_element_wise(before(head[own]), words.take(pa.array(tail[own])), pa.scalar(b" ", pa.large_binary()))
+
+        yield prints, times, names
         if k + 1 < max_n:
             key = np.zeros(len(ids), np.int64)
             key[: len(same)][same] = np.searchsorted(found, pair)
 
 
-def _count(max_n: int, buffer: int):
+def _read(max_n: int, buffer: int, rows: Callable, names: list[str]):
+    """Runs of a buffer's texts, language by language; ``rows`` makes columns of the runs of one length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[bytes]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang in sorted(held):
-                for names, times in _runs(b"\n".join(held[lang]).translate(_BYTES), max_n):
-                    for at in range(0, len(names), 1 << 18):
-                        part = names.slice(at, 1 << 18).cast(pa.binary()).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), part, pa.array(times[at : at + (1 << 18)], pa.int64())], ["lang", "phrase", "f"])
+                for n, found in enumerate(_runs(b"\n".join(held[lang]).translate(_BYTES), max_n, lang), 1):
+                    for columns in rows(lang, n, *found):
+                        yield pa.RecordBatch.from_arrays(columns, names)
             held.clear()
             pa.default_memory_pool().release_unused()
 
@@ -85,23 +103,56 @@ def _count(max_n: int, buffer: int):
     return run
 
 
-def ngrams(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang", buffer: int | None = None) -> DataFrame:
-    """Rows (lang, phrase, f) of all runs of 1 to ``max_n`` words inside a piece, combined within a task's buffers."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count(max_n, buffer or BUFFER), "lang string, phrase string, f long")
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+
+def prints(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang", buffer: int | None = None) -> DataFrame:
+    """Rows (h, lang, f): the fingerprints of all runs, combined within a task's buffers, and one row per buffer and language
+    with the number of its words under a null fingerprint."""
+
+    def rows(lang: str, n: int, h: np.ndarray, times: np.ndarray, names: Callable) -> Iterator[list]:
+        if n == 1:
+            yield [pa.nulls(1, pa.int64()), pa.array([lang]), pa.array([int(times.sum())], pa.int64())]
+        for at in range(0, len(h), 1 << 18):
+            part = h[at : at + (1 << 18)].view(np.int64)
+            yield [pa.array(part), pa.nulls(len(part), pa.string()), pa.array(times[at : at + (1 << 18)], pa.int64())]
+
+    return _texts(docs, text_col, lang_col).mapInArrow(_read(max_n, buffer or BUFFER, rows, ["h", "lang", "f"]), "h long, lang string, f long")
+
+
+def ngrams(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang", buffer: int | None = None, kept=None) -> DataFrame:
+    """Rows (lang, words, phrase, h, f) of all runs, combined within a task's buffers; ``kept``, a broadcast array of rising
+    fingerprints, leaves those that it holds."""
+
+    def rows(lang: str, n: int, h: np.ndarray, times: np.ndarray, names: Callable) -> Iterator[list]:
+        h = h.view(np.int64)
+        own = np.arange(len(h))
+        if kept is not None:
+            at = np.searchsorted(kept.value, h)
+            at[at == len(kept.value)] = 0
+            own = np.flatnonzero(kept.value[at] == h) if len(kept.value) else own[:0]
+        for a in range(0, len(own), 1 << 18):
+            some = own[a : a + (1 << 18)]
+            yield [pa.repeat(lang, len(some)), pa.array(np.full(len(some), n, np.int32)), names(some).cast(pa.binary()).cast(pa.string()), pa.array(h[some]), pa.array(times[some], pa.int64())]
+
+    return _texts(docs, text_col, lang_col).mapInArrow(_read(max_n, buffer or BUFFER, rows, ["lang", "words", "phrase", "h", "f"]), "lang string, words int, phrase string, h long, f long")
 
 
-def frequent(docs: DataFrame, max_n: int, least: int, text_col: str = "text", lang_col: str = "lang", buffer: int | None = None) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases that occur ``least`` times; rarer words are one row with a null phrase, so
-    that the words of a language sum up to all of its words."""
+def frequent(docs: DataFrame, max_n: int, least: int, text_col: str = "text", lang_col: str = "lang", buffer: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lang, words, phrase, f) of all phrases that occur ``least`` times, and (lang, n) with the words of each language."""
     # Combined rows are dealt out as they are: another count before the shuffle would find little to add up.
-    counts = ngrams(docs, max_n, text_col, lang_col, buffer).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    counts = counts.where((F.col("f") >= least) | (F.instr("phrase", " ") == 0))
-    words = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
-    known = F.when(F.col("f") >= least, F.col("phrase"))
-    counts = counts.select("lang", words.alias("words"), known.alias("phrase"), "f")
-    # All rare words of a task are one row before the second shuffle.
-    return counts.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    rows = prints(docs, max_n, text_col, lang_col, buffer)
+    counts = rows.repartition("h", "lang").groupBy("h", "lang").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("h").isNull())
+    counts = stash(counts, "prints")
+    total = counts.where("h IS NULL").select("lang", F.col("f").alias("n"))
+    known = counts.where("h IS NOT NULL").select("h")
+    if known.count() <= SENT:
+        kept = docs.sparkSession.sparkContext.broadcast(np.sort(known.toArrow().column("h").to_numpy()))
+        runs = ngrams(docs, max_n, text_col, lang_col, buffer, kept)
+    else:
+        runs = ngrams(docs, max_n, text_col, lang_col, buffer).join(known, "h", "left_semi")
+    return runs.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), total
 
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, cover: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -111,9 +162,8 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, cover: int =
     floor(10^6 a^2 / (l r)). A phrase goes if a phrase one word longer that holds it occurs ``cover`` percent as often:
     any longer one holds such a phrase, which occurs as often at least.
     """
-    table = stash(frequent(docs, max_n, least, text_col, lang_col), "phrases")
-    total = table.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    known = table.where("phrase IS NOT NULL")
+    phrases, total = frequent(docs, max_n, least, text_col, lang_col)
+    known = stash(phrases, "phrases")
     cand = known.where("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"))
     w = F.split("phrase", " ", -1)
     span = lambda a, n: F.array_join(F.slice(F.col("w"), a, n), " ")
