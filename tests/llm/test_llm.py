@@ -375,7 +375,7 @@ def test_toxicity_equals_brute_force(spark):
     rows += [(i, rows[5][1]) for i in range(160, 164)] + [(200, None)]
     labels = [(i, int(i % 5 == 0)) for i in range(164)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5).collect()}
+    got = {r["doc_id"]: r for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5, common=0.5).collect()}
     taught = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
     bag = {i: Counter((t or "").split()) for i, t in rows}
     side = {r["doc_id"]: r["s"] for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0).alias("s")).collect()}
@@ -388,7 +388,7 @@ def test_toxicity_equals_brute_force(spark):
     total = [sum(weight[i] for i, y in own if y == side_) for side_ in (1, 0)]
     f = dict(zip(names, toxicity.stresses(on, off, *total)))
     df_all = Counter(w for i in bag for w in bag[i])
-    weights = {w: f[w] * np.log((1 + len(rows)) / (1 + df_all[w])) for w in names}
+    weights = {w: x for w in names if (x := np.log((1 + len(rows)) / (1 + df_all[w])) * f[w] if f[w] > 1 else max(0.0, np.log(0.5 * (1 + len(rows)) / (1 + df_all[w])))) > 0}
 
     def vector(i):
         v = {w: (1 + np.log(c)) * weights[w] for w, c in bag[i].items() if w in weights}

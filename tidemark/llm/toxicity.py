@@ -1,7 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index; weighted votes.
 
 The examples are a bounded sample of labelled rows. Vectors are over all terms of the examples, without a limit: term
-frequency (log) times inverse document frequency over all documents, and times the term's standard errors where the
+frequency (log) times inverse document frequency over all documents, counted from the share ``common`` of them on (terms
+of more documents weigh nothing, unless they speak for the label), and times the term's standard errors where the
 examples show that it speaks for the label. The index holds the examples in blocks with each term's largest weight per
 block; a query visits blocks from the largest bound down and stops when no block can reach its k-th best cosine, so its
 neighbours are exact. Votes weigh by the squared cosine beside a little weight of the prior; the share of votes is
@@ -241,7 +242,7 @@ def _shares(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, stressed: bool = True) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, common: float, stressed: bool = True) -> Model:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows only, one label per id."""
     spark = docs.sparkSession
     share = lambda x: spark.sparkContext.broadcast(x)
@@ -265,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, str
     have, at = np.zeros(len(names)), df.column("term").to_numpy()
     have[at[at >= 0]] = df.column("n").to_numpy()[at >= 0]
     every = int(df.column("n").to_numpy()[at < 0].sum())
-    model.factor = factor * np.log((1 + every) / (1 + have))
+    rare = np.log((1 + every) / (1 + have))
+    model.factor = np.where(factor > 1, factor * rare, np.maximum(0.0, rare + np.log(common)))
     own = examples.mapInArrow(_vectors(share(model)), "doc_id long, y int, t array<int>, w array<double>").toArrow()
     vectors = [(t.values.to_numpy().astype(np.int64), w.values.to_numpy()) for t, w in zip(own.column("t"), own.column("w"))]
     model.index = BlockMaxIndex(vectors, own.column("y").to_pylist(), own.column("doc_id").to_pylist(), len(names))
@@ -278,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, str
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, k: int = 15, id_col: str = "doc_id", text_col: str = "text", stressed: bool = True) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, k: int = 15, common: float = 0.1, id_col: str = "doc_id", text_col: str = "text", stressed: bool = True) -> DataFrame:
     """One row per row of ``docs``: (doc_id, held_out, score, votes, neighbours array<long>, cosines array<double>).
 
     Labels are read only where the crc32 of the id modulo ``folds`` is not ``held_fold``; rows with null labels or ids
@@ -291,7 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = lambda c: F.coalesce(fold(F.col(c), folds) == held_fold, F.lit(False))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).groupBy("doc_id").agg(F.max(label).alias(label))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, k, stressed))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, k, common, stressed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
