@@ -15,6 +15,8 @@ from tidemark.functions import dates, hiring, html, names, profiles, rules, scor
 from tidemark.functions.text import even
 from tidemark.operators import relational as R
 from tidemark.operators import state as S
+from tidemark.operators import walks
+from tidemark.sources import readers
 
 
 def topic_candidates(matches: DataFrame, by: list[str], rank: str, as_of: Column, version: int, limit: int, deferred: bool = False, direct: Column | None = None) -> DataFrame:
@@ -139,36 +141,51 @@ def directories(links: DataFrame, domain: str, url: str, known: DataFrame) -> Da
     return found.join(known.select("url"), "url", "left_anti").select(domain, "url")
 
 
-# Labels of links to lists of units, and what a unit is called.
+# Labels of links to lists of units and to directories, and what a unit is called.
 UNIT_LISTS = r"(?i)\b(?:academics|colleges and schools|schools and colleges)\b"
+DIRECTORY_LABEL = r"(?i)\b(?:directory|our faculty|faculty and staff)\b"
 UNIT = r"(?i)\b(?:college|school|department|program)\b"
 
 
 def academic_units(links: DataFrame, home: DataFrame, site: str, pages: int = 12, units: int = 80) -> DataFrame:
-    """(site, url, name, kind) of the first ``units`` units that a walk from each site's home finds on ``pages`` pages.
+    """(site, url, name, kind) of the first ``units`` units that a walk from each site's home finds on ``pages`` pages; the
+    walk ends with the page that has brought that many.
 
-    ``links``: (site, page, place, url, label), within the site. The walk is breadth first: pages in the order in which
-    they are found, lists of units first found first read, no page twice. A page is one join; the frontier holds
-    ``pages`` rows a site at most. Of a unit's labels the last one read counts.
+    ``links``: (site, page, place, url, label), within the site. Links with the label of a list of units lead on. Of a
+    unit's labels the last one read counts.
     """
-    seen = home.select(site, F.col("page"), F.array().cast("array<bigint>").alias("__turn"))
-    level, every = seen, seen
-    for _ in range(pages - 1):
-        nxt = links.where(F.col("label").rlike(UNIT_LISTS)).join(level, [site, "page"]).select(site, F.col("url").alias("page"), F.concat("__turn", F.array(F.col("place").cast("bigint"))).alias("__turn"))
-        level = R.distinct_on(nxt.join(every.select(site, "page"), [site, "page"], "left_anti"), [site, "page"], [F.asc("__turn")])
-        level = R.topk_per_key(level, site, [F.asc("__turn"), F.asc("page")], pages, "__r").drop("__r").cache()
-        if level.isEmpty():
-            break
-        every = every.unionByName(level)
-    # Breadth first: shorter turns first, then the order of the links that led there.
-    every = R.topk_per_key(every, site, [F.size("__turn"), F.asc("__turn"), F.asc("page")], pages, "__visit")
-    read = links.where(F.col("label").rlike(UNIT) & (F.length("label") <= 180)).join(every.select(site, "page", "__visit"), [site, "page"])
-    read = read.withColumn("__u", F.regexp_replace("url", "/+$", ""))
-    g = read.groupBy(site, F.col("__u").alias("url")).agg(F.min(F.struct("__visit", "place")).alias("__first"), F.max_by("label", F.struct("__visit", "place")).alias("name"))
-    kept = R.topk_per_key(g, site, [F.asc("__first"), F.asc("url")], units, "__r")
+    lists = links.where(F.col("label").rlike(UNIT_LISTS))
+    found = links.where(F.col("label").rlike(UNIT) & (F.length("label") <= 180)).withColumn("url", F.regexp_replace("url", "/+$", ""))
+    start = home.select(site, F.lit(0).alias("place"), F.col("page").alias("url"))
+    visits = walks.walk(lists, found, start, site, pages, units)
+    last = F.max_by("label", F.struct("visit", "place")).alias("name")
+    kept = walks.first_found(visits, found, site, units, [last])
     return kept.select(site, "url", "name", F.upper(F.regexp_extract("name", UNIT, 0)).alias("kind"))
 
 
+def roster_candidates(units: DataFrame, links: DataFrame, site: str, domain: str, most_units: int = 40, most: int = 100) -> DataFrame:
+    """(site, rank, url) of the first ``most`` addresses that may be directories, read off the pages of each site's first
+    ``most_units`` units. ``units``: (site, rank, url), ``links``: (site, page, place, url, label)."""
+    visits = units.where(F.col("rank") <= most_units).select(site, F.col("url").alias("page"), F.col("rank").alias("visit"))
+    found = links.where(F.col("label").rlike(DIRECTORY_LABEL)).withColumn("url", urls.directory_candidate(F.col("url"), F.col(domain))).where("url <> ''")
+    return walks.first_found(visits, found.select(site, "page", "place", "url"), site, most)
+
+
+def sitemap_directories(documents: DataFrame, domain: str, pages: int = 30, most: int = 150) -> DataFrame:
+    """(domain, rank, url) of addresses that may be directories, from a walk over each domain's site maps: its two usual
+    ones first, then the maps that these name, on the domain only. ``documents``: (domain, page, xml) as fetched.
+
+    Addresses count each time they are met until ``most`` are; the walk ends with the map that brings the last one.
+    """
+    locs = readers.sitemap_locations(documents.select(domain, "page", "xml"), "xml").drop("xml").withColumnRenamed("loc", "url")
+    is_map = F.lower("url").rlike(r"\.xml(?:\.gz)?$") & urls.within(urls.host(F.col("url")), F.col(domain))
+    maps = locs.where(is_map)
+    found = locs.where(~is_map).withColumn("url", urls.directory_candidate(F.col("url"), F.col(domain))).where("url <> ''")
+    names = F.array(*[F.concat(F.lit("https://"), F.col(domain), F.lit(f"/{n}")) for n in ("sitemap.xml", "sitemap_index.xml")])
+    home = documents.select(domain).distinct().select(domain, F.posexplode(names).alias("place", "url"))
+    return walks.first_found(walks.walk(maps, found, home, domain, pages, most, distinct=False), found, domain, most)
+
+
 def paged_profile(works: DataFrame, sheets: DataFrame, by: str, size: int = 100, most: int = 300) -> tuple[DataFrame, DataFrame]:
     """(status of each profile, its works): saved sheets of a profile are read in order up to one that is missing, brings
     nothing new, is short, or bears another name; works count once, ``most`` at most.

@@ -20,6 +20,7 @@ def session(name: str = "tidemark", master: str | None = None, cores: int | None
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.cteRecursionRowLimit": "-1",  # walks give a row for each visit of each site
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf

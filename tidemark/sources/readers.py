@@ -45,6 +45,20 @@ def sitemap(raw: DataFrame, xml: str, most: int = 10_000) -> DataFrame:
     return raw.select("*", F.explode(locs).alias("loc")).withColumn("is_map", F.col("loc").rlike(r"(?i)sitemap[^/]*\.xml"))
 
 
+#: An address of a site map, in any namespace, bare or as character data.
+LOCATION = r"(?is)<(?:[\w-]+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:[\w-]+:)?loc\s*>"
+
+
+def sitemap_locations(raw: DataFrame, xml: str, most: int = 10_000) -> DataFrame:
+    """A row per location of a site map as it stands, with its place; the first ``most`` of a map, the feed's own limit.
+    Broken documents give what can be read of them, others and nulls nothing."""
+    loc = F.trim("loc")
+    for mark, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        loc = F.replace(loc, F.lit(mark), F.lit(letter))
+    locs = F.slice(F.regexp_extract_all(F.col(xml), F.lit(LOCATION), F.lit(1)), 1, most)
+    return raw.select("*", F.posexplode(locs).alias("place", "loc")).withColumn("loc", loc)
+
+
 def merged_hits(sources: list[DataFrame], key: str, order: list, limit: int) -> DataFrame:
     """Results of several providers with equal columns, the first provider's of each key, best first."""
     from functools import reduce
