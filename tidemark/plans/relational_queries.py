@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators import relational as R
+from tidemark.operators import sketches as K
 from tidemark.plans.registry import query, table
 
 AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
@@ -326,3 +327,17 @@ def set_union_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intersect_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
     return a.intersect(b).select(F.lit("both").alias("side"), "k").unionByName(a.subtract(b).select(F.lit("left").alias("side"), "k"))
+
+
+@query(
+    "distinct_sketches",
+    "SELECT event_type, year(ts) * 100 + month(ts) AS \"month\", count(DISTINCT user_id) exact_users, count(DISTINCT event_id) exact_events, TRUE AS within FROM events GROUP BY 1, 2",
+)
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users and events of each kind and month from daily sketches, held against the exact counts."""
+    e = table(spark, sf_dir, "events").withColumn("month", F.year("ts") * 100 + F.month("ts"))
+    daily = K.sketches(e.withColumn("day", F.to_date("ts")), ["event_type", "month", "day"], users="user_id", events="event_id")
+    monthly = K.estimates(K.united(daily, ["event_type", "month"], "users", "events"), "users", "events")
+    exact = e.groupBy("event_type", "month").agg(F.countDistinct("user_id").alias("exact_users"), F.countDistinct("event_id").alias("exact_events"))
+    near = lambda n: F.abs(F.col(n) - F.col(f"exact_{n}")) <= K.error() * F.col(f"exact_{n}")
+    return exact.join(monthly, ["event_type", "month"]).select("event_type", "month", "exact_users", "exact_events", (near("users") & near("events")).alias("within"))
