@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return simhash.keep_first(docs, shingle=5, similarity=0.8)
+    """One document of each group of near copies: SimHash prints of five-word shingles within 4 bits, or a similarity of 0.8 or more."""
+    return simhash.keep_first(docs, shingle=5, similarity=0.8, distance=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

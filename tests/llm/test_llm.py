@@ -186,6 +186,29 @@ def test_near_duplicates_large_group_of_variants(spark):
     assert near_components(spark, rows) == want
 
 
+def test_near_duplicates_by_prints(spark):
+    """Prints within 4 bits link below the similarity, and groups by prints and by similarity are one; other texts stay."""
+    rng = random.Random(3)
+    base = [f"v{rng.randint(0, 900)}" for _ in range(300)]
+    print_ = lambda t: simhash.print_of(np.unique(simhash.shingle_hashes(" ".join(t).encode(), 5)))
+
+    def changed(t, n, at):
+        t = list(t)
+        for k in rng.sample(range(at, at + 11 * n, 11), n):
+            t[k] = f"x{rng.randint(0, 10**6)}"
+        return t
+
+    for _ in range(20_000):
+        far = changed(base, 8, 10)
+        if (print_(far) ^ print_(base)).bit_count() <= 4:
+            break
+    next_ = changed(far, 6, 200)  # near far by similarity alone
+    rows = [(0, " ".join(base)), (1, " ".join(far)), (2, " ".join(next_)), (3, " ".join(f"w{rng.randint(0, 900)}" for _ in range(300))), (4, ""), (5, " ")]
+    assert brute_components(rows) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert min((print_(next_) ^ print_(t)).bit_count() for t in (base, far)) > 4
+    assert near_components(spark, rows + rows[:2]) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]

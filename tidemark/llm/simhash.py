@@ -39,11 +39,8 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
 
 
-def fingerprint(text: bytes | None, shingle: int, once: bool = False) -> int:
-    """The 64-bit SimHash of one text, as a signed integer; repeated shingles count each time, or ``once``."""
-    h = shingle_hashes(text, shingle)
-    if once:
-        h = np.unique(h)
+def print_of(h: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' hashes, as a signed integer; zero where there are none."""
     if not len(h):
         return 0
     count = np.zeros(BITS, np.int64)
@@ -53,6 +50,11 @@ def fingerprint(text: bytes | None, shingle: int, once: bool = False) -> int:
     return int(bits[0])
 
 
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """The 64-bit SimHash of one text; repeated shingles count each time."""
+    return print_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row."""
 
@@ -190,6 +192,14 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(distance), "u long, v long")
 
 
+def _reached(nodes: DataFrame, distance: int) -> DataFrame:
+    """``nodes``: (fp, rep), each fp once. Returns (fp, component_id): the smallest rep that links reach."""
+    labels = stash(connected_components(links(nodes.select("fp"), distance)), "labels")
+    member = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    head = member.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return stash(member.join(stash(head, "heads"), "label").select("fp", "component_id"), "named")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, fp, component_id).
 
@@ -199,11 +209,7 @@ def simhash_components(docs: DataFrame, shingle: int = 5, distance: int = 4, id_
     """
     fps = stash(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    labels = stash(connected_components(links(nodes.select("fp"), distance)), "labels")
-    member = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    head = member.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = stash(member.join(stash(head, "heads"), "label").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_reached(nodes, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def _digest(text: Column) -> Column:
@@ -238,16 +244,17 @@ def _sketch(shingle: int, rows: int):
         for b in batches:
             least = np.zeros((b.num_rows, BANDS * rows), np.uint64)
             size = np.zeros(b.num_rows, np.int32)
+            fp = np.zeros(b.num_rows, np.int64)
             for i, t in enumerate(blobs(b.column(2))):
                 h = np.unique(shingle_hashes(t, shingle))
-                least[i], size[i] = least_hashes(h, BANDS * rows), len(h)
+                least[i], size[i], fp[i] = least_hashes(h, BANDS * rows), len(h), print_of(h)
             short = (least >> np.uint64(20)).astype(np.uint16)
             # Keys go by the shortened values, so that texts with an equal band there always meet under its key.
             keys = (short.reshape(-1, BANDS, rows).astype(np.uint64) + np.uint64(1)) * _FACTORS[:rows]
             keys = (keys.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) * _FACTORS[rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(size), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "size", "least", "keys"],
+                [b.column(0), b.column(1), pa.array(size), pa.array(fp), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "size", "fp", "least", "keys"],
             )
 
     return run
@@ -332,12 +339,13 @@ def _jaccard(shingle: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, digest of the text, component_id).
 
-    Texts link if their sets of word shingles reach the Jaccard ``similarity``. Texts meet under 32 keys, each made of
-    a band of MinHashes of the shingles; two texts at the similarity miss each other in all bands at most once in 10^5.
-    First all texts of a key are compared, exactly, with the one that meets most others; then all pairs of a key that
+    Texts link if the SimHash prints of their sets of word shingles differ in at most ``distance`` bits, found by deletion
+    variants as in ``simhash_components``, and also if the sets reach the Jaccard ``similarity``, which differs in more bits
+    than an index of prints can bear. For these, texts that prints leave apart meet under 32 keys, each made of a band of
+    MinHashes of the shingles; two texts at the similarity miss each other in all bands at most once in 10^5. First all texts of a key are compared, exactly, with the one that meets most others; then all pairs of a key that
     these links leave apart, if their MinHashes allow the similarity (but once in 10^8 wrongly refused). No pair
     of a key is left out for another reason, so components are those of all pairs. Equal texts are one from the start.
     Blank texts link with blank texts only. Null ids are never chosen unless no other is there.
@@ -349,13 +357,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     # Each distinct text has a number of its own, fixed once stashed.
     ids = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("text_key", F.monotonically_increasing_id()), "texts")
     first_of = lambda part: rows.join(part, (rows["digest"] == part["digest"]) & rows["doc_id"].eqNullSafe(part["rep"]))
-    sketch = stash(first_of(ids).select("doc_id", "text_key", "text").mapInArrow(_sketch(shingle, rows_in_band), "doc_id long, text_key long, size int, least binary, keys array<long>"), "sketches")
-    met = sketch.select("text_key", F.posexplode("keys").alias("band", "key")).distinct()
-    met = stash(met.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1"), "met")
+    sketch = stash(first_of(ids).select("doc_id", "text_key", "text").mapInArrow(_sketch(shingle, rows_in_band), "doc_id long, text_key long, size int, fp long, least binary, keys array<long>"), "sketches")
+    nodes = stash(sketch.where("size > 0").groupBy("fp").agg(F.min("text_key").alias("rep")), "nodes")
+    # Texts with their group by prints, under its smallest text_key; texts without a shingle have no print.
+    alike = stash(sketch.where("size > 0").select("text_key", "fp").distinct().join(_reached(nodes, distance), "fp").select("text_key", F.col("component_id").alias("mate")), "alike")
+    same = alike.where("mate < text_key").select(F.col("mate").alias("u"), F.col("text_key").alias("v"))
+    met = sketch.join(alike, "text_key", "left").select("text_key", F.coalesce("mate", "text_key").alias("mate"), F.posexplode("keys").alias("band", "key")).distinct()
+    within = W.partitionBy("key")
+    met = met.select("*", F.count(F.lit(1)).over(within).alias("n"), F.min("mate").over(within).alias("a"), F.max("mate").over(within).alias("b"))
+    met = stash(met.where("a < b").drop("a", "b"), "met")
     # Of many variants the original meets most others; a variant taken instead would be far from the rest.
     score = met.groupBy("text_key").agg(F.sum("n").alias("score"))
-    head = met.join(score, "text_key").groupBy("key").agg(F.max(F.struct("score", "text_key")).alias("head")).select("key", F.col("head.text_key").alias("head"))
-    stars = met.join(head, "key").where(F.col("head") != F.col("text_key")).select(F.least("head", "text_key").alias("u"), F.greatest("head", "text_key").alias("v"))
+    head = met.join(score, "text_key").groupBy("key").agg(F.max(F.struct("score", "text_key", "mate")).alias("head")).select("key", F.col("head.text_key").alias("head"), F.col("head.mate").alias("head_mate"))
+    stars = met.join(head, "key").where(F.col("head_mate") != F.col("mate")).select(F.least("head", "text_key").alias("u"), F.greatest("head", "text_key").alias("v"))
 
     def bodies(wanted: DataFrame, name: str) -> DataFrame:
         part = stash(wanted.distinct().join(ids, "text_key"), f"{name}_part")  # one copy of each text that takes part
@@ -369,25 +383,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         return stash(scored.where(F.col("similarity") >= similarity).select("u", "v"), f"{name}_links")
 
     near = verified(stars, "star")
-    tree = stash(connected_components(near), "trees")
+    tree = stash(connected_components(near.unionByName(same)), "trees")
     apart = met.join(tree.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("key", "band", "text_key", F.coalesce("label", "text_key").alias("label"))
     mixed = apart.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     open_ = stash(apart.join(mixed, "key"), "open")
     sets = stash(bodies(open_.select("text_key"), "open").mapInArrow(_sets(shingle), "text_key long, shingles binary").dropDuplicates(["text_key"]), "sets")
     full = open_.join(sketch.select("text_key", "size", "least"), "text_key").join(sets, "text_key").select("key", "band", "text_key", "label", "size", "least", "shingles")
     rest = verified(full.repartition("key").sortWithinPartitions("key").mapInArrow(_across(similarity, rows_in_band), "u long, v long"), "rest")
-    labels = stash(connected_components(near.unionByName(rest)), "labels")
+    labels = stash(connected_components(near.unionByName(rest).unionByName(same)), "labels")
     member = stash(ids.join(labels.select(F.col("node").alias("text_key"), "label"), "text_key", "left").select("text_key", "rep", F.coalesce("label", "text_key").alias("label")), "members")
     first = stash(member.groupBy("label").agg(F.min("rep").alias("component_id")), "firsts")
     named = stash(member.join(first, "label").join(ids.select("text_key", "digest"), "text_key").select("digest", "component_id"), "named")
-    drop_stash(sketch, met, open_, sets, near, rest, tree, labels, member, first)
+    drop_stash(sketch, nodes, alike, met, open_, sets, near, rest, tree, labels, member, first)
     return rows.select("doc_id", "digest").join(named, "digest")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies: of each group the row with the smallest id stays, with its own columns, whatever
     their names. Rows that repeat an id and its text stay together."""
-    kept = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest").distinct()
+    kept = near_duplicates(docs, shingle, similarity, distance, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest").distinct()
     kept = stash(kept, "kept")
     key = _digest(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key.alias("key"), F.struct("*").alias("row"))
