@@ -29,6 +29,8 @@ TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: The prior's vote beside those of neighbours, in squared cosines.
 BLANK = 0.25
 TIE = 1e-12
+#: Blocks that a query visits first, and the most that it visits by their own parts of the lists.
+FIRST, MANY = 8, 24
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -47,14 +49,14 @@ def bag_of(text: bytes | None) -> dict[int, int]:
 
     if len(_hashes) > KEPT:
         _hashes.clear()
-    out = {}
-    for w, n in Counter(terms(text)).items():
-        h = _hashes.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            _hashes[w] = h = h - (1 << 64) if h >> 63 else h
-        out[h] = n
-    return out
+    count = Counter(terms(text))
+    own = list(map(_hashes.get, count))
+    if None in own:
+        for i, w in enumerate(count):
+            if own[i] is None:
+                h = xxhash.xxh64_intdigest(w)
+                _hashes[w] = own[i] = h - (1 << 64) if h >> 63 else h
+    return dict(zip(own, count.values()))
 
 
 def copy_mark(bag: dict[int, int]) -> int:
@@ -101,20 +103,33 @@ class BlockMaxIndex:
         order = sorted(range(len(vectors)), key=lambda i: (lead[i], labels[i], ids[i]))
         self.labels = np.array([labels[i] for i in order], float)
         self.ids = np.array([ids[i] for i in order], np.int64)
-        self.n_blocks = -(-len(order) // block)
+        self.n_blocks, self.in_block = -(-len(order) // block), block
         size = np.array([len(vectors[i][0]) for i in order], np.int64)
-        row = np.repeat(np.arange(len(order), dtype=np.int32), size)
+        row = np.repeat(np.arange(len(order)), size)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         by = np.lexsort((row, term))
-        self.row, self.weight, term = row[by], weight[by], term[by]
-        group = term.astype(np.int64) * max(1, self.n_blocks) + self.row // block
-        # One entry per term and block: its postings [first, first of the next) and their largest weight.
+        self.row, self.weight = row[by], weight[by]
+        self.posting = np.searchsorted(term[by], np.arange(n_terms + 1))
+        self._bound()
+
+    def _bound(self) -> None:
+        """One entry per term and block: its postings [first, first of the next) and their largest weight."""
+        n = len(self.posting) - 1
+        group = np.repeat(np.arange(n), np.diff(self.posting)) * max(1, self.n_blocks) + self.row // self.in_block
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(group)), bool), group[1:] != group[:-1])))
         self.first = np.concatenate((first, [len(group)]))
-        self.block = (group[first] % max(1, self.n_blocks)).astype(np.int32)
+        self.block = group[first] % max(1, self.n_blocks)
         self.bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entry = np.searchsorted(group[first] // max(1, self.n_blocks), np.arange(n_terms + 1))
+        self.entry = np.searchsorted(first, self.posting)
+
+    def __getstate__(self) -> dict:
+        """Only postings travel; bounds are made again from them."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "block", "bound", "entry")} | {"row": self.row.astype(np.int32), "posting": self.posting.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"row": state["row"].astype(np.int64), "posting": state["posting"].astype(np.int64)}
+        self._bound()
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines), best first, of the k nearest with a cosine above 0 and of all that tie with the last."""
@@ -124,22 +139,25 @@ class BlockMaxIndex:
         bounds = np.bincount(block, q * self.bound[at], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        rows, scores, least, done, step = [], [], 0.0, 0, 8
+        rows, scores, least, done = [], [], 0.0, 0
         while done < len(order) and bounds[order[done]] >= least - TIE:
-            now = order[done : done + step]
-            now = now[bounds[now] >= least - TIE]
-            mine = np.zeros(self.n_blocks, bool)
-            mine[now] = True
-            own = np.flatnonzero(mine[block])
-            lo, hi = self.first[at[own]], self.first[at[own] + 1]
+            now = order[done : done + FIRST] if not done else order[done:][bounds[order[done:]] >= least - TIE]
+            if len(now) <= MANY:
+                mine = np.zeros(self.n_blocks, bool)
+                mine[now] = True
+                own = np.flatnonzero(mine[block])
+                lo, hi, w = self.first[at[own]], self.first[at[own] + 1], q[own]
+            else:  # so many blocks can reach the k-th best that whole lists are read sooner than their parts
+                lo, hi, w = self.posting[term], self.posting[term + 1], weight
+                now, rows, scores = order[done:], [], []
             post = _spread(lo, hi)
-            score = np.bincount(self.row[post], self.weight[post] * np.repeat(q[own], hi - lo), len(self.labels))
+            score = np.bincount(self.row[post], self.weight[post] * np.repeat(w, hi - lo), len(self.labels))
             hit = np.flatnonzero(score > 0)
             rows.append(hit)
             scores.append(score[hit])
             every = np.concatenate(scores)
             least = np.partition(every, len(every) - k)[len(every) - k] if len(every) >= k else 0.0
-            done, step = done + len(now), step * 4
+            done += len(now)
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0)
         row, score = np.concatenate(rows), np.concatenate(scores)
@@ -150,11 +168,13 @@ class BlockMaxIndex:
 
 
 def places(names: np.ndarray, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    own = np.sort(np.fromiter(bag, np.int64, len(bag)))
+    own, n = np.fromiter(bag, np.int64, len(bag)), np.fromiter(bag.values(), float, len(bag))
+    order = np.argsort(own)
+    own, n = own[order], n[order]
     at = np.searchsorted(names, own)
     held = at < len(names)
     held[held] = names[at[held]] == own[held]
-    return at[held], np.array([bag[h] for h in own[held].tolist()], float)
+    return at[held], n[held]
 
 
 class Model:
@@ -173,14 +193,21 @@ class Model:
 
     def vector(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector of a bag of terms: places, in order, and weights."""
-        t, n = self.places(bag)
+        return self.unit(*self.places(bag))
+
+    def unit(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of places, in order, and frequencies."""
         w = (1 + np.log(n)) * self.factor[t]
         t, w = t[w > 0], w[w > 0]  # a term of every document has no weight
         return t, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def vote(self, bag: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of votes for the label, neighbours' ids, cosines). Examples that tie for the last place share it."""
-        at, cos = self.index.nearest(*self.vector(bag), self.k)
+        return self.vote_at(*self.places(bag))
+
+    def vote_at(self, t: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The same of places, in order, and frequencies."""
+        at, cos = self.index.nearest(*self.unit(t, n), self.k)
         w = cos**2
         if len(at) > self.k:
             tied = cos <= cos[self.k - 1] + TIE
@@ -205,16 +232,32 @@ class Model:
         self.scale, self.shift = float(b[0]), float(b[1])
 
 
-def _document_counts(names):
-    """Texts that hold each of the broadcast terms, by place, and texts in all as term -1."""
+def _coded(names):
+    """(doc_id, held_out, text) -> the broadcast terms that the text holds, as gaps between places, and their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = names.value
-        count, n = np.zeros(len(known), np.int64), 0
         for b in batches:
-            for t in blobs(b.column(0)):
-                count[places(known, bag_of(t))[0]] += 1
-                n += 1
+            own = [places(known, bag_of(t)) for t in blobs(b.column(2))]
+            gaps, tf = ([np.diff(t, prepend=0).astype("<i4").tobytes() for t, _ in own], [n.astype("<i4").tobytes() for _, n in own])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gaps, pa.binary()), pa.array(tf, pa.binary())], ["doc_id", "held_out", "gaps", "tf"])
+
+    return run
+
+
+def _places_of(gaps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64)
+
+
+def _document_counts(n_terms: int):
+    """Texts that hold each of the terms, by place, and texts in all as term -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, n = np.zeros(n_terms, np.int64), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                count[_places_of(x)] += 1
+            n += b.num_rows
         own = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(count[own], n))], ["term", "n"])
 
@@ -242,8 +285,9 @@ def _shares(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, common: float, stressed: bool = True) -> Model:
-    """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows only, one label per id."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, common: float, stressed: bool = True) -> tuple[Model, DataFrame]:
+    """``docs`` (doc_id, held_out, text) and ``labels`` (doc_id, label), training rows only, one label per id. Returns the
+    model and all rows of ``docs`` by the model's terms (doc_id, held_out, gaps, tf), so that each text is read once."""
     spark = docs.sparkSession
     share = lambda x: spark.sparkContext.broadcast(x)
     picked = [labels.where(F.col(label) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (1 if y else 4)) for y in (1, 0)]
@@ -262,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, com
     names, a, b = (counted.column(c).to_numpy() for c in ("term", "a", "b"))
     factor = stresses(a, b, n.get(1, 0.0), n.get(0, 0.0)) if stressed else np.ones(len(names))
     model = Model(names, k)
-    df = docs.select("text").mapInArrow(_document_counts(share(names)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    coded = stash(docs.select("doc_id", "held_out", "text").mapInArrow(_coded(share(names)), "doc_id long, held_out boolean, gaps binary, tf binary"), "coded")
+    df = coded.select("gaps").mapInArrow(_document_counts(len(names)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     have, at = np.zeros(len(names)), df.column("term").to_numpy()
     have[at[at >= 0]] = df.column("n").to_numpy()[at >= 0]
     every = int(df.column("n").to_numpy()[at < 0].sum())
@@ -277,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int, k: int, com
     if rest.num_rows:
         model.calibrate(rest.column("share").to_numpy(), rest.column("y").to_numpy().astype(float))
     drop_stash(bags)
-    return model
+    return model, coded
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_fold: int = 1, sample: int = 2000, k: int = 15, common: float = 0.1, id_col: str = "doc_id", text_col: str = "text", stressed: bool = True) -> DataFrame:
@@ -288,21 +333,22 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     four times as many without are used, half of them as examples and half for calibration. A text without a term of the
     examples, null and empty texts too, has no neighbours and scores by the prior vote. Examples that tie for the last of
     ``k`` places share its vote, so their order never decides. Without any labelled row all score alike. The model, of a
-    size that the sample fixes, goes to all tasks. ``stressed=False`` leaves the weights of plain TF-IDF.
+    size that the sample fixes, goes to all tasks. Texts are read once and kept as the terms of the examples that they hold. ``stressed=False`` leaves the weights of plain TF-IDF.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = lambda c: F.coalesce(fold(F.col(c), folds) == held_fold, F.lit(False))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held("doc_id"))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held("doc_id")).groupBy("doc_id").agg(F.max(label).alias(label))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, taught, label, sample, k, common, stressed))
+    fitted, coded = fit(rows, taught, label, sample, k, common, stressed)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            votes = [m.vote(bag_of(t)) for t in blobs(b.column(2))]
+            votes = [m.vote_at(_places_of(t), np.frombuffer(n, "<i4").astype(float)) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             share = [v[0] for v in votes]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([m.score(s) for s in share], pa.float64()), pa.array(share, pa.float64()), pa.array([v[1].tolist() for v in votes], pa.list_(pa.int64())), pa.array([v[2].tolist() for v in votes], pa.list_(pa.float64()))],
                 ["doc_id", "held_out", "score", "votes", "neighbours", "cosines"],
             )
 
-    return rows.select("doc_id", held("doc_id").alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, votes double, neighbours array<long>, cosines array<double>")
+    return coded.mapInArrow(run, "doc_id long, held_out boolean, score double, votes double, neighbours array<long>, cosines array<double>")
