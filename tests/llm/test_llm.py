@@ -93,6 +93,20 @@ def test_word_encoder_equals_tokenizer():
         assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in some])] == want
 
 
+def test_byte_bpe_generations(monkeypatch):
+    """What full caches hold passes on to the next generation and is not encoded anew."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = [" ".join(f"zq{j}xv{i % 7}" for j in range(40)) for i in range(30)]
+    want = bpe_replay.Coder(path, public_tokenizers.PATTERN).encode(texts)
+    monkeypatch.setattr(bpe_replay, "CACHED", 100)
+    coder, seen = bpe_replay.Coder(path, public_tokenizers.PATTERN), Counter()
+    replay = coder.engine.replay
+    monkeypatch.setattr(coder.engine, "replay", lambda units: seen.update(units) or replay(units))
+    usual = [f" always{i}" for i in range(20)]
+    assert [coder.encode([t, "".join(usual)])[0] for t in texts] == want
+    assert len(coder.old) > 0 and seen[b" always"] == 1
+
+
 def test_long_words():
     """Single words of 100,000 letters: op2, op4, op5, op7 and op8 take them whole."""
     import tiktoken

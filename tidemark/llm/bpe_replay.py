@@ -3,7 +3,7 @@
 A batch's new units are laid end to end as bytes. An inverted index leads from each possible merge to the places where
 it can be made; a heap gives the merges in rank order, and each is made at all its places at once, left to right. Only
 the two pairs beside a merged token enter the index anew. Units, and the space-led stretches that they make up, are
-encoded once and kept, up to a number of entries.
+encoded once and kept, up to a number of entries; when they are full, those in use pass on to the next generation.
 """
 
 from __future__ import annotations
@@ -38,17 +38,15 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.pair: dict[tuple[int, int], int] = {}
+        # All merges: each token by its cuts into two tokens.
+        self.pair = {a << 32 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i], -1)) >= 0 and (b := ranks.get(t[i:], -1)) >= 0}
+        one = [bytes([x]) for x in range(256)]
+        self.single = np.array([ranks[x] for x in one], np.int64)
+        self.first = np.array([[ranks.get(x + y, -1) for y in one] for x in one], np.int64)
 
     def merged(self, a: int, b: int) -> int:
         """The rank that two tokens merge to, -1 if they don't."""
-        k = (a, b)
-        r = self.pair.get(k)
-        if r is None:
-            if len(self.pair) > 400_000:
-                self.pair.clear()
-            r = self.pair[k] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
+        return self.pair.get(a << 32 | b, -1)
 
     def alone(self, unit: bytes) -> list[int]:
         """One unit, merge by merge; for units in which a merge gives a pair of lower rank than its own."""
@@ -60,27 +58,27 @@ class MergeReplay:
             ids[best[1] : best[1] + 2] = [best[0]]
         return ids
 
-    def replay(self, units: list[bytes]) -> list[list[int]]:
-        ranks, merged = self.ranks, self.merged
-        whole = {i: [ranks[u]] for i, u in enumerate(units) if u in ranks}
-        open_ = [i for i in range(len(units)) if i not in whole]
-        single = [ranks[bytes([x])] for x in range(256)]
-        tok: list[int] = []
-        bounds = []
-        for i in open_:
-            a = len(tok)
-            tok += [single[x] for x in units[i]]
-            bounds.append((i, a, len(tok)))
-        n = len(tok)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        for _, a, b in bounds:
-            prv[a], nxt[b - 1] = -1, -1
-        where: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            if nxt[p] >= 0 and (r := merged(tok[p], tok[p + 1])) >= 0:
-                where.setdefault(r, []).append(p)
-        heap = list(where)
-        heapq.heapify(heap)
+    def replay(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each unit as little-endian unsigned 32-bit integers."""
+        ranks, merged = self.ranks, self.pair.get
+        out = [ranks[u].to_bytes(4, "little") if u in ranks else b"" for u in units]
+        open_ = [i for i, x in enumerate(out) if not x]
+        raw = np.frombuffer(b"".join([units[i] for i in open_]), np.uint8)
+        n = len(raw)
+        stop = np.cumsum(np.fromiter((len(units[i]) for i in open_), np.int64, len(open_)))
+        start = np.concatenate(([0], stop[:-1])) if len(open_) else stop
+        last = np.zeros(n, bool)
+        last[stop[stop > 0] - 1] = True
+        tok = self.single[raw].tolist()
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[last], prv[start[start < stop]] = -1, -1
+        nxt, prv = nxt.tolist(), prv.tolist()
+        rank = np.where(last[:-1], -1, self.first[raw[:-1], raw[1:]])
+        at = np.flatnonzero(rank >= 0)
+        at = at[np.argsort(rank[at], kind="stable")]
+        own, cut = np.unique(rank[at], return_index=True)
+        where = {r: x.tolist() for r, x in zip(own.tolist(), np.split(at, cut[1:]))}
+        heap = own.tolist()  # in order, so a heap
         odd: list[int] = []
         while heap:
             r = heapq.heappop(heap)
@@ -90,13 +88,13 @@ class MergeReplay:
             places.sort()
             for p in places:
                 q = nxt[p]
-                if tok[p] < 0 or q < 0 or merged(tok[p], tok[q]) != r:
+                if tok[p] < 0 or q < 0 or merged(tok[p] << 32 | tok[q]) != r:
                     continue
                 tok[p], tok[q] = r, -1
                 after = nxt[p] = nxt[q]
                 if after >= 0:
                     prv[after] = p
-                    if (s := merged(r, tok[after])) >= 0:
+                    if (s := merged(r << 32 | tok[after], -1)) >= 0:
                         if s < r:
                             odd.append(p)
                         if s in where:
@@ -105,7 +103,7 @@ class MergeReplay:
                             where[s] = [p]
                             heapq.heappush(heap, s)
                 before = prv[p]
-                if before >= 0 and (s := merged(tok[before], r)) >= 0:
+                if before >= 0 and (s := merged(tok[before] << 32 | r, -1)) >= 0:
                     if s < r:
                         odd.append(p)
                     if s in where:
@@ -113,12 +111,15 @@ class MergeReplay:
                     else:
                         where[s] = [before]
                         heapq.heappush(heap, s)
-        out: list[list[int]] = [whole.get(i, []) for i in range(len(units))]
         strange = np.zeros(n + 1, np.int64)
         strange[odd] = 1
         strange = np.concatenate(([0], np.cumsum(strange)))
-        for i, a, b in bounds:
-            out[i] = self.alone(units[i]) if strange[b] > strange[a] else [t for t in tok[a:b] if t >= 0]
+        ids = np.array(tok, np.int64)
+        left = np.concatenate(([0], np.cumsum(ids >= 0)))
+        ids = ids[ids >= 0].astype("<u4").tobytes()
+        again = (strange[stop] > strange[start]).tolist()
+        for i, a, z, redo in zip(open_, (4 * left[start]).tolist(), (4 * left[stop]).tolist(), again):
+            out[i] = np.array(self.alone(units[i]), "<u4").tobytes() if redo else ids[a:z]
         return out
 
 
@@ -133,6 +134,9 @@ class Coder:
         self.gaps = re.compile(f"([{SPACE}]{{2,}})")
         self.unit_ids: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        # The generations before, from which what is met again passes on.
+        self.old_units: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def stretches(self, text: str) -> list[str]:
         """Cut before each space and around each line feed. No unit crosses these cuts where white space stands alone;
@@ -153,23 +157,37 @@ class Coder:
 
     def learn(self, keys: set[str]) -> None:
         found = {k: self.units.findall(k) for k in keys}
-        new = list({u for us in found.values() for u in us if u not in self.unit_ids})
-        for u, ids in zip(new, self.engine.replay([u.encode() for u in new])):
-            self.unit_ids[u] = np.array(ids, "<u4").tobytes()
+        new = []
+        for u in {u for us in found.values() for u in us if u not in self.unit_ids}:
+            if (x := self.old_units.get(u)) is None:
+                new.append(u)
+            else:
+                self.unit_ids[u] = x
+        self.unit_ids.update(zip(new, self.engine.replay([u.encode() for u in new])))
         for k, us in found.items():
             self.known[k] = b"".join([self.unit_ids[u] for u in us])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHED:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         if len(self.unit_ids) > CACHED:
-            self.unit_ids.clear()
+            self.unit_ids, self.old_units = {}, self.unit_ids
+        known = self.known
         split = [self.stretches(t) for t in texts]
-        missing = {k for keys in split for k in keys if k not in self.known}
+        parts = [list(map(known.get, keys)) for keys in split]
+        gaps = [i for i, x in enumerate(parts) if None in x]
+        missing = set()
+        for k in {k for i in gaps for k, x in zip(split[i], parts[i]) if x is None}:
+            if (x := self.old.get(k)) is None:
+                missing.add(k)
+            else:
+                known[k] = x
         if missing:
             self.learn(missing)
-        return [b"".join(map(self.known.__getitem__, keys)) for keys in split]
+        for i in gaps:
+            parts[i] = map(known.__getitem__, split[i])
+        return [b"".join(x) for x in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.engine.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
