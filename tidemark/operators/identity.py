@@ -57,7 +57,7 @@ def registry_names(registry: DataFrame, aliases: DataFrame, order: list[Column])
     of names in any order. Of the records that aliases join, or that share a name, the first by ``order`` and then id
     gives id and name; aliases without any record have neither."""
     rows = registry.withColumn("key", name_key(F.col("name"))).where("key IS NOT NULL AND id IS NOT NULL")
-    pairs = aliases.select(name_key(F.col("name")).alias("a"), name_key(F.col("alias")).alias("b"))
+    pairs = _kept(aliases.select(name_key(F.col("name")).alias("a"), name_key(F.col("alias")).alias("b")))
     own = rows.select("key").union(pairs.select("a")).union(pairs.select("b")).where("key IS NOT NULL").distinct()
     roots = own.join(closure(pairs, "a", "b").withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     first = R.distinct_on(rows.join(roots, "key"), "root", [*order, F.asc("id")]).select("root", "id", "name")
