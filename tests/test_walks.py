@@ -67,3 +67,16 @@ def test_directories_of_units(spark):
     links = spark.createDataFrame([(1, *r) for r in rows], "site int, page string, place int, url string, label string").withColumn("domain", F.lit("a.edu"))
     got = C.roster_candidates(units, links, "site", "domain", most_units=2).orderBy("rank").collect()
     assert [r.url for r in got] == ["https://a.edu/physics/people", "https://a.edu/art/faculty"]
+
+
+def test_more_visits_than_a_session_allows(spark):
+    """900,000 sites of seven maps passed the million rows that a recursive query may give in a session made elsewhere."""
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        docs = [(f"s{i}.edu", f"https://s{i}.edu/sitemap.xml", f"<loc>https://s{i}.edu/a.xml</loc><loc>https://s{i}.edu/faculty/?q=1</loc><loc>https://s{i}.edu/x</loc>") for i in range(40)]
+        docs += [("none.edu", "https://none.edu/sitemap.xml", None), ("bare.edu", "https://bare.edu/sitemap.xml", "<loc>https://other.edu/faculty</loc>")]
+        got = C.sitemap_directories(spark.createDataFrame(docs, "domain string, page string, xml string"), "domain").collect()
+        assert sorted((r.domain, r["rank"], r.url) for r in got) == sorted((f"s{i}.edu", 1, f"https://s{i}.edu/faculty") for i in range(40))
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
