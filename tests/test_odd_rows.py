@@ -19,6 +19,7 @@ TABLES = {"pages": ("page_id long, html string", PAGES), "customer": ("c_custkey
         ("article_headings", "pages"),
         ("page_main", "pages"),
         ("page_records", "pages"),
+        ("page_sections", "pages"),
     ],
 )
 def test_odd_rows(spark, tmp_path, name, table):
