@@ -20,6 +20,7 @@ TABLES = {"pages": ("page_id long, html string", PAGES), "customer": ("c_custkey
         ("page_main", "pages"),
         ("page_records", "pages"),
         ("page_sections", "pages"),
+        ("page_snapshots", "pages"),
     ],
 )
 def test_odd_rows(spark, tmp_path, name, table):
