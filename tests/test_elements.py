@@ -86,3 +86,10 @@ def test_empty_table(spark):
     df = elements.planted(spark.createDataFrame([], "page_id int, html string"))
     for f in (elements.metadata(df, "page_id"), elements.works(df, "page_id"), elements.cards(df, profiles.ROLE, "page_id"), elements.snapshot(df, lambda s: F.lit(True), "page_id")):
         assert f.collect() == []
+
+
+def test_works_stay_in_their_page(spark):
+    """Works were joined over several parses of each page; a page is parsed once and shuffled nowhere."""
+    df = elements.planted(spark.createDataFrame([(1, "<h2>Papers</h2><li>A work of some length, 2019")], "page_id long, html string"))
+    plan = elements.works(df, "page_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import word_rules as W
 from tidemark.functions.html import VOID, _Nested
-from tidemark.functions.text import even
+from tidemark.functions.text import bound, even
 
 ELEMENT = "i int, last int, parent int, depth int, tag string, classes array<string>, attrs map<string,string>, a int, z int, raw string"
 TREE = f"struct<said:string,tree:array<struct<{', '.join(x.replace(' ', ':', 1) for x in ELEMENT.split(', '))}>>>"
@@ -132,19 +132,24 @@ def inside(tree_: Column, e: Column, *tags: str) -> Column:
     return F.exists(tree_, lambda x: x["tag"].isin(*tags) & (x["i"] < e["i"]) & (e["i"] <= x["last"]))
 
 
-def sections(trees: DataFrame, wanted: list[str], unwanted: list[str], categories: list[str], *keep: str) -> DataFrame:
-    """(keep, heading, level, start, stop): sections under headings h1 to h5 that hold a wanted phrase and no unwanted one.
+def headings(said: Column, tree_: Column) -> Column:
+    """The page's headings h1 to h6 in order: array<struct<at, level, heading, spaced>>, ``spaced`` being its bare words."""
+    head = lambda e, t: F.struct(e["i"].alias("at"), F.right(e["tag"], F.lit(1)).cast("int").alias("level"), t.alias("heading"), W.bare(t).alias("spaced"))
+    return F.transform(F.filter(tree_, lambda e: e["tag"].rlike("^h[1-6]$")), lambda e: bound(text_of(said, e), lambda t: head(e, t)))
+
+
+def sections(heads: Column, wanted: list[str], unwanted: list[str], categories: list[str]) -> Column:
+    """array<struct<start, stop>>: sections under ``headings`` h1 to h5 that hold a wanted phrase and no unwanted one.
 
     A section ends before the next heading of its level or above, or before one a level below that is neither wanted nor
     a category.
     """
-    heads = exploded(trees, *keep).where(F.col("tag").rlike("^h[1-6]$")).select(*keep, F.col("i").alias("start"), F.right("tag", F.lit(1)).cast("int").alias("level"), F.col("text").alias("heading"))
-    says = lambda c: W.within(W.bare(c), wanted)
-    later = heads.select(*keep, F.col("start").alias("at"), F.col("level").alias("its"), (says(F.col("heading")) | F.trim(W.bare(F.col("heading"))).isin(*categories)).alias("belongs"))
-    own = heads.where((F.col("level") < 6) & says(F.col("heading")) & ~W.within(W.bare(F.col("heading")), unwanted))
-    ends = (F.col("at") > F.col("start")) & ((F.col("its") <= F.col("level")) | ((F.col("its") == F.col("level") + 1) & ~F.col("belongs")))
-    j = own.join(later, list(keep), "left").groupBy(*keep, "start", "level", "heading").agg(F.min(F.when(ends, F.col("at"))).alias("stop"))
-    return j.withColumn("stop", F.coalesce("stop", F.lit(2**31 - 1)))
+    says = lambda h: W.within(h["spaced"], wanted)
+    belongs = lambda h: says(h) | F.trim(h["spaced"]).isin(*categories)
+    own = F.filter(heads, lambda h: (h["level"] < 6) & says(h) & ~W.within(h["spaced"], unwanted))
+    ends = lambda o, h: (h["at"] > o["at"]) & ((h["level"] <= o["level"]) | ((h["level"] == o["level"] + 1) & ~belongs(h)))
+    stop = lambda o: F.coalesce(F.get(F.filter(heads, lambda h: ends(o, h)), F.lit(0))["at"], F.lit(2**31 - 1))
+    return F.transform(own, lambda o: F.struct(o["at"].alias("start"), stop(o).alias("stop")))
 
 
 # Headings over works, headings that only look so, and kinds of works that divide a list.
@@ -154,25 +159,28 @@ KINDS = ["journal articles", "conference papers", "book chapters", "books", "pre
 
 
 def works(trees: DataFrame, *keep: str) -> DataFrame:
-    """(keep, i, year, doi, title, authors, venue, entry): list items and paragraphs under headings over works.
+    """(keep, i, year, doi, title, authors, venue, entry): list items and paragraphs under headings over works. A page is
+    parsed once and worked out in its own row: nothing is joined or shuffled.
 
     An entry in several nested sections counts once. A year that a heading between states dates the entries below it. The
     title stands in quotation marks or in an emphasised part of its own, else behind "(year)." as authors, year, title,
     venue.
     """
-    own = sections(trees, WORKS, NO_WORKS, KINDS, *keep)
-    items = exploded(trees, *keep)
-    # Innermost entries only: an item around other items is no entry.
-    entries = items.where(F.col("tag").isin("li", "p") & (F.length("text") >= 12)).select(*keep, "i", "last", F.col("text").alias("entry"))
-    within = entries.alias("e").join(own.alias("s"), list(keep)).where("e.i > s.start AND e.i < s.stop").select(*keep, "e.i", "e.last", "e.entry").distinct()
-    outer = within.alias("a").join(within.select(*keep, F.col("i").alias("inner_i")).alias("b"), list(keep)).where("b.inner_i > a.i AND b.inner_i <= a.last").select(*keep, "a.i").distinct()
-    within = within.join(outer, [*keep, "i"], "left_anti")
-    marked = items.where(F.col("tag").isin("em", "i", "cite", "strong", "b", "a") & (F.length("text") >= 8)).select(*keep, F.col("i").alias("mark_i"), F.col("text").alias("mark"))
-    marks = marked.select(*[F.col(c).alias(f"of_{c}") for c in keep], "mark_i", "mark")
-    same = [F.col(c) == F.col(f"of_{c}") for c in keep]
-    title = within.join(marks, [*same, F.col("mark_i") > F.col("i"), F.col("mark_i") <= F.col("last")], "left").groupBy(*keep, "i", "entry").agg(F.min(F.struct("mark_i", "mark"))["mark"].alias("mark"))
-    dated = items.where(F.col("tag").rlike("^h[2-6]$") & F.col("text").rlike(r"^(?:19|20)\d\d$")).select(*keep, F.col("i").alias("at"), F.col("text").cast("int").alias("stated"))
-    under = title.join(dated, list(keep), "left").groupBy(*keep, "i", "entry", "mark").agg(F.max(F.when(F.col("at") < F.col("i"), F.struct("at", "stated")))["stated"].alias("stated"))
+    said, text = F.col("said"), lambda e: text_of(F.col("said"), e)
+    page = trees.select(*keep, "said", "tree", headings(said, F.col("tree")).alias("heads"))
+    dated = F.filter("heads", lambda h: (h["level"] >= 2) & h["heading"].rlike(r"^(?:19|20)\d\d$"))
+    page = page.select("*", sections(F.col("heads"), WORKS, NO_WORKS, KINDS).alias("own"), dated.alias("dated"))
+    held = F.filter("tree", lambda e: e["tag"].isin("li", "p") & F.exists("own", lambda o: (e["i"] > o["start"]) & (e["i"] < o["stop"])))
+    entries = F.filter(F.transform(held, lambda e: F.struct(e["i"].alias("i"), e["last"].alias("last"), text(e).alias("entry"))), lambda e: F.length(e["entry"]) >= 12)
+    page = page.select(*keep, "said", "tree", "dated", entries.alias("entries"))
+    # Innermost entries only: an item around other items is no entry, and the first of these comes next to it.
+    inner = F.filter("entries", lambda e, k: F.coalesce(F.get("entries", k + 1)["i"] > e["last"], F.lit(True)))
+    # What lies inside an element stands behind it in the tree.
+    marks = lambda e: F.filter(F.slice("tree", e["i"] + 2, e["last"] - e["i"]), lambda x: x["tag"].isin("em", "i", "cite", "strong", "b", "a"))
+    mark = lambda e: F.get(F.filter(F.transform(marks(e), text), lambda t: F.length(t) >= 8), F.lit(0))
+    stated = lambda e: F.try_element_at(F.filter("dated", lambda h: h["at"] < e["i"]), F.lit(-1))["heading"].cast("int")
+    rows = F.transform(inner, lambda e: F.struct(e["i"].alias("i"), e["entry"].alias("entry"), mark(e).alias("mark"), stated(e).alias("stated")))
+    under = page.select(*keep, F.inline(rows))
     e = F.col("entry")
     cited = lambda k: F.nullif(F.trim(F.regexp_extract(e, r"^([^()]{3,600}?)\s*\(((?:19|20)\d\d)[a-z]?\)\.\s*([^.]+)\.\s*(.*)$", k)), F.lit(""))
     quoted = F.nullif(F.regexp_extract(e, r"[“\x22]([^”\x22]{8,}?)[.,]?[”\x22]", 1), F.lit(""))
